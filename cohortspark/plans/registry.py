@@ -220,3 +220,158 @@ def q_mahalanobis(spark, sf_dir):
     s = split_trials(spark, sf_dir)
     model = fit_mahalanobis(s.where(F.col("split") == "train"), OOD_COLS)
     return mahalanobis(s, model).select(*ROW_KEY, "split", "mahalanobis")
+
+
+# --------------------------------------------------------------------------- targets, metrics, baselines
+
+from cohortspark.operators.baselines import mean_baseline, union_baselines  # noqa: E402
+from cohortspark.operators.metrics import (  # noqa: E402
+    extract_targets, macro_rmse, metrics_long, metrics_table,
+)
+from cohortspark.schema import SPARSE_TARGETS, TARGET_COLS  # noqa: E402
+
+
+def _targets_cte() -> str:
+    ys = ", ".join(f"least(greatest(coalesce(CAST({t} AS DOUBLE), 0e0), 0e0), 1e0) AS y_{t}"
+                   for t in TARGET_COLS)
+    means = ", ".join(f"avg(y_{t}) AS m_{t}" for t in TARGET_COLS)
+    return f""", tg AS (SELECT row_id, copy_no, nct_id, split, {ys} FROM splitted),
+means AS (SELECT {means} FROM tg WHERE split = 'train')
+"""
+
+
+def _pred_cte(name: str, zero: list[str]) -> str:
+    ps = ", ".join(("0e0" if t in zero else f"m_{t}") + f" AS p_{t}" for t in TARGET_COLS)
+    return f", {name} AS (SELECT tg.*, {ps} FROM tg, means)\n"
+
+
+def _long_sql(pred: str) -> str:
+    parts = [f"SELECT split, '{t}' AS target, sqrt(avg((y_{t} - least(greatest(p_{t}, 0e0), 1e0)) ^ 2)) AS rmse, "
+             f"avg(abs(y_{t} - least(greatest(p_{t}, 0e0), 1e0))) AS mae, count(*) AS n FROM {pred} GROUP BY split"
+             for t in TARGET_COLS]
+    return " UNION ALL ".join(parts)
+
+
+def _wide_sql(long_name: str) -> str:
+    cols = ", ".join(
+        f"round(max(CASE WHEN split = '{s}' THEN {m} END), 6) AS \"{s.capitalize()} {m.upper()}\""
+        for s in ("train", "test", "holdout") for m in ("rmse", "mae"))
+    return f"SELECT target AS \"Target\", {cols} FROM {long_name} GROUP BY target"
+
+
+_BASE = O.cleaned_cte() + O.split_cte() + _targets_cte()
+
+
+def _mean_predictions(spark, sf_dir, zero=()):
+    s = extract_targets(split_trials(spark, sf_dir), TARGET_COLS)
+    return mean_baseline(s, TARGET_COLS, zero_targets=list(zero))
+
+
+def _pred_cols():
+    return [f"pred_{t}" for t in TARGET_COLS]
+
+
+@register("targets", _BASE + f"""
+SELECT row_id, copy_no, {", ".join(f"round(y_{t}, 6) AS {t}" for t in TARGET_COLS)} FROM tg""")
+def q_targets(spark, sf_dir):
+    s = extract_targets(cleaned_trials(spark, sf_dir), TARGET_COLS)
+    return s.select(*ROW_KEY, *TARGET_COLS)
+
+
+@register("metrics_long", _BASE + _pred_cte("pm", []) + f"""
+SELECT split, target, round(rmse, 6) AS rmse, round(mae, 6) AS mae, n FROM ({_long_sql("pm")})""")
+def q_metrics_long(spark, sf_dir):
+    return metrics_long(_mean_predictions(spark, sf_dir), TARGET_COLS, _pred_cols())
+
+
+@register("metrics_table", _BASE + _pred_cte("pm", []) + f", lm AS ({_long_sql('pm')})\n" +
+          _wide_sql("lm"))
+def q_metrics_table(spark, sf_dir):
+    return metrics_table(metrics_long(_mean_predictions(spark, sf_dir), TARGET_COLS, _pred_cols()))
+
+
+@register("macro_rmse", _BASE + _pred_cte("pm", []) + f", lm AS ({_long_sql('pm')})\n" + """
+SELECT split, round(avg(rmse), 6) AS macro_rmse, round(avg(mae), 6) AS macro_mae FROM lm GROUP BY split""")
+def q_macro_rmse(spark, sf_dir):
+    return macro_rmse(metrics_long(_mean_predictions(spark, sf_dir), TARGET_COLS, _pred_cols()))
+
+
+@register("baseline_mean", _BASE + _pred_cte("pm", []) + f", lm AS ({_long_sql('pm')})\n" +
+          _wide_sql("lm"))
+def q_baseline_mean(spark, sf_dir):
+    return metrics_table(metrics_long(_mean_predictions(spark, sf_dir), TARGET_COLS, _pred_cols()))
+
+
+@register("baseline_zero", _BASE + _pred_cte("pz", SPARSE_TARGETS) + f", lz AS ({_long_sql('pz')})\n" +
+          _wide_sql("lz"))
+def q_baseline_zero(spark, sf_dir):
+    p = _mean_predictions(spark, sf_dir, SPARSE_TARGETS)
+    return metrics_table(metrics_long(p, TARGET_COLS, _pred_cols()))
+
+
+@register("baseline_union", _BASE + _pred_cte("pm", []) + _pred_cte("pz", SPARSE_TARGETS) +
+          f", lm AS ({_long_sql('pm')}), lz AS ({_long_sql('pz')})\n" +
+          f"SELECT 'mean' AS \"Baseline\", * FROM ({_wide_sql('lm')}) UNION ALL "
+          f"SELECT 'mean_plus_zero_sparse' AS \"Baseline\", * FROM ({_wide_sql('lz')})")
+def q_baseline_union(spark, sf_dir):
+    s = extract_targets(split_trials(spark, sf_dir), TARGET_COLS).cache()
+    tables = {
+        "mean": metrics_table(metrics_long(mean_baseline(s, TARGET_COLS), TARGET_COLS, _pred_cols())),
+        "mean_plus_zero_sparse": metrics_table(metrics_long(
+            mean_baseline(s, TARGET_COLS, zero_targets=SPARSE_TARGETS), TARGET_COLS, _pred_cols())),
+    }
+    return union_baselines(tables)
+
+
+# --------------------------------------------------------------------------- kNN baseline
+
+from cohortspark.operators.neighbors import (  # noqa: E402
+    knn_label_shares, knn_neighbors, label_share_metrics,
+)
+
+KNN_K = 25
+
+
+def _emb_split(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    return assign_split(e, key_col="vec_id")
+
+
+def _knn_shares(spark, sf_dir):
+    e = _emb_split(spark, sf_dir).cache()
+    train = e.where(F.col("split") == "train")
+    nb = knn_neighbors(e, train, k=KNN_K, id_col="vec_id", vec_col="embedding")
+    return e, knn_label_shares(nb, train, id_col="vec_id")
+
+
+_KNN_BASE = ("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)" +
+             O.split_cte(source="e", key="vec_id") + f""",
+tr AS (SELECT * FROM splitted WHERE split = 'train'),
+pairs AS (SELECT q.vec_id AS q, t.vec_id AS n, t.label,
+                 1 - coalesce(list_cosine_similarity(q.v, t.v), 0e0) AS d FROM splitted q, tr t),
+nn AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, n) AS rk FROM pairs),
+shares AS (SELECT q AS vec_id, label, count(*) / least({KNN_K}, (SELECT count(*) FROM tr)) AS share
+           FROM nn WHERE rk <= {KNN_K} GROUP BY q, label)
+""")
+
+
+@register("knn_predict", _KNN_BASE + "SELECT vec_id, label, round(share, 6) AS share FROM shares")
+def q_knn_predict(spark, sf_dir):
+    _, shares = _knn_shares(spark, sf_dir)
+    return shares.select(F.col("q_id").alias("vec_id"), "label", "share")
+
+
+@register("knn_metrics", _KNN_BASE + """,
+truth AS (SELECT vec_id, label, split, 1e0 AS y FROM splitted),
+pred AS (SELECT s.vec_id, s.label, t.split, s.share AS p FROM shares s JOIN splitted t USING (vec_id)),
+pairs2 AS (SELECT coalesce(t.split, p.split) AS split, coalesce(t.label, p.label) AS label,
+                  coalesce(t.y, 0e0) AS y, coalesce(p.p, 0e0) AS p
+           FROM truth t FULL OUTER JOIN pred p ON t.vec_id = p.vec_id AND t.label = p.label),
+sizes AS (SELECT split, count(*) AS n_split FROM splitted GROUP BY split)
+SELECT a.split, 'label_' || CAST(a.label AS VARCHAR) AS target,
+       round(sqrt(sum((y - p) ^ 2) / any_value(n_split)), 6) AS rmse,
+       round(sum(abs(y - p)) / any_value(n_split), 6) AS mae
+FROM pairs2 a JOIN sizes s USING (split) GROUP BY a.split, a.label""")
+def q_knn_metrics(spark, sf_dir):
+    e, shares = _knn_shares(spark, sf_dir)
+    return label_share_metrics(shares, e, id_col="vec_id")
