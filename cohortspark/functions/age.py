@@ -18,51 +18,85 @@ MISSING_AGE_WORDS = ["nan", "none", "null"]
 # A plain decimal literal as Python's float() reads it (underscores between digits).
 _DIGITS = r"\d+(_\d+)*"
 NUMBER_PATTERN = rf"^[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
-INF_PATTERN = r"(?i)^[+-]?inf(inity)?$"
+INF_WORDS = ["inf", "+inf", "infinity", "+infinity"]
+NEG_INF_WORDS = ["-inf", "-infinity"]
 
 
-def _edge_class(chars: str) -> str:
-    return "[" + "".join("\\" + ch if ch in "^]-\\" else ch for ch in chars) + "]"
-
-
-def to_float(s: Column) -> Column:
+def to_float(s: Column, stripped: bool = False) -> Column:
     """Python ``float(s)`` for a string column; null where it would raise or give NaN."""
-    s = strip_ws(s)
+    if not stripped:
+        s = strip_ws(s)
+    low = F.lower(s)
     return (
-        F.when(s.rlike(NUMBER_PATTERN), F.regexp_replace(s, "_", "").cast("double"))
-        .when(s.rlike(INF_PATTERN),
-              F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+        F.when(s.rlike(NUMBER_PATTERN), F.replace(s, F.lit("_"), F.lit("")).cast("double"))
+        .when(low.isin(*INF_WORDS), F.lit(float("inf")))
+        .when(low.isin(*NEG_INF_WORDS), F.lit(float("-inf")))
         .otherwise(F.lit(None).cast("double"))
     )
 
 
+def _forms(variant: str) -> list[str]:
+    if variant == "package":
+        return [f for tok in AGE_UNIT_TOKENS for f in (tok, tok.capitalize(), tok.upper())]
+    if variant == "notebook":
+        return list(NOTEBOOK_AGE_UNIT_TOKENS)
+    raise ValueError(f"unknown parse_age variant {variant!r}")
+
+
+def _stage_strip(c: Column, variant: str) -> Column:
+    return strip_ws(c.cast("string")) if variant == "package" else c.cast("string")
+
+
+def _stage_clean(s: Column, variant: str) -> Column:
+    cleaned = s
+    for form in _forms(variant):
+        cleaned = F.replace(cleaned, F.lit(form), F.lit(""))
+    cleaned = strip_ws(cleaned)
+    if variant == "package":
+        cleaned = F.rtrim(F.ltrim(cleaned, F.lit(AGE_LEFT_STRIP)), F.lit(AGE_RIGHT_STRIP))
+    return strip_ws(cleaned)  # float() ignores surrounding whitespace
+
+
+def _stage_value(s: Column, cleaned: Column) -> Column:
+    missing = s.isNull() | (s == "") | F.lower(s).isin(*MISSING_AGE_WORDS)
+    return F.when(missing, F.lit(None).cast("double")).otherwise(to_float(cleaned, stripped=True))
+
+
+def _numeric(c: Column) -> Column:
+    d = c.cast("double")
+    return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+
+
 def parse_age(col: Column | str, data_type: T.DataType | None = None,
               variant: str = "package") -> Column:
-    """Age in years as double, null when unparseable.
+    """Age in years as one Column expression (handy for small inputs).
 
-    ``data_type`` is the input column type: numbers are cast directly
-    (NaN → null); strings go through the token rule.
+    For tables prefer :func:`with_parsed_ages`, which stages the rule in
+    three projections so the long replace chain is evaluated once per row
+    and every stage stays inside whole-stage codegen.
     """
     c = F.col(col) if isinstance(col, str) else col
     if data_type is not None and isinstance(data_type, T.NumericType):
-        d = c.cast("double")
-        return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
-    s = strip_ws(c.cast("string"))
-    missing = s.isNull() | (s == "") | F.lower(s).isin(*MISSING_AGE_WORDS)
-    if variant == "package":
-        forms = [f for tok in AGE_UNIT_TOKENS for f in (tok, tok.capitalize(), tok.upper())]
-    elif variant == "notebook":
-        forms = NOTEBOOK_AGE_UNIT_TOKENS
-    else:
-        raise ValueError(f"unknown parse_age variant {variant!r}")
-    cleaned = c.cast("string") if variant == "notebook" else s
-    for form in forms:
-        cleaned = F.replace(cleaned, F.lit(form), F.lit(""))
-    cleaned = strip_ws(cleaned)
-    if variant == "package":
-        cleaned = F.regexp_replace(cleaned, "^" + _edge_class(AGE_LEFT_STRIP) + "+", "")
-        cleaned = F.regexp_replace(cleaned, _edge_class(AGE_RIGHT_STRIP) + "+$", "")
-    return F.when(missing, F.lit(None).cast("double")).otherwise(to_float(cleaned))
+        return _numeric(c)
+    s = _stage_strip(c, variant)
+    return _stage_value(s, _stage_clean(s, variant))
+
+
+def with_parsed_ages(df, sources: dict[str, str], variant: str = "package"):
+    """Add parsed-years columns: ``sources`` maps output name → input column.
+
+    Numbers are cast directly (NaN → null); strings go through the token rule.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    numeric = {o: i for o, i in sources.items() if isinstance(types[i], T.NumericType)}
+    text = {o: i for o, i in sources.items() if o not in numeric}
+    out = df.withColumns({o: _numeric(F.col(f"`{i}`")) for o, i in numeric.items()}) if numeric else df
+    if not text:
+        return out
+    out = out.withColumns({f"_s_{o}": _stage_strip(F.col(f"`{i}`"), variant) for o, i in text.items()})
+    out = out.withColumns({f"_c_{o}": _stage_clean(F.col(f"_s_{o}"), variant) for o in text})
+    out = out.withColumns({o: _stage_value(F.col(f"_s_{o}"), F.col(f"_c_{o}")) for o in text})
+    return out.drop(*[f"_{p}_{o}" for o in text for p in "sc"])
 
 
 # Fixed value: the notebook's unit list, each removed once as written

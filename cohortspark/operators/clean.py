@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.age import parse_age
+from cohortspark.functions.age import with_parsed_ages
 from cohortspark.functions.categorical import normalize_categorical, normalize_text
 from cohortspark.schema import CAT_COLS, TEXT_COLS, UNKNOWN_TOKEN, find_column_ci
 
@@ -33,12 +33,11 @@ def _age_columns(df: DataFrame, min_age_col: str, max_age_col: str) -> tuple[str
     return lo, hi
 
 
-def parsed_ages(df: DataFrame, min_age_col: str = "eligibility_min_age",
-                max_age_col: str = "eligibility_max_age", variant: str = "package"):
+def with_parsed(df: DataFrame, min_age_col: str = "eligibility_min_age",
+                max_age_col: str = "eligibility_max_age", variant: str = "package") -> DataFrame:
+    """Add ``_pmin`` / ``_pmax``: parsed years before imputation."""
     lo, hi = _age_columns(df, min_age_col, max_age_col)
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    return (parse_age(F.col(f"`{lo}`"), types[lo], variant),
-            parse_age(F.col(f"`{hi}`"), types[hi], variant))
+    return with_parsed_ages(df, {"_pmin": lo, "_pmax": hi}, variant)
 
 
 def fit_clean(df: DataFrame, *, min_age_col: str = "eligibility_min_age",
@@ -49,10 +48,9 @@ def fit_clean(df: DataFrame, *, min_age_col: str = "eligibility_min_age",
     entry per *distinct* value (ages have a small domain); ``"approx"`` uses
     ``percentile_approx`` for columns with unbounded distinct counts.
     """
-    pmin, pmax = parsed_ages(df, min_age_col, max_age_col)
     agg = F.median if median == "exact" else (lambda c: F.percentile_approx(c, 0.5, 100000))
-    row = df.select(pmin.alias("lo"), pmax.alias("hi")).agg(
-        agg("lo").alias("lo"), agg("hi").alias("hi")).first()
+    row = with_parsed(df, min_age_col, max_age_col).agg(
+        agg("_pmin").alias("lo"), agg("_pmax").alias("hi")).first()
     lo = MIN_AGE_FALLBACK if row["lo"] is None else float(row["lo"])
     hi = MAX_AGE_FALLBACK if row["hi"] is None else float(row["hi"])
     return CleanStats(lo, hi)
@@ -68,7 +66,8 @@ def apply_clean(df: DataFrame, stats: CleanStats, *, min_age_col: str = "eligibi
     Emits the age columns under their input names and as ``*_yrs``.
     """
     lo_name, hi_name = _age_columns(df, min_age_col, max_age_col)
-    pmin, pmax = parsed_ages(df, min_age_col, max_age_col, variant)
+    df = with_parsed(df, min_age_col, max_age_col, variant)
+    pmin, pmax = F.col("_pmin"), F.col("_pmax")
     lo = F.coalesce(pmin, F.lit(stats.min_age_median))
     hi = F.coalesce(pmax, F.lit(stats.max_age_median))
     if clamp:
@@ -86,7 +85,7 @@ def apply_clean(df: DataFrame, stats: CleanStats, *, min_age_col: str = "eligibi
                        if c in df.columns else F.lit(unknown_token))
     for c in text_cols:
         new_cols[c] = normalize_text(F.col(f"`{c}`")) if c in df.columns else F.lit("")
-    out = df.withColumns(new_cols)
+    out = df.withColumns(new_cols).drop("_pmin", "_pmax")
     return out.withColumns({"eligibility_min_age_yrs": F.col(f"`{lo_name}`"),
                             "eligibility_max_age_yrs": F.col(f"`{hi_name}`")})
 

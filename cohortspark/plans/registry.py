@@ -57,9 +57,8 @@ def r6(x: str) -> str:
 @register("parse_age", O.cleaned_cte() + """
 SELECT row_id, copy_no, round(pmin, 6) AS min_age_years, round(pmax, 6) AS max_age_years FROM parsed""")
 def q_parse_age(spark, sf_dir):
-    t = trials_view(spark, sf_dir)
-    pmin, pmax = clean_ops.parsed_ages(t)
-    return t.select(*ROW_KEY, pmin.alias("min_age_years"), pmax.alias("max_age_years"))
+    t = clean_ops.with_parsed(trials_view(spark, sf_dir))
+    return t.select(*ROW_KEY, F.col("_pmin").alias("min_age_years"), F.col("_pmax").alias("max_age_years"))
 
 
 @register("clean_ages", O.cleaned_cte() + """

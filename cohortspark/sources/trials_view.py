@@ -7,8 +7,12 @@ key; ``nct_id`` is the (nullable, repeating) trial key.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortspark.session import checkpoint_dir
 from cohortspark.sources.readers import register_tables
 
 TRIALS_SQL = """
@@ -55,10 +59,36 @@ LEFT JOIN li ON li.l_orderkey=o.o_orderkey
 TRIAL_TABLES = ["orders", "customer", "nation", "region", "part", "documents", "benchmark", "lineitem"]
 
 
-def trials_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw trial table for ``sf_dir`` (every order, 2% of them twice)."""
+_MATERIALIZED: dict[tuple[str, str], str] = {}
+
+
+def trials_view(spark: SparkSession, sf_dir: str, *, materialize: bool = True) -> DataFrame:
+    """The raw trial table for ``sf_dir`` (every order, 2% of them twice).
+
+    It plays the role of the input file, so by default it is written once per
+    application to the shared checkpoint folder and read back as Parquet:
+    later passes (medians, key counts, stats, scoring) then scan a compact
+    columnar table with pruning instead of re-running the joins/aggregate,
+    and lost executors recompute nothing upstream of it.
+    """
     register_tables(spark, sf_dir, TRIAL_TABLES)
-    return spark.sql(TRIALS_SQL)
+    df = spark.sql(TRIALS_SQL)
+    if not materialize:
+        return df
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        tag = hashlib.md5(repr(key).encode()).hexdigest()[:16]
+        path = os.path.join(checkpoint_dir(spark), f"trials-{tag}")
+        target = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            # Small inputs arrive as one or two splits; spread them so the
+            # CPU-heavy row rules downstream use every core. Large inputs
+            # already have more partitions than cores and are left alone.
+            df = df.repartition(target)
+        df.write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
 
 
 def trials_oracle_cte() -> str:
