@@ -374,3 +374,42 @@ FROM pairs2 a JOIN sizes s USING (split) GROUP BY a.split, a.label""")
 def q_knn_metrics(spark, sf_dir):
     e, shares = _knn_shares(spark, sf_dir)
     return label_share_metrics(shares, e, id_col="vec_id")
+
+
+# --------------------------------------------------------------------------- structured features
+
+from cohortspark.operators.features import (  # noqa: E402
+    fit_categorical_encoder, level_table, numeric_block, onehot_long,
+)
+from cohortspark.schema import NUMERIC_COLS  # noqa: E402
+
+
+def _levels_sql() -> str:
+    parts = [f"SELECT DISTINCT '{c}' AS col, {c} AS level, {i} AS col_no FROM geo" for i, c in enumerate(CAT_COLS)]
+    return f""", lv AS ({" UNION ALL ".join(parts)}),
+lvi AS (SELECT col, level, col_no, CAST(row_number() OVER (PARTITION BY col ORDER BY level) - 1 AS INTEGER) AS idx FROM lv),
+lvp AS (SELECT *, CAST(row_number() OVER (ORDER BY col_no, idx) - 1 AS INTEGER) AS position FROM lvi)
+"""
+
+
+@register("category_levels", O.cleaned_cte() + _levels_sql() + "SELECT col, level, idx, position FROM lvp")
+def q_category_levels(spark, sf_dir):
+    g = cleaned_trials(spark, sf_dir)
+    return level_table(spark, fit_categorical_encoder(g))
+
+
+@register("onehot_long", O.cleaned_cte() + _levels_sql() + f"""
+SELECT g.row_id, g.copy_no, p.col || '_' || p.level AS feature, p.position + {len(NUMERIC_COLS)} AS position,
+       1e0 AS value
+FROM ({" UNION ALL ".join(f"SELECT row_id, copy_no, '{c}' AS col, {c} AS level FROM geo" for c in CAT_COLS)}) g
+JOIN lvp p ON p.col = g.col AND p.level = g.level""")
+def q_onehot_long(spark, sf_dir):
+    g = cleaned_trials(spark, sf_dir)
+    model = fit_categorical_encoder(g)
+    return onehot_long(g, model, ROW_KEY, num_offset=len(NUMERIC_COLS))
+
+
+@register("numeric_block", O.cleaned_cte() + f"""
+SELECT row_id, copy_no, {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in NUMERIC_COLS)} FROM geo""")
+def q_numeric_block(spark, sf_dir):
+    return numeric_block(cleaned_trials(spark, sf_dir)).select(*ROW_KEY, *NUMERIC_COLS)
