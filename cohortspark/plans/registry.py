@@ -413,3 +413,68 @@ def q_onehot_long(spark, sf_dir):
 SELECT row_id, copy_no, {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in NUMERIC_COLS)} FROM geo""")
 def q_numeric_block(spark, sf_dir):
     return numeric_block(cleaned_trials(spark, sf_dir)).select(*ROW_KEY, *NUMERIC_COLS)
+
+
+# --------------------------------------------------------------------------- hurdle algebra and constraints
+
+from cohortspark.operators.hurdle import hurdle_combine, presence_label, sex_renormalize  # noqa: E402
+
+
+def _hurdle_inputs(spark, sf_dir):
+    """Presence probability and conditional amount taken from the given tables:
+    p = asian share, y_cond = 2 × aian share (exceeds 1 on some rows)."""
+    t = extract_targets(cleaned_trials(spark, sf_dir), TARGET_COLS)
+    return t.select(*ROW_KEY, F.col("asian_pct").alias("p"), (F.col("aian_pct") * 2.0).alias("y_cond"),
+                    "aian_pct", "nhpi_pct", "male_pct", "female_pct")
+
+
+_HURDLE_BASE = _BASE + """, hin AS (SELECT row_id, copy_no, y_asian_pct AS p, y_aian_pct * 2e0 AS y_cond,
+  y_aian_pct, y_nhpi_pct, y_male_pct, y_female_pct FROM tg)
+"""
+_YC = "least(greatest(y_cond, 0e0), 1e0)"
+
+
+@register("hurdle_labels", _HURDLE_BASE + """
+SELECT row_id, copy_no, CAST(y_aian_pct > 0 AS INTEGER) AS aian_present, CAST(y_nhpi_pct > 0.05e0 AS INTEGER) AS nhpi_present
+FROM hin""")
+def q_hurdle_labels(spark, sf_dir):
+    h = _hurdle_inputs(spark, sf_dir)
+    return h.select(*ROW_KEY, presence_label(F.col("aian_pct")).alias("aian_present"),
+                    presence_label(F.col("nhpi_pct"), 0.05).alias("nhpi_present"))
+
+
+@register("hurdle_soft", _HURDLE_BASE + f"""
+SELECT row_id, copy_no, round(least(greatest(p * {_YC}, 0e0), 1e0), 6) AS y_pred, round(p, 6) AS p_present,
+       round({_YC}, 6) AS y_cond, p >= 0.5e0 AS present FROM hin""")
+def q_hurdle_soft(spark, sf_dir):
+    h = _hurdle_inputs(spark, sf_dir)
+    return h.select(*ROW_KEY, *[v.alias(k) for k, v in hurdle_combine(F.col("p"), F.col("y_cond")).items()])
+
+
+@register("hurdle_hard", _HURDLE_BASE + f"""
+SELECT row_id, copy_no, round(CASE WHEN p >= 0.5e0 THEN {_YC} ELSE 0e0 END, 6) AS y_pred, round(p, 6) AS p_present,
+       round({_YC}, 6) AS y_cond, p >= 0.5e0 AS present FROM hin""")
+def q_hurdle_hard(spark, sf_dir):
+    h = _hurdle_inputs(spark, sf_dir)
+    return h.select(*ROW_KEY, *[v.alias(k) for k, v in
+                                hurdle_combine(F.col("p"), F.col("y_cond"), hard_gate=True).items()])
+
+
+def _renorm_query(variant):
+    def fn(spark, sf_dir):
+        h = _hurdle_inputs(spark, sf_dir)
+        a, b = sex_renormalize(F.col("male_pct"), F.col("female_pct"), variant=variant)
+        return h.select(*ROW_KEY, a.alias("male_pct"), b.alias("female_pct"))
+    return fn
+
+
+_S = "(y_male_pct + y_female_pct)"
+register("sex_renorm_package", _HURDLE_BASE + f"""
+SELECT row_id, copy_no, round(y_male_pct / CASE WHEN {_S} = 0 THEN 1e0 ELSE {_S} END, 6) AS male_pct,
+       round(y_female_pct / CASE WHEN {_S} = 0 THEN 1e0 ELSE {_S} END, 6) AS female_pct FROM hin""")(_renorm_query("package"))
+register("sex_renorm_eps", _HURDLE_BASE + f"""
+SELECT row_id, copy_no, round(least(greatest(y_male_pct / ({_S} + 1e-8), 0e0), 1e0), 6) AS male_pct,
+       round(least(greatest(y_female_pct / ({_S} + 1e-8), 0e0), 1e0), 6) AS female_pct FROM hin""")(_renorm_query("notebook_eps"))
+register("sex_renorm_positive", _HURDLE_BASE + f"""
+SELECT row_id, copy_no, round(CASE WHEN {_S} > 0 THEN y_male_pct / {_S} ELSE y_male_pct END, 6) AS male_pct,
+       round(CASE WHEN {_S} > 0 THEN y_female_pct / {_S} ELSE y_female_pct END, 6) AS female_pct FROM hin""")(_renorm_query("positive_only"))
