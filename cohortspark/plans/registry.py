@@ -478,3 +478,155 @@ SELECT row_id, copy_no, round(least(greatest(y_male_pct / ({_S} + 1e-8), 0e0), 1
 register("sex_renorm_positive", _HURDLE_BASE + f"""
 SELECT row_id, copy_no, round(CASE WHEN {_S} > 0 THEN y_male_pct / {_S} ELSE y_male_pct END, 6) AS male_pct,
        round(CASE WHEN {_S} > 0 THEN y_female_pct / {_S} ELSE y_female_pct END, 6) AS female_pct FROM hin""")(_renorm_query("positive_only"))
+
+
+# --------------------------------------------------------------------------- attribution roll-ups
+
+from cohortspark.operators import attribution as A  # noqa: E402
+
+EMB_DIM = 64
+ATTR_NAMES = A.default_feature_layout(EMB_DIM, NUMERIC_COLS)
+TEXT_DIM = 64
+
+
+def _attr_long(spark, sf_dir):
+    """Long attribution-shaped table from ``embeddings``: key = vec_id,
+    target = label_<label>, feature = layout name of the vector position."""
+    e = read_table(spark, sf_dir, "embeddings")
+    names = F.array(*[F.lit(n) for n in ATTR_NAMES])
+    return (e.select(F.col("vec_id").alias("key"), F.concat(F.lit("label_"), F.col("label").cast("string")).alias("target"),
+                     F.posexplode("embedding").alias("pos", "v"))
+             .select("key", "target", F.element_at(names, F.col("pos") + 1).alias("feature"),
+                     F.col("v").cast("double").alias("value")))
+
+
+def _sql_list(xs):
+    return "[" + ", ".join(O.q(x) for x in xs) + "]"
+
+
+def _sql_group(f: str) -> str:
+    emb = " OR ".join([f"regexp_matches({f}, '^[0-9]+$')"] + [f"starts_with({f}, {O.q(p)})" for p in A.EMBED_PREFIXES])
+    design = " OR ".join(f"starts_with({f}, {O.q(r)})" for r in A.DESIGN_ROOTS)
+    geo = ", ".join(O.q(c) for c in A.REQUIRED_GEO_NUMERIC_COLS)
+    return (f"(CASE WHEN {emb} THEN {O.q(A.GROUP_TEXT)} WHEN starts_with({f}, 'eligibility_') OR contains({f}, 'age') "
+            f"THEN {O.q(A.GROUP_ELIGIBILITY)} WHEN {f} IN ({geo}) THEN {O.q(A.GROUP_SCOPE)} "
+            f"WHEN {design} THEN {O.q(A.GROUP_DESIGN)} ELSE {O.q(A.GROUP_OTHER)} END)")
+
+
+def _sql_block(f: str) -> str:
+    nums = ", ".join(O.q(c) for c in NUMERIC_COLS)
+    return (f"(CASE WHEN {f} IN ({nums}) THEN 'numeric' WHEN starts_with({f}, 'text_emb_') "
+            f"THEN 'text_embeddings' ELSE 'categorical_onehot' END)")
+
+
+_ATTR_BASE = f"""WITH lng AS (SELECT vec_id AS key, 'label_' || CAST(label AS VARCHAR) AS target,
+    {_sql_list(ATTR_NAMES)}[pos] AS feature, CAST(v AS DOUBLE) AS value
+  FROM (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)),
+bt AS (SELECT target, feature, avg(abs(value)) AS mean_abs FROM lng GROUP BY target, feature),
+gl AS (SELECT feature, avg(mean_abs) AS mean_abs_shap FROM bt GROUP BY feature)
+"""
+
+
+def _by_target(spark, sf_dir):
+    return A.mean_abs_by_target(_attr_long(spark, sf_dir))
+
+
+@register("attr_by_target", _ATTR_BASE + "SELECT target, feature, round(mean_abs, 6) AS mean_abs FROM bt")
+def q_attr_by_target(spark, sf_dir):
+    return _by_target(spark, sf_dir)
+
+
+@register("attr_global", _ATTR_BASE + "SELECT feature, round(mean_abs_shap, 6) AS mean_abs_shap FROM gl")
+def q_attr_global(spark, sf_dir):
+    return A.global_importance(_by_target(spark, sf_dir))
+
+
+@register("attr_group_mass", _ATTR_BASE + f"""
+SELECT {_sql_block('feature')} AS "group", round(sum(mean_abs_shap), 6) AS aggregated_shap_mass,
+       count(*) AS n_features, round(avg(mean_abs_shap), 6) AS mean_per_feature FROM gl GROUP BY 1""")
+def q_attr_group_mass(spark, sf_dir):
+    g = A.group_mass(A.global_importance(_by_target(spark, sf_dir)), A.block_group(F.col("feature"), NUMERIC_COLS))
+    return g.select("group", F.col("mean_abs_shap_sum").alias("aggregated_shap_mass"), "n_features",
+                    F.col("mean_abs_shap_per_feature").alias("mean_per_feature"))
+
+
+@register("attr_group_median", _ATTR_BASE + f"""
+SELECT {_sql_group('feature')} AS "group", round(sum(mean_abs_shap), 6) AS mean_abs_shap_sum, count(*) AS n_features,
+       round(avg(mean_abs_shap), 6) AS mean_abs_shap_per_feature,
+       round(median(mean_abs_shap), 6) AS median_abs_shap_per_feature FROM gl GROUP BY 1""")
+def q_attr_group_median(spark, sf_dir):
+    return A.group_mass(A.global_importance(_by_target(spark, sf_dir)), A.feature_group(F.col("feature")),
+                        with_median=True)
+
+
+@register("attr_group_no_embed", _ATTR_BASE + f"""
+SELECT {_sql_group('feature')} AS "group", round(sum(mean_abs_shap), 6) AS mean_abs_shap_sum, count(*) AS n_features,
+       round(avg(mean_abs_shap), 6) AS mean_abs_shap_per_feature
+FROM gl WHERE NOT starts_with(feature, 'text_emb_') GROUP BY 1""")
+def q_attr_group_no_embed(spark, sf_dir):
+    gl = A.global_importance(_by_target(spark, sf_dir)).where(~A.is_embedding(F.col("feature")))
+    return A.group_mass(gl, A.feature_group(F.col("feature")))
+
+
+@register("attr_group_by_target", _ATTR_BASE + f"""
+SELECT {_sql_block('feature')} AS "group", target, round(sum(mean_abs), 6) AS sum_mean_abs_shap FROM bt GROUP BY 1, 2""")
+def q_attr_group_by_target(spark, sf_dir):
+    return A.group_by_target(_by_target(spark, sf_dir), A.block_group(F.col("feature"), NUMERIC_COLS))
+
+
+@register("attr_pivot", _ATTR_BASE + f""", gt AS (SELECT target, {_sql_group('feature')} AS g, sum(mean_abs) AS s FROM bt GROUP BY 1, 2)
+SELECT target, {", ".join(f"round(coalesce(sum(s) FILTER (WHERE g = {O.q(g)}), 0e0), 6) AS {chr(34) + g + chr(34)}" for g in A.GROUP_ORDER)}
+FROM gt GROUP BY target""")
+def q_attr_pivot(spark, sf_dir):
+    return A.group_pivot(_by_target(spark, sf_dir), A.feature_group(F.col("feature")))
+
+
+@register("attr_topk", _ATTR_BASE + """
+SELECT target, rank, feature, round(mean_abs, 6) AS mean_abs FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY mean_abs DESC, feature) AS INTEGER) AS rank FROM bt)
+WHERE rank <= 25""")
+def q_attr_topk(spark, sf_dir):
+    return A.top_k_per_target(_by_target(spark, sf_dir), 25)
+
+
+@register("attr_top_structured", _ATTR_BASE + """
+SELECT feature, round(mean_abs_shap, 6) AS mean_abs_shap FROM gl WHERE NOT starts_with(feature, 'text_emb_')
+ORDER BY mean_abs_shap DESC, feature LIMIT 50""")
+def q_attr_top_structured(spark, sf_dir):
+    return A.top_structured(A.global_importance(_by_target(spark, sf_dir)), 50)
+
+
+def _trial_feature_list(spark, sf_dir):
+    """Feature names of the trial model: numeric, one-hot levels, text slots."""
+    g = cleaned_trials(spark, sf_dir)
+    lv = level_table(spark, fit_categorical_encoder(g))
+    nums = spark.createDataFrame([(c,) for c in NUMERIC_COLS], "feature string")
+    texts = spark.range(TEXT_DIM).select(F.format_string("text_emb_%03d", F.col("id").cast("int")).alias("feature"))
+    return nums.unionByName(lv.select(F.concat_ws("_", "col", "level").alias("feature"))).unionByName(texts)
+
+
+_FEATS_SQL = O.cleaned_cte() + _levels_sql() + f""", feats AS (
+  SELECT unnest({_sql_list(NUMERIC_COLS)}) AS feature UNION ALL SELECT col || '_' || level FROM lvp
+  UNION ALL SELECT printf('text_emb_%03d', i) FROM range({TEXT_DIM}) t(i))
+"""
+
+
+@register("feature_groups", _FEATS_SQL + f"SELECT feature, {_sql_group('feature')} AS \"group\" FROM feats")
+def q_feature_groups(spark, sf_dir):
+    return _trial_feature_list(spark, sf_dir).select("feature", A.feature_group(F.col("feature")).alias("group"))
+
+
+def _sql_title(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split({x}, ''), lambda c, i: CASE WHEN i = 1 OR NOT "
+            f"coalesce(regexp_matches(string_split({x}, '')[i - 1], '^\\p{{L}}$'), false) THEN upper(c) ELSE lower(c) END), '')")
+
+
+_GEO_CASE = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in A.GEO_LABELS.items())
+
+
+@register("feature_labels", _FEATS_SQL + f"""
+SELECT feature, CASE WHEN regexp_matches(feature, '^[0-9]+$') THEN 'text_embed_' || feature
+  WHEN feature IN ({", ".join(O.q(k) for k in A.GEO_LABELS)}) THEN (CASE feature {_GEO_CASE} END)
+  ELSE {_sql_title("trim(replace(feature, '_', ' '), ' ')")} END AS label FROM feats""")
+def q_feature_labels(spark, sf_dir):
+    return _trial_feature_list(spark, sf_dir).select("feature", A.pretty_feature_name(F.col("feature")).alias("label"))
