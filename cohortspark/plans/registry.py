@@ -630,3 +630,62 @@ SELECT feature, CASE WHEN regexp_matches(feature, '^[0-9]+$') THEN 'text_embed_'
   ELSE {_sql_title("trim(replace(feature, '_', ' '), ' ')")} END AS label FROM feats""")
 def q_feature_labels(spark, sf_dir):
     return _trial_feature_list(spark, sf_dir).select("feature", A.pretty_feature_name(F.col("feature")).alias("label"))
+
+
+# --------------------------------------------------------------------------- text embeddings
+
+from cohortspark.functions.numeric import l2_normalize  # noqa: E402
+from cohortspark.operators.embed import hashed_long, mean_pool  # noqa: E402
+
+
+def _merged(spark, sf_dir):
+    c = cleaned_trials(spark, sf_dir)
+    return c.select(*ROW_KEY, merge_text(TEXT_COLS, TEXT_COLS).alias("merged_text"))
+
+
+def _emb_fingerprint(lng):
+    return lng.groupBy(*ROW_KEY).agg(
+        F.count(F.lit(1)).alias("n_nonzero"), F.sum(F.abs("value")).alias("l1"),
+        F.sum(F.col("value") * F.col("value")).alias("l2sq"),
+        F.sum((F.col("bucket") + 1) * F.col("value")).alias("weighted"))
+
+
+@register("text_embedding", O.cleaned_cte() + f"""
+, mt AS (SELECT row_id, copy_no, {O.merge_text_sql(TEXT_COLS, O.TRIALS_PRESENT_TEXT)} AS merged_text FROM trials),
+tk AS (SELECT row_id, copy_no, unnest(regexp_split_to_array(translate(merged_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}]+')) AS tok FROM mt),
+hb AS (SELECT row_id, copy_no, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 384 AS INTEGER) AS bucket,
+        CASE WHEN substr(md5(tok), 9, 1) < '8' THEN 1e0 ELSE -1e0 END AS s FROM tk WHERE tok <> ''),
+lng AS (SELECT row_id, copy_no, bucket, sum(s) AS value FROM hb GROUP BY 1, 2, 3 HAVING sum(s) <> 0)
+SELECT row_id, copy_no, count(*) AS n_nonzero, round(sum(abs(value)), 6) AS l1,
+       round(sum(value * value), 6) AS l2sq, round(sum((bucket + 1) * value), 6) AS weighted
+FROM lng GROUP BY 1, 2""")
+def q_text_embedding(spark, sf_dir):
+    """Hashed embedding of every trial's merged text, reported as an exact
+    per-row fingerprint of the vector (non-zeros, L1, L2², bucket-weighted sum)."""
+    return _emb_fingerprint(hashed_long(_merged(spark, sf_dir), ROW_KEY, "merged_text", dim=384))
+
+
+@register("l2_normalize", """
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(CAST(v AS DOUBLE) / greatest(sqrt(nrm), 1e-12), 6) AS value FROM (
+  SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos,
+         list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS nrm FROM embeddings)""")
+def q_l2_normalize(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.posexplode(l2_normalize(F.col("embedding"))).alias("pos", "value"))
+
+
+@register("mean_pool", """
+WITH tokv AS (SELECT vec_id // 8 AS text_id, vec_id, embedding, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS m FROM embeddings),
+el AS (SELECT text_id, m, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM tokv)
+SELECT text_id, CAST(pos AS INTEGER) AS pos,
+       round(sum(CAST(v AS DOUBLE) * m) / greatest(sum(m) / 1e0, 1e-9), 6) AS value FROM el GROUP BY text_id, pos""")
+def q_mean_pool(spark, sf_dir):
+    """Vectors of 8 consecutive ids act as one text's token states (a bounded
+    group, like a 256-token window); every third token is masked out."""
+    e = read_table(spark, sf_dir, "embeddings")
+    g = e.groupBy((F.col("vec_id") / 8).cast("long").alias("text_id")).agg(
+        F.sort_array(F.collect_list(F.struct("vec_id", "embedding",
+                                             F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1).alias("m")))).alias("t"))
+    pooled = mean_pool(F.col("t.embedding"), F.col("t.m"))
+    return g.select("text_id", F.posexplode(pooled).alias("pos", "value"))
