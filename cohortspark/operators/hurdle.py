@@ -86,19 +86,20 @@ class HurdleModel:
     presence: object            # fitted classification Model / PipelineModel, or None
     regressor: object           # fitted regression Model, or None (no positives → 0)
     threshold: float = HURDLE_THRESHOLD
+    constant_presence: float | None = None   # used when the presence label had one class
 
     def transform(self, df: DataFrame, *, features_col: str = "features", hard_gate: bool = False,
                   clip: bool = True, prefix: str | None = None) -> DataFrame:
         prefix = prefix or f"{self.target}__"
         tmp = df
         if self.presence is not None:
-            tmp = self.presence.setFeaturesCol(features_col).setProbabilityCol(prefix + "prob") \
+            tmp = self.presence.copy().setFeaturesCol(features_col).setProbabilityCol(prefix + "prob") \
                 .setRawPredictionCol(prefix + "raw").setPredictionCol(prefix + "cls").transform(tmp)
             p = vector_to_array(F.col(prefix + "prob"))[1]
         else:
-            p = F.lit(0.0)
+            p = F.lit(float(self.constant_presence or 0.0))
         if self.regressor is not None:
-            tmp = self.regressor.setFeaturesCol(features_col).setPredictionCol(prefix + "reg").transform(tmp)
+            tmp = self.regressor.copy().setFeaturesCol(features_col).setPredictionCol(prefix + "reg").transform(tmp)
             yc = F.col(prefix + "reg")
         else:
             yc = F.lit(0.0)

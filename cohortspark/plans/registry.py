@@ -689,3 +689,59 @@ def q_mean_pool(spark, sf_dir):
                                              F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1).alias("m")))).alias("t"))
     pooled = mean_pool(F.col("t.embedding"), F.col("t.m"))
     return g.select("text_id", F.posexplode(pooled).alias("pos", "value"))
+
+
+# --------------------------------------------------------------------------- fitted models (rows-only checks)
+
+from cohortspark.plans import train as TJ  # noqa: E402
+from cohortspark.operators.scoring import PRED_PREFIX  # noqa: E402
+
+MODEL_TEXT_DIM = 64
+
+
+def _train(spark, sf_dir, out_dir=None, **kw):
+    raw = trials_view(spark, sf_dir)
+    return TJ.train_pipeline(spark, raw, target_cols=TARGET_COLS, text_dim=MODEL_TEXT_DIM,
+                            out_dir=out_dir, **kw)
+
+
+_PRED_COLS = [PRED_PREFIX + t for t in TARGET_COLS]
+
+
+@register("gbt_multi_target")
+def q_gbt_multi_target(spark, sf_dir):
+    out = _train(spark, sf_dir)
+    from cohortspark.operators.models import predict_multitarget
+    p = predict_multitarget(out.split_frame, out.artifacts.models, pred_prefix=PRED_PREFIX)
+    return p.select(*ROW_KEY, "split", *_PRED_COLS)
+
+
+@register("gbt_hurdle")
+def q_gbt_hurdle(spark, sf_dir):
+    out = _train(spark, sf_dir)
+    df = out.split_frame
+    for t, h in out.artifacts.hurdles.items():
+        df = h.transform(df, prefix=f"{t}__")
+    cols = [f"{t}__{x}" for t in out.artifacts.hurdles for x in ("y_pred", "p_present", "y_cond", "present")]
+    return df.select(*ROW_KEY, "split", *cols)
+
+
+@register("scored_frozen")
+def q_scored_frozen(spark, sf_dir):
+    art_dir = TJ.scratch_dir(spark, "artifacts")
+    _train(spark, sf_dir, out_dir=art_dir)
+    scored = TJ.score_with_artifacts(spark, trials_view(spark, sf_dir), art_dir)
+    return scored.select(*ROW_KEY, "nct_id", *_PRED_COLS)
+
+
+@register("evaluate_table")
+def q_evaluate_table(spark, sf_dir):
+    out = _train(spark, sf_dir)
+    from cohortspark.operators.scoring import score_frame
+    return TJ.evaluate(score_frame(out.split_frame, out.artifacts), TARGET_COLS)
+
+
+@register("baselines_report")
+def q_baselines_report(spark, sf_dir):
+    out = _train(spark, sf_dir)
+    return TJ.run_baselines(spark, out, TARGET_COLS)
