@@ -745,3 +745,22 @@ def q_evaluate_table(spark, sf_dir):
 def q_baselines_report(spark, sf_dir):
     out = _train(spark, sf_dir)
     return TJ.run_baselines(spark, out, TARGET_COLS)
+
+
+# --------------------------------------------------------------------------- stream scoring
+
+@register("stream_scored")
+def q_stream_scored(spark, sf_dir):
+    """Raw trial rows replayed as a file stream, scored per micro-batch with
+    frozen artifacts (medians, encoder, models, OOD stats)."""
+    from cohortspark.sources.trials_view import trials_path
+    from cohortspark.streaming.score_stream import read_parquet_stream, start_stream_scoring
+    art_dir = TJ.scratch_dir(spark, "artifacts")
+    raw = trials_view(spark, sf_dir)
+    _train(spark, sf_dir, out_dir=art_dir)
+    src_path = trials_path(spark, sf_dir)
+    out_dir = TJ.scratch_dir(spark, "stream-out")
+    q = start_stream_scoring(spark, read_parquet_stream(spark, src_path, raw.schema), art_dir, out_dir,
+                             select_cols=[*ROW_KEY, "nct_id", *_PRED_COLS, "ood_score", "ood_warn", "ood_crit"])
+    q.awaitTermination()
+    return spark.read.parquet(out_dir).drop("batch_id")
