@@ -764,3 +764,34 @@ def q_stream_scored(spark, sf_dir):
                              select_cols=[*ROW_KEY, "nct_id", *_PRED_COLS, "ood_score", "ood_warn", "ood_crit"])
     q.awaitTermination()
     return spark.read.parquet(out_dir).drop("batch_id")
+
+
+# --------------------------------------------------------------------------- tree attributions
+
+ATTR_SAMPLE = 2000
+
+
+def _attributions(spark, sf_dir):
+    from cohortspark.operators.features import feature_names
+    from cohortspark.operators.treeshap import name_features, tree_attributions
+    out = _train(spark, sf_dir)
+    m = out.artifacts.manifest
+    sample = sample_n(out.split_frame, ATTR_SAMPLE, key_cols=ROW_KEY)
+    sample = sample.withColumn("key", F.concat_ws(":", *[F.col(c).cast("string") for c in ROW_KEY]))
+    long, base = tree_attributions(sample, out.artifacts.models, key_col="key")
+    names = feature_names(m["num_cols"], m["cat_feature_names"], m["embedding_dim"])
+    return name_features(long, names), base
+
+
+@register("tree_attributions")
+def q_tree_attributions(spark, sf_dir):
+    long, _ = _attributions(spark, sf_dir)
+    return long.select("key", "target", "feature", "value")
+
+
+@register("attribution_report")
+def q_attribution_report(spark, sf_dir):
+    """Group table (sum, count, mean, median of mean |attribution|) of the real attributions."""
+    long, _ = _attributions(spark, sf_dir)
+    glob = A.global_importance(A.mean_abs_by_target(long))
+    return A.group_mass(glob, A.feature_group(F.col("feature")), with_median=True)
