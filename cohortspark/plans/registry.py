@@ -795,3 +795,18 @@ def q_attribution_report(spark, sf_dir):
     long, _ = _attributions(spark, sf_dir)
     glob = A.global_importance(A.mean_abs_by_target(long))
     return A.group_mass(glob, A.feature_group(F.col("feature")), with_median=True)
+
+
+# --------------------------------------------------------------------------- tuning
+
+# Reference ranges scaled down for local checks (tree fits are slow in local mode).
+CHECK_SEARCH_SPACE = {"iterations": (3, 8), "depth": (2, 4), "learning_rate": (0.01, 0.2),
+                      "l2_leaf_reg": (1.0, 10.0)}
+
+
+@register("random_search")
+def q_random_search(spark, sf_dir):
+    from cohortspark.operators.tuning import random_search
+    out = _train(spark, sf_dir)
+    train = out.split_frame.where(F.col("split") == "train")
+    return random_search(spark, train, "white_pct", key_cols=ROW_KEY, space=CHECK_SEARCH_SPACE, n_trials=4)
