@@ -810,3 +810,40 @@ def q_random_search(spark, sf_dir):
     out = _train(spark, sf_dir)
     train = out.split_frame.where(F.col("split") == "train")
     return random_search(spark, train, "white_pct", key_cols=ROW_KEY, space=CHECK_SEARCH_SPACE, n_trials=4)
+
+
+# --------------------------------------------------------------------------- sources and sinks
+
+from cohortspark.sources.readers import load_dataframe  # noqa: E402
+from cohortspark.sources.writers import save_dataframe  # noqa: E402
+
+_IO_COLS = ["row_id", "copy_no", "nct_id", "eligibility_min_age", "eligibility_max_age", "sponsor",
+            "Locations", "white_pct"]
+_IO_ORACLE = O.cleaned_cte() + f"SELECT {', '.join(_IO_COLS[:-1])}, round(white_pct, 6) AS white_pct FROM trials"
+
+
+def _round_trip(spark, sf_dir, suffix, schema=None):
+    t = trials_view(spark, sf_dir).select(*_IO_COLS)
+    path = TJ.scratch_dir(spark, "io") + suffix
+    save_dataframe(t, path)
+    return load_dataframe(spark, path, schema=schema or (t.schema if suffix == ".csv" else None))
+
+
+@register("feather_round_trip", _IO_ORACLE)
+def q_feather_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, ".feather")
+
+
+# CSV has one spelling for empty and missing text: both read back as null.
+_CSV_ORACLE = O.cleaned_cte() + "SELECT row_id, copy_no, " + ", ".join(
+    f"nullif({c}, '') AS {c}" for c in _IO_COLS[2:-1]) + ", round(white_pct, 6) AS white_pct FROM trials"
+
+
+@register("csv_round_trip", _CSV_ORACLE)
+def q_csv_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, ".csv")
+
+
+@register("parquet_round_trip", _IO_ORACLE)
+def q_parquet_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, ".parquet")
