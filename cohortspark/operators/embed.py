@@ -49,25 +49,42 @@ def hashed_long(df: DataFrame, key_cols: Sequence[str], text_col: str, *,
               .where(F.col("value") != 0))
 
 
-def hashed_embedding(df: DataFrame, key_cols: Sequence[str], text_col: str, *,
+def token_codes(text: Column, dim: int) -> Column:
+    """Per row, each token's ``bucket * 2 + (1 if the sign is negative)`` (JVM-side md5)."""
+    def code(t):
+        h = F.md5(t)
+        bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
+        neg = F.when(F.substring(h, 9, 1) < F.lit("8"), F.lit(0)).otherwise(F.lit(1))
+        return (bucket * 2 + neg).cast("int")
+    return F.transform(tokens(text), code)
+
+
+def _bincount_udf(dim: int, normalize: bool):
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def dense(codes: pd.Series) -> pd.Series:
+        n = len(codes)
+        lens = codes.map(len).to_numpy()
+        flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes]) if lens.sum() \
+            else np.zeros(0, dtype=np.int64)
+        rows = np.repeat(np.arange(n), lens)
+        sign = 1.0 - 2.0 * (flat & 1)
+        mat = np.bincount(rows * dim + (flat >> 1), weights=sign, minlength=n * dim).reshape(n, dim)
+        if normalize:
+            mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-12)
+        return pd.Series(list(mat.astype(np.float32)))
+    return dense
+
+
+def hashed_embedding(df: DataFrame, key_cols: Sequence[str] | None, text_col: str, *,
                      dim: int = DEFAULT_DIM, normalize: bool = False,
                      out_col: str = "embedding") -> DataFrame:
-    """Dense ``array<float>`` per row, joined back to ``df`` by key.
+    """Dense ``array<float>`` per row, computed inside the row: no shuffle, no join.
 
-    A row's entries are gathered with ``collect_list`` bounded by ``dim``
-    (at most one entry per bucket), so no group grows with the corpus.
+    The JVM hashes tokens into packed codes; one vectorised ``np.bincount``
+    per Arrow batch turns them into vectors. Same values as summing
+    :func:`hashed_long` per row. ``key_cols`` is accepted for API symmetry.
     """
-    lng = hashed_long(df, key_cols, text_col, dim=dim)
-    per_row = lng.groupBy(*key_cols).agg(F.map_from_entries(F.collect_list(
-        F.struct("bucket", "value"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    if normalize:
-        dense = l2_normalize(dense)
-    per_row = per_row.select(*key_cols, F.transform(dense, lambda v: v.cast("float")).alias(out_col))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return (df.join(per_row, list(key_cols), "left")
-              .withColumn(out_col, F.coalesce(F.col(out_col), zero)))
+    return df.withColumn(out_col, _bincount_udf(dim, normalize)(token_codes(F.col(text_col), dim)))
 
 
 def embed_with_encoder(df: DataFrame, text_col: str, encoder_factory: Callable[[], object], *,

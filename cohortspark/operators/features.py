@@ -12,7 +12,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    OneHotEncoder, OneHotEncoderModel, SQLTransformer, StringIndexer, VectorAssembler,
+)
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,10 @@ def _ohe(c: str) -> str:
     return f"{c}__ohe"
 
 
+def _num(c: str) -> str:
+    return f"{c}__index"
+
+
 def categorical_encoder(cat_cols: Sequence[str] = CAT_COLS) -> Pipeline:
     validate_no_geo_in_categoricals(cat_cols)
     cols = list(cat_cols)
@@ -63,15 +69,51 @@ def categorical_encoder(cat_cols: Sequence[str] = CAT_COLS) -> Pipeline:
     ])
 
 
-def fit_categorical_encoder(df: DataFrame, cat_cols: Sequence[str] = CAT_COLS) -> PipelineModel:
-    """M1: one distributed pass collects the levels of every column."""
-    return categorical_encoder(cat_cols).fit(categorical_frame(df, cat_cols))
+def fit_categorical_encoder(df: DataFrame, cat_cols: Sequence[str] = CAT_COLS, *,
+                            max_onehot_levels: int | None = None) -> PipelineModel:
+    """M1: one distributed pass collects the levels of every column.
+
+    ``max_onehot_levels=None`` one-hot encodes every column (reference
+    behaviour). With a bound, columns with more levels enter ``cat_vec`` as
+    one index feature (``col__index``) instead: a tree learner bins every
+    feature of every row, so a one-hot block whose width grows with the data
+    (one sponsor per customer) would make training cost rows × levels.
+    """
+    frame = categorical_frame(df, cat_cols)
+    if max_onehot_levels is None:
+        return categorical_encoder(cat_cols).fit(frame)
+    cols = list(cat_cols)
+    si = StringIndexer(inputCols=cols, outputCols=[_idx(c) for c in cols], handleInvalid="keep",
+                       stringOrderType="alphabetAsc").fit(frame)
+    wide = [c for c, labels in zip(cols, si.labelsArray) if len(labels) <= max_onehot_levels]
+    stages = [si]
+    if wide:
+        stages.append(OneHotEncoder(inputCols=[_idx(c) for c in wide], outputCols=[_ohe(c) for c in wide],
+                                    dropLast=True).fit(si.transform(frame.limit(1))))
+    narrow = [c for c in cols if c not in wide]
+    if narrow:
+        # Plain numbers (the arithmetic drops the nominal metadata, so trees
+        # split on the index as an ordered value, not as a many-valued category).
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
+            f"`{_idx(c)}` + 0.0 AS `{_num(c)}`" for c in narrow) + " FROM __THIS__"))
+    inputs = [_ohe(c) if c in wide else _num(c) for c in cols]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol=CAT_VEC))
+    return PipelineModel(stages)
+
+
+def onehot_columns(model: PipelineModel, cat_cols: Sequence[str] = CAT_COLS) -> list[str]:
+    ohe = [s for s in model.stages if isinstance(s, OneHotEncoderModel)]
+    if not ohe:
+        return []
+    ins = set(ohe[0].getInputCols())
+    return [c for c in cat_cols if _idx(c) in ins]
 
 
 def encode_categoricals(df: DataFrame, model: PipelineModel, cat_cols: Sequence[str] = CAT_COLS,
                         keep_index: bool = False) -> DataFrame:
     """M2: add the sparse ``cat_vec`` column (narrow transform, no shuffle)."""
-    out = model.transform(categorical_frame(df, cat_cols)).drop(*[_ohe(c) for c in cat_cols])
+    out = model.transform(categorical_frame(df, cat_cols))
+    out = out.drop(*[x for c in cat_cols for x in (_ohe(c), _num(c)) if x in out.columns])
     return out if keep_index else out.drop(*[_idx(c) for c in cat_cols])
 
 
@@ -80,8 +122,12 @@ def category_labels(model: PipelineModel) -> list[list[str]]:
 
 
 def cat_feature_names(model: PipelineModel, cat_cols: Sequence[str] = CAT_COLS) -> list[str]:
-    """``col_value`` names in vector order."""
-    return [f"{c}_{v}" for c, labels in zip(cat_cols, category_labels(model)) for v in labels]
+    """``col_value`` names in vector order (``col__index`` for index-encoded columns)."""
+    wide = set(onehot_columns(model, cat_cols))
+    out = []
+    for c, labels in zip(cat_cols, category_labels(model)):
+        out += [f"{c}_{v}" for v in labels] if c in wide else [f"{c}__index"]
+    return out
 
 
 def level_table(spark: SparkSession, model: PipelineModel,

@@ -661,9 +661,19 @@ SELECT row_id, copy_no, count(*) AS n_nonzero, round(sum(abs(value)), 6) AS l1,
        round(sum(value * value), 6) AS l2sq, round(sum((bucket + 1) * value), 6) AS weighted
 FROM lng GROUP BY 1, 2""")
 def q_text_embedding(spark, sf_dir):
-    """Hashed embedding of every trial's merged text, reported as an exact
-    per-row fingerprint of the vector (non-zeros, L1, L2², bucket-weighted sum)."""
-    return _emb_fingerprint(hashed_long(_merged(spark, sf_dir), ROW_KEY, "merged_text", dim=384))
+    """Hashed embedding of every trial's merged text (the dense production
+    path), reported as an exact per-row fingerprint of the vector
+    (non-zeros, L1, L2², bucket-weighted sum); rows with no tokens omitted."""
+    from cohortspark.operators.embed import hashed_embedding
+    e = hashed_embedding(_merged(spark, sf_dir), ROW_KEY, "merged_text", dim=384)
+    v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
+    nz = F.filter(F.transform(v, lambda x, i: F.struct(x.alias("v"), i.alias("i"))), lambda s: s["v"] != 0)
+    return (e.select(*ROW_KEY, nz.alias("nz"))
+             .where(F.size("nz") > 0)
+             .select(*ROW_KEY, F.size("nz").cast("long").alias("n_nonzero"),
+                     F.aggregate("nz", F.lit(0.0), lambda a, s: a + F.abs(s["v"])).alias("l1"),
+                     F.aggregate("nz", F.lit(0.0), lambda a, s: a + s["v"] * s["v"]).alias("l2sq"),
+                     F.aggregate("nz", F.lit(0.0), lambda a, s: a + (s["i"] + 1) * s["v"]).alias("weighted")))
 
 
 @register("l2_normalize", """

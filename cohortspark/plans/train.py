@@ -49,6 +49,7 @@ def train_pipeline(spark: SparkSession, df_raw: DataFrame, *, target_cols: Seque
                    params: dict | None = None, hurdle_params: dict | None = None,
                    sparse_targets: Sequence[str] = SPARSE_TARGETS, hurdle_eps: float = 0.0,
                    text_dim: int = 64, use_text: bool = True, fit_scope: str = "all",
+                   max_onehot_levels: int | None = 256,
                    out_dir: str | None = None, parallelism: int = 4) -> TrainOutputs:
     """clean → geography → split → encoder → features → fit main ∥ hurdles → OOD stats → artifacts."""
     validate_schema()
@@ -57,13 +58,14 @@ def train_pipeline(spark: SparkSession, df_raw: DataFrame, *, target_cols: Seque
     split = assign_split(clean, key_col=key_col)
     split = extract_targets(split, target_cols)
     enc_rows = split if fit_scope == "all" else split.where(F.col("split") == "train")
-    encoder = fit_categorical_encoder(enc_rows, CAT_COLS)
+    encoder = fit_categorical_encoder(enc_rows, CAT_COLS, max_onehot_levels=max_onehot_levels)
     cat_names = cat_feature_names(encoder, CAT_COLS)
     manifest = build_schema_manifest(
         cat_cols=CAT_COLS, num_cols=NUMERIC_COLS, cat_feature_names=cat_names,
         text_model_name=f"hashing:{TEXT_EMBEDDING_MODEL}" if use_text else "none",
         text_cols=TEXT_COLS, embedding_dim=text_dim if use_text else 0, targets=target_cols,
         extra={"use_text": use_text, "key_col": key_col, "row_key": list(row_key),
+               "max_onehot_levels": max_onehot_levels,
                "n_features": len(NUMERIC_COLS) + len(cat_names) + (text_dim if use_text else 0)})
     feats = build_features(split, encoder, manifest, list(row_key))
     # One materialisation of the assembled frame, reused by every fit and by scoring.

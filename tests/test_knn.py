@@ -31,3 +31,16 @@ def test_blocked_equals_bruteforce(spark):
         for r in sorted(nb, key=lambda r: (r["q_id"], r["rank"])):
             got.setdefault(r["q_id"], []).append(r["n_id"])
         assert got == want
+
+
+def test_dense_hashing_equals_long_form(spark):
+    from pyspark.sql import functions as F
+    from cohortspark.operators.embed import hashed_embedding, hashed_long
+    rows = [(1, "The cat sat on the mat, the CAT!"), (2, None), (3, "naïve café — 42 x42"), (4, "")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    dense = {r["id"]: list(r["embedding"]) for r in hashed_embedding(df, ["id"], "t", dim=16).collect()}
+    lng = hashed_long(df, ["id"], "t", dim=16).collect()
+    want = {i: [0.0] * 16 for i in (1, 2, 3, 4)}
+    for r in lng:
+        want[r["id"]][r["bucket"]] = r["value"]
+    assert dense == want
