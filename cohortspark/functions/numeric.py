@@ -55,3 +55,8 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 def l2_normalize(a: Column, floor: float = 1e-12) -> Column:
     n = F.greatest(l2_norm(a), F.lit(floor))
     return F.transform(a, lambda v: v.cast("double") / n)
+
+
+def as_percent(c: Column, digits: int = 2) -> Column:
+    """share → percent rounded for display."""
+    return F.round(c * F.lit(100.0), digits)

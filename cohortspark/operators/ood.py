@@ -50,25 +50,24 @@ def score_ood(df: DataFrame, stats: DataFrame, cols: Sequence[str] = OOD_COLS, *
               score_col: str = "ood_score") -> DataFrame:
     """Max |z| over ``cols``; a null value counts as the mean (z = 0).
 
-    ``stats`` has one row per column: pivoted to one row and joined as a
-    broadcast nested-loop join with a single-row build side (size fixed).
+    ``stats`` has one row per column (k rows); they are fetched once and
+    folded into the plan as literals, so scoring is a pure projection (no
+    join, works unchanged on streams).
     """
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise KeyError(f"Missing OOD columns in df: {missing}")
-    one = stats.agg(*[x for i, c in enumerate(cols) for x in (
-        F.first(F.when(F.col("col") == c, F.col("mean")), ignorenulls=True).alias(f"_om{i}"),
-        F.first(F.when(F.col("col") == c, F.col("std")), ignorenulls=True).alias(f"_os{i}"))])
-    joined = df.crossJoin(F.broadcast(one))
-    zs = [F.abs((F.coalesce(to_double(F.col(f"`{c}`")), F.col(f"_om{i}")) - F.col(f"_om{i}"))
-                / F.col(f"_os{i}")) for i, c in enumerate(cols)]
-    # An undefined training mean makes the reference's score NaN, later read as 0.
-    any_undefined = F.lit(False)
-    for i in range(len(cols)):
-        any_undefined = any_undefined | F.col(f"_om{i}").isNull()
-    score = F.when(any_undefined, F.lit(None).cast("double")).otherwise(F.array_max(F.array(*zs)))
-    return joined.withColumn(score_col, score).drop(*[f"_o{t}{i}" for i in range(len(cols))
-                                                       for t in "ms"])
+    got = {r["col"]: (r["mean"], r["std"]) for r in stats.where(F.col("col").isin(*cols)).collect()}
+    if any(c not in got for c in cols):
+        raise KeyError(f"OOD stats lack columns: {[c for c in cols if c not in got]}")
+    if any(got[c][0] is None for c in cols):
+        # An undefined training mean makes the reference's score NaN, later read as 0.
+        return df.withColumn(score_col, F.lit(None).cast("double"))
+    zs = []
+    for c in cols:
+        m, s = float(got[c][0]), float(got[c][1])
+        zs.append(F.abs((F.coalesce(to_double(F.col(f"`{c}`")), F.lit(m)) - F.lit(m)) / F.lit(s)))
+    return df.withColumn(score_col, F.array_max(F.array(*zs)))
 
 
 def flag_ood(df: DataFrame, *, score_col: str = "ood_score", warn_thresh: float = WARN_THRESH,

@@ -70,12 +70,20 @@ def assign_split(df: DataFrame, *, key_col: str | None = "nct_id", seed: int = R
                  holdout_frac: float = HOLDOUT_FRAC, variant: str = "round",
                  bucket_bits: int = DEFAULT_BUCKET_BITS,
                  broadcast_keys: int = DEFAULT_BROADCAST_KEYS,
-                 split_col: str = "split") -> DataFrame:
-    """Return ``df`` with a ``split`` column (train / test / holdout)."""
-    validate_fractions(train_frac, test_frac, holdout_frac)
+                 split_col: str = "split", key_cols: Sequence[str] | None = None,
+                 quota_fn=None) -> DataFrame:
+    """Return ``df`` with a ``split`` column (train / test / holdout).
+
+    ``key_cols`` keys rows by several columns; ``quota_fn(n) -> (n_train,
+    n_test, n_holdout)`` replaces the fraction rule (e.g. a fixed-size sample).
+    """
+    if quota_fn is None:
+        validate_fractions(train_frac, test_frac, holdout_frac)
     if bucket_bits % 4 or not 4 <= bucket_bits <= 24:
         raise ValueError("bucket_bits must be a multiple of 4 in [4, 24]")
-    if key_col and key_col in df.columns:
+    if key_cols:
+        k = row_key(key_cols)
+    elif key_col and key_col in df.columns:
         k = key_string(F.col(f"`{key_col}`"))
     else:
         k = row_key(df.columns)
@@ -90,7 +98,8 @@ def assign_split(df: DataFrame, *, key_col: str | None = "nct_id", seed: int = R
     n = sum(c for _, c in counts)
     if n == 0:
         raise ValueError("Cannot split empty dataframe.")
-    n_train, n_test, _ = quotas(n, train_frac, test_frac, holdout_frac, variant)
+    n_train, n_test, _ = (quota_fn(n) if quota_fn is not None
+                          else quotas(n, train_frac, test_frac, holdout_frac, variant))
     cuts = (n_train, n_train + n_test)
 
     offsets, straddle, last_train, last_test = {}, [], -1, None
@@ -165,6 +174,7 @@ def stable_split(df: DataFrame, *, key_col: str = "nct_id", seed: int = RANDOM_S
                  train_frac: float = TRAIN_FRAC, test_frac: float = TEST_FRAC) -> DataFrame:
     """Append-stable split (a key's split never changes as data grows);
     quotas hold only approximately. Pure projection, works on streams."""
-    u = F.pmod(F.xxhash64(F.lit(seed), key_string(F.col(key_col))), F.lit(1_000_000)) / 1_000_000.0
+    h = order_hash(key_string(F.col(key_col)), seed)
+    u = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(16 ** 8)
     return df.withColumn("split", F.when(u < train_frac, "train")
                          .when(u < train_frac + test_frac, "test").otherwise("holdout"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators.models import gbt_kwargs
-from cohortspark.operators.split import order_hash, row_key
+from cohortspark.operators.split import assign_split
 from cohortspark.schema import RANDOM_SEED
 
 # The reference's search space and trial count.
@@ -46,15 +46,13 @@ def sample_params(space: dict, n: int, seed: int = RANDOM_SEED) -> list[dict]:
 
 
 def validation_flag(df: DataFrame, key_cols: Sequence[str], n_valid: int, seed: int = RANDOM_SEED) -> DataFrame:
-    """Mark the ``n_valid`` rows with the smallest key hash (no global sort of ``df``:
-    the cut-off hash comes from a top-n, then a filter)."""
-    k = row_key(key_cols)
-    h = order_hash(k, seed)
-    cut = df.select(h.alias("_h"), k.alias("_k")).orderBy("_h", "_k").limit(n_valid) \
-        .agg(F.max(F.struct("_h", "_k")).alias("m")).first()["m"]
-    if cut is None:
-        return df.withColumn("_valid", F.lit(False))
-    return df.withColumn("_valid", F.struct(h.alias("_h"), k.alias("_k")) <= F.struct(F.lit(cut["_h"]), F.lit(cut["_k"])))
+    """Mark exactly ``n_valid`` rows (smallest key hash) as validation rows.
+
+    Uses the bucketed exact-quota split, so no task ever holds the sample.
+    """
+    s = assign_split(df, key_cols=key_cols, seed=seed, split_col="_vsplit",
+                     quota_fn=lambda n: (min(n_valid, n), 0, n - min(n_valid, n)))
+    return s.withColumn("_valid", F.col("_vsplit") == "train").drop("_vsplit")
 
 
 def random_search(spark: SparkSession, train: DataFrame, target: str, *, key_cols: Sequence[str],

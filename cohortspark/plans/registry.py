@@ -857,3 +857,43 @@ def q_csv_round_trip(spark, sf_dir):
 @register("parquet_round_trip", _IO_ORACLE)
 def q_parquet_round_trip(spark, sf_dir):
     return _round_trip(spark, sf_dir, ".parquet")
+
+
+# --------------------------------------------------------------------------- split checks, counts, exports
+
+from cohortspark.operators.split import check_disjoint, stable_split  # noqa: E402
+
+
+@register("split_disjoint", O.cleaned_cte() + O.split_cte() + """
+SELECT coalesce(nct_id, '__null__') AS key, count(DISTINCT split) AS n_splits FROM splitted GROUP BY 1 HAVING count(DISTINCT split) > 1""")
+def q_split_disjoint(spark, sf_dir):
+    return check_disjoint(split_trials(spark, sf_dir))
+
+
+@register("split_stable", O.cleaned_cte() + """
+, u AS (SELECT row_id, copy_no, CAST(('0x' || substr(md5('42:' || coalesce(nct_id, '__null__')), 1, 8))::BIGINT AS DOUBLE) / 4294967296e0 AS u FROM geo)
+SELECT row_id, copy_no, CASE WHEN u < 0.64e0 THEN 'train' WHEN u < 0.64e0 + 0.16e0 THEN 'test' ELSE 'holdout' END AS split FROM u""")
+def q_split_stable(spark, sf_dir):
+    return stable_split(cleaned_trials(spark, sf_dir)).select(*ROW_KEY, "split")
+
+
+@register("feature_group_counts", _FEATS_SQL + f"SELECT {_sql_group('feature')} AS \"group\", count(*) AS n FROM feats GROUP BY 1")
+def q_feature_group_counts(spark, sf_dir):
+    f = _trial_feature_list(spark, sf_dir)
+    return f.groupBy(A.feature_group(F.col("feature")).alias("group")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("attr_ranked_json")
+def q_attr_ranked_json(spark, sf_dir):
+    """IO13: per-target top-25 lists written as JSON to the shared folder and read back."""
+    path = TJ.scratch_dir(spark, "ranked-json")
+    A.write_ranked_json(_by_target(spark, sf_dir), path, 25)
+    return spark.read.json(path).select("target", F.to_json("features").alias("features_json"))
+
+
+@register("display_percent", _BASE + _pred_cte("pm", []) + f"""
+SELECT row_id, copy_no, {", ".join(f"round(p_{t} * 100e0, 2) AS {t}" for t in TARGET_COLS)} FROM pm""")
+def q_display_percent(spark, sf_dir):
+    from cohortspark.functions.numeric import as_percent
+    p = _mean_predictions(spark, sf_dir)
+    return p.select(*ROW_KEY, *[as_percent(F.col(f"pred_{t}")).alias(t) for t in TARGET_COLS])
