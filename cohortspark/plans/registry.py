@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +44,16 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+@F.pandas_udf(T.StructType([T.StructField("n_nonzero", T.LongType()), T.StructField("l1", T.DoubleType()),
+                            T.StructField("l2sq", T.DoubleType()), T.StructField("weighted", T.DoubleType())]))
+def _vector_fingerprint(v: pd.Series) -> pd.DataFrame:
+    """Exact summary of dense vectors: non-zeros, L1, L2², (index+1)-weighted sum."""
+    m = np.vstack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, 1))
+    idx = np.arange(1, m.shape[1] + 1, dtype=np.float64)
+    return pd.DataFrame({"n_nonzero": (m != 0).sum(axis=1).astype(np.int64), "l1": np.abs(m).sum(axis=1),
+                         "l2sq": (m * m).sum(axis=1), "weighted": m @ idx})
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
@@ -666,14 +678,13 @@ def q_text_embedding(spark, sf_dir):
     (non-zeros, L1, L2², bucket-weighted sum); rows with no tokens omitted."""
     from cohortspark.operators.embed import hashed_embedding
     e = hashed_embedding(_merged(spark, sf_dir), ROW_KEY, "merged_text", dim=384)
-    v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
-    nz = F.filter(F.transform(v, lambda x, i: F.struct(x.alias("v"), i.alias("i"))), lambda s: s["v"] != 0)
-    return (e.select(*ROW_KEY, nz.alias("nz"))
-             .where(F.size("nz") > 0)
-             .select(*ROW_KEY, F.size("nz").cast("long").alias("n_nonzero"),
-                     F.aggregate("nz", F.lit(0.0), lambda a, s: a + F.abs(s["v"])).alias("l1"),
-                     F.aggregate("nz", F.lit(0.0), lambda a, s: a + s["v"] * s["v"]).alias("l2sq"),
-                     F.aggregate("nz", F.lit(0.0), lambda a, s: a + (s["i"] + 1) * s["v"]).alias("weighted")))
+    fp = _fingerprint_udf()(F.col("embedding"))
+    return (e.select(*ROW_KEY, fp.alias("fp")).where(F.col("fp.n_nonzero") > 0)
+             .select(*ROW_KEY, "fp.*"))
+
+
+def _fingerprint_udf():
+    return _vector_fingerprint
 
 
 @register("l2_normalize", """

@@ -16,8 +16,7 @@ from cohortspark.operators.features import cat_feature_names, fit_categorical_en
 from cohortspark.operators.geo import derive_geography, geo_guardrails
 from cohortspark.operators.metrics import extract_targets, metrics_long, metrics_table
 from cohortspark.operators.models import (
-    CHECK_PRESET, fit_hurdles, fit_multitarget, predict_multitarget, regressor_factory,
-    classifier_factory,
+    CHECK_PRESET, fit_all, fit_multitarget, predict_multitarget,
 )
 from cohortspark.operators.neighbors import knn_mean_targets, knn_neighbors
 from cohortspark.operators.embed import hashed_embedding
@@ -50,7 +49,7 @@ def train_pipeline(spark: SparkSession, df_raw: DataFrame, *, target_cols: Seque
                    sparse_targets: Sequence[str] = SPARSE_TARGETS, hurdle_eps: float = 0.0,
                    text_dim: int = 64, use_text: bool = True, fit_scope: str = "all",
                    max_onehot_levels: int | None = 256,
-                   out_dir: str | None = None, parallelism: int = 4) -> TrainOutputs:
+                   out_dir: str | None = None, parallelism: int = 8) -> TrainOutputs:
     """clean → geography → split → encoder → features → fit main ∥ hurdles → OOD stats → artifacts."""
     validate_schema()
     params = params or CHECK_PRESET
@@ -72,11 +71,9 @@ def train_pipeline(spark: SparkSession, df_raw: DataFrame, *, target_cols: Seque
     # One materialisation of the assembled frame, reused by every fit and by scoring.
     feats = feats.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else feats.cache()
     train = feats.where(F.col("split") == "train")
-    models = fit_multitarget(train, target_cols, params=params, parallelism=parallelism,
-                             key_cols=list(row_key))
-    hurdles = fit_hurdles(train, target_cols, sparse_targets, eps=hurdle_eps,
-                          presence_factory=classifier_factory(hurdle_params or params),
-                          reg_factory=regressor_factory(hurdle_params or params))
+    models, hurdles = fit_all(train, target_cols, sparse_targets, params=params,
+                              hurdle_params=hurdle_params, eps=hurdle_eps, key_cols=list(row_key),
+                              parallelism=parallelism)
     ood = fit_ood_stats(train, OOD_COLS)
     art = Artifacts(manifest, encoder, models, hurdles, ood, stats)
     if out_dir:
