@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,16 +77,49 @@ def _bincount_udf(dim: int, normalize: bool):
     return dense
 
 
+def _batch_vectors(token_lists: pd.Series, dim: int, normalize: bool) -> np.ndarray:
+    """Dense signed-hash counts for a batch of token lists (one numpy pass)."""
+    n = len(token_lists)
+    rows, toks = [], []
+    for r, tl in enumerate(token_lists):
+        if tl is None:
+            continue
+        kept = [t for t in tl if t]
+        toks.extend(kept)
+        rows.append(np.full(len(kept), r, dtype=np.int64))
+    mat = np.zeros((n, dim))
+    if toks:
+        dig = np.frombuffer(b"".join(hashlib.md5(t.encode("utf-8")).digest() for t in toks),
+                            dtype=np.uint8).reshape(-1, 16).astype(np.int64)
+        word = (dig[:, 0] << 24) | (dig[:, 1] << 16) | (dig[:, 2] << 8) | dig[:, 3]
+        bucket = word % dim                                  # first 8 hex digits of the md5
+        sign = np.where((dig[:, 4] >> 4) < 8, 1.0, -1.0)     # 9th hex digit
+        mat = np.bincount(np.concatenate(rows) * dim + bucket, weights=sign,
+                          minlength=n * dim).reshape(n, dim)
+    if normalize:
+        mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-12)
+    return mat
+
+
+def _hash_vectors_udf(dim: int, normalize: bool):
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def dense(token_lists: pd.Series) -> pd.Series:
+        return pd.Series(list(_batch_vectors(token_lists, dim, normalize).astype(np.float32)))
+    return dense
+
+
 def hashed_embedding(df: DataFrame, key_cols: Sequence[str] | None, text_col: str, *,
                      dim: int = DEFAULT_DIM, normalize: bool = False,
                      out_col: str = "embedding") -> DataFrame:
     """Dense ``array<float>`` per row, computed inside the row: no shuffle, no join.
 
-    The JVM hashes tokens into packed codes; one vectorised ``np.bincount``
-    per Arrow batch turns them into vectors. Same values as summing
-    :func:`hashed_long` per row. ``key_cols`` is accepted for API symmetry.
+    The JVM lower-cases and splits the text (codegen); per Arrow batch the
+    tokens are md5-hashed in one pass and a single ``np.bincount`` builds the
+    vectors. Same values as summing :func:`hashed_long` per row.
+    ``key_cols`` is accepted for API symmetry.
     """
-    return df.withColumn(out_col, _bincount_udf(dim, normalize)(token_codes(F.col(text_col), dim)))
+    split = F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), TOKEN_SPLIT)
+    return df.withColumn(out_col, _hash_vectors_udf(dim, normalize)(split))
 
 
 def embed_with_encoder(df: DataFrame, text_col: str, encoder_factory: Callable[[], object], *,
