@@ -325,7 +325,7 @@ def q_baseline_zero(spark, sf_dir):
           f"SELECT 'mean' AS \"Baseline\", * FROM ({_wide_sql('lm')}) UNION ALL "
           f"SELECT 'mean_plus_zero_sparse' AS \"Baseline\", * FROM ({_wide_sql('lz')})")
 def q_baseline_union(spark, sf_dir):
-    s = extract_targets(split_trials(spark, sf_dir), TARGET_COLS).cache()
+    s = extract_targets(split_trials(spark, sf_dir), TARGET_COLS).select("split", *TARGET_COLS).cache()
     tables = {
         "mean": metrics_table(metrics_long(mean_baseline(s, TARGET_COLS), TARGET_COLS, _pred_cols())),
         "mean_plus_zero_sparse": metrics_table(metrics_long(
