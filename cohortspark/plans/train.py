@@ -68,6 +68,10 @@ def train_pipeline(spark: SparkSession, df_raw: DataFrame, *, target_cols: Seque
                "max_onehot_levels": max_onehot_levels,
                "n_features": len(NUMERIC_COLS) + len(cat_names) + (text_dim if use_text else 0)})
     feats = build_features(split, encoder, manifest, list(row_key))
+    # Keep what later stages read (texts, the widest columns, are dropped).
+    keep = list(dict.fromkeys([*row_key, key_col, "split", *target_cols, *NUMERIC_COLS, "cat_vec", "features",
+                               *(["text_vec", "embedding"] if use_text else [])]))
+    feats = feats.select(*[c for c in keep if c in feats.columns])
     # One materialisation of the assembled frame, reused by every fit and by scoring.
     feats = feats.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else feats.cache()
     train = feats.where(F.col("split") == "train")
