@@ -8,7 +8,7 @@ the fixed value lists.
 
 from __future__ import annotations
 
-from cohortspark.functions.age import AGE_UNIT_TOKENS, MISSING_AGE_WORDS
+from cohortspark.functions.age import AGE_UNIT_TOKENS, MISSING_AGE_WORDS, NOTEBOOK_AGE_UNIT_TOKENS
 from cohortspark.functions.geo import STATE_PATTERN, STATE_TO_REGION
 from cohortspark.functions.text import WHITESPACE_CLASS
 from cohortspark.schema import CAT_COLS, TEXT_COLS
@@ -44,6 +44,17 @@ def parse_age_sql(x: str) -> str:
             f"ELSE NULL END)")
 
 
+def parse_age_notebook_sql(x: str) -> str:
+    """Notebook rule: each listed token removed once as written, strip, float()."""
+    c = f"CAST({x} AS VARCHAR)"
+    for form in NOTEBOOK_AGE_UNIT_TOKENS:
+        c = f"replace({c}, {q(form)}, '')"
+    c = strip(c)
+    return (f"(CASE WHEN regexp_matches({c}, {q(NUM_RE)}) THEN CAST(replace({c}, '_', '') AS DOUBLE) "
+            f"WHEN lower({c}) IN ('inf', '+inf', 'infinity', '+infinity') THEN CAST('inf' AS DOUBLE) "
+            f"WHEN lower({c}) IN ('-inf', '-infinity') THEN CAST('-inf' AS DOUBLE) ELSE NULL END)")
+
+
 def region_case(x: str) -> str:
     whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in sorted(STATE_TO_REGION.items()))
     return f"(CASE {x} {whens} END)"

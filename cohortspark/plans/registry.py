@@ -908,3 +908,12 @@ def q_display_percent(spark, sf_dir):
     from cohortspark.functions.numeric import as_percent
     p = _mean_predictions(spark, sf_dir)
     return p.select(*ROW_KEY, *[as_percent(F.col(f"pred_{t}")).alias(t) for t in TARGET_COLS])
+
+
+@register("parse_age_notebook", O.cleaned_cte() + f"""
+SELECT row_id, copy_no, round({O.parse_age_notebook_sql('eligibility_min_age')}, 6) AS min_age_years,
+       round({O.parse_age_notebook_sql('eligibility_max_age')}, 6) AS max_age_years FROM trials""")
+def q_parse_age_notebook(spark, sf_dir):
+    """the notebook's age rule (its own token list, no sign stripping)."""
+    t = clean_ops.with_parsed(trials_view(spark, sf_dir), variant="notebook")
+    return t.select(*ROW_KEY, F.col("_pmin").alias("min_age_years"), F.col("_pmax").alias("max_age_years"))

@@ -66,3 +66,12 @@ def test_states_and_regions(spark):
     for (loc, states, regions), row in zip(cases, out):
         assert list(row["s"]) == states, loc
         assert row["r"] == regions, loc
+
+
+def test_parse_age_notebook_variant(spark):
+    from cohortspark.functions.age import with_parsed_ages
+    cases = [("18 Years", 18.0), (">=21", None), ("65+", None), ("40 yrs", 40.0), ("70 YEARS", None),
+             ("55.5 yr", 55.5), ("75 Y", 75.0), ("nan", None), ("", None), (None, None)]
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(cases)], "i int, s string")
+    got = {r["i"]: r["y"] for r in with_parsed_ages(df, {"y": "s"}, variant="notebook").collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
