@@ -41,7 +41,8 @@ def with_parsed(df: DataFrame, min_age_col: str = "eligibility_min_age",
 
 
 def fit_clean(df: DataFrame, *, min_age_col: str = "eligibility_min_age",
-              max_age_col: str = "eligibility_max_age", median: str = "exact") -> CleanStats:
+              max_age_col: str = "eligibility_max_age", median: str = "exact",
+              variant: str = "package") -> CleanStats:
     """Medians of the parsed ages (nulls skipped), in one aggregate job.
 
     ``median="exact"`` uses Spark's exact percentile, whose buffer holds one
@@ -49,7 +50,7 @@ def fit_clean(df: DataFrame, *, min_age_col: str = "eligibility_min_age",
     ``percentile_approx`` for columns with unbounded distinct counts.
     """
     agg = F.median if median == "exact" else (lambda c: F.percentile_approx(c, 0.5, 100000))
-    row = with_parsed(df, min_age_col, max_age_col).agg(
+    row = with_parsed(df, min_age_col, max_age_col, variant).agg(
         agg("_pmin").alias("lo"), agg("_pmax").alias("hi")).first()
     lo = MIN_AGE_FALLBACK if row["lo"] is None else float(row["lo"])
     hi = MAX_AGE_FALLBACK if row["hi"] is None else float(row["hi"])

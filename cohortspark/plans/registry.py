@@ -917,3 +917,25 @@ def q_parse_age_notebook(spark, sf_dir):
     """the notebook's age rule (its own token list, no sign stripping)."""
     t = clean_ops.with_parsed(trials_view(spark, sf_dir), variant="notebook")
     return t.select(*ROW_KEY, F.col("_pmin").alias("min_age_years"), F.col("_pmax").alias("max_age_years"))
+
+
+def _nb_clean_sql() -> str:
+    cats = ", ".join(f"(CASE WHEN {c} IS NULL OR {c} IN ('nan', 'None', 'Unknown') THEN 'Unknown' ELSE {c} END) AS {c}"
+                     for c in CAT_COLS)
+    return O.cleaned_cte() + f""", nbp AS (SELECT *, {O.parse_age_notebook_sql('eligibility_min_age')} AS qmin,
+    {O.parse_age_notebook_sql('eligibility_max_age')} AS qmax FROM trials),
+nbm AS (SELECT coalesce(median(qmin), 0e0) AS mmin, coalesce(median(qmax), 100e0) AS mmax FROM nbp)
+SELECT row_id, copy_no, round(coalesce(qmin, mmin), 6) AS eligibility_min_age_yrs,
+       round(coalesce(qmax, mmax), 6) AS eligibility_max_age_yrs,
+       CAST(qmin IS NULL AS INTEGER) AS min_age_missing, CAST(qmax IS NULL AS INTEGER) AS max_age_missing, {cats}
+FROM nbp, nbm"""
+
+
+@register("clean_notebook", _nb_clean_sql())
+def q_clean_notebook(spark, sf_dir):
+    """Notebook cleaning: its age rule, no clamp or swap, '' kept as a category."""
+    t = trials_view(spark, sf_dir)
+    stats = clean_ops.fit_clean(t, variant="notebook")
+    c = clean_ops.apply_clean(t, stats, clamp=False, swap=False, variant="notebook")
+    return c.select(*ROW_KEY, "eligibility_min_age_yrs", "eligibility_max_age_yrs", "min_age_missing",
+                    "max_age_missing", *CAT_COLS)
