@@ -939,3 +939,23 @@ def q_clean_notebook(spark, sf_dir):
     c = clean_ops.apply_clean(t, stats, clamp=False, swap=False, variant="notebook")
     return c.select(*ROW_KEY, "eligibility_min_age_yrs", "eligibility_max_age_yrs", "min_age_missing",
                     "max_age_missing", *CAT_COLS)
+
+
+@register("attr_pivot_mean", _ATTR_BASE + f""", gt AS (SELECT target, {_sql_group('feature')} AS g, avg(mean_abs) AS s FROM bt GROUP BY 1, 2)
+SELECT target, {", ".join(f"round(coalesce(sum(s) FILTER (WHERE g = {O.q(g)}), 0e0), 6) AS {chr(34) + g + chr(34)}" for g in A.GROUP_ORDER)}
+FROM gt GROUP BY target""")
+def q_attr_pivot_mean(spark, sf_dir):
+    """A16 (per-feature mean variant): target × group mean of mean |value|, missing → 0."""
+    return A.group_pivot(_by_target(spark, sf_dir), A.feature_group(F.col("feature")), how="mean")
+
+
+@register("gbt_early_stopping")
+def q_gbt_early_stopping(spark, sf_dir):
+    """M8: fits that stop on the test rows' error (validation indicator column)."""
+    from cohortspark.operators.models import fit_multitarget, predict_multitarget
+    out = _train(spark, sf_dir)
+    fit_rows = out.split_frame.where(F.col("split") != "holdout").withColumn("_is_valid", F.col("split") == "test")
+    models = fit_multitarget(fit_rows, TARGET_COLS, params={"iterations": 10, "learning_rate": 0.3, "depth": 3},
+                             validation_col="_is_valid", key_cols=ROW_KEY)
+    p = predict_multitarget(out.split_frame, models, pred_prefix=PRED_PREFIX)
+    return p.select(*ROW_KEY, "split", *_PRED_COLS)
