@@ -78,3 +78,26 @@ def test_ood_numbers(spark):
     assert abs(out[3]["ood_score"] - 3.6742346) < 1e-6 and out[3]["ood_crit"]
     const = fit_ood_stats(spark.createDataFrame([(7.0,), (7.0,)], "x double"), ["x"]).first()
     assert const["std"] == 1e-12
+
+
+def test_mahalanobis_matches_numpy(spark):
+    import numpy as np
+    from cohortspark.operators.ood import fit_mahalanobis, mahalanobis
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3)) @ np.array([[1.0, 0.3, 0.0], [0.0, 1.0, 0.5], [0.0, 0.0, 2.0]])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, a double, b double, c double")
+    model = fit_mahalanobis(df, ["a", "b", "c"])
+    got = {r["i"]: r["mahalanobis"] for r in mahalanobis(df, model).collect()}
+    mu, icov = x.mean(axis=0), np.linalg.inv(np.cov(x, rowvar=False))
+    d = x - mu
+    want = np.sqrt(np.einsum("ij,jk,ik->i", d, icov, d))
+    assert np.allclose([got[i] for i in range(len(x))], want, atol=1e-9)
+
+
+def test_ranked_importance_structure(spark):
+    from cohortspark.operators.attribution import mean_abs_by_target, ranked_importance
+    rows = [("k1", "t1", "f1", 3.0), ("k1", "t1", "f2", -1.0), ("k2", "t1", "f3", 2.0), ("k1", "t2", "f1", 0.5)]
+    long = spark.createDataFrame(rows, "key string, target string, feature string, value double")
+    out = {r["target"]: [(x["feature"], x["mean_abs_shap"]) for x in r["features"]]
+           for r in ranked_importance(mean_abs_by_target(long), k=2).collect()}
+    assert out == {"t1": [("f1", 3.0), ("f3", 2.0)], "t2": [("f1", 0.5)]}
