@@ -34,3 +34,17 @@ def test_csv_and_unknown_suffix(spark):
     assert [r["eligibility_min_age"] for r in df.orderBy("nct_id").collect()] == ["18 Years", "65+"]
     with pytest.raises(ValueError):
         load_dataframe(spark, os.path.join(d, "t.xlsx"))
+
+
+def test_keyed_sink_and_report_table(spark):
+    import glob
+    from cohortspark.sources.writers import save_keyed, save_table
+    d = tempfile.mkdtemp(prefix="cs-sinks-")
+    df = spark.createDataFrame([(1, 0.25, True), (2, 0.5, False)], "nct_id int, ood_score double, ood_warn boolean")
+    save_keyed(df, os.path.join(d, "pred.parquet"), "nct_id", ["ood_score", "ood_warn"])
+    back = spark.read.parquet(os.path.join(d, "pred.parquet"))
+    assert back.columns == ["nct_id", "ood_score", "ood_warn"]
+    assert dict(back.dtypes)["nct_id"] == "string"
+    save_table(df, os.path.join(d, "report"))
+    files = glob.glob(os.path.join(d, "report", "part-*.csv"))
+    assert len(files) == 1 and open(files[0]).readline().strip() == "nct_id,ood_score,ood_warn"
