@@ -140,3 +140,8 @@ def default_feature_layout(dim: int, num_cols: Sequence[str], cat_cols: Sequence
     names = list(num_cols) + [f"{c}_{level}" for c in cat_cols]
     names = names[:dim]
     return names + [f"text_emb_{i:03d}" for i in range(dim - len(names))]
+
+
+def attributions_for_target(long: DataFrame, target: str) -> DataFrame:
+    """One target's slice of the long attribution table."""
+    return long.where(F.col("target") == F.lit(target)).drop("target")

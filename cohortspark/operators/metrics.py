@@ -33,10 +33,19 @@ def extract_targets(df: DataFrame, target_cols: Sequence[str], *, null_targets:
 
 
 def metrics_long(df: DataFrame, target_cols: Sequence[str], pred_cols: Sequence[str], *,
-                 split_col: str | None = "split", clip: bool = True) -> DataFrame:
-    """``(split, target, rmse, mae, n)``; both sides clipped to [0, 1] when ``clip``."""
+                 split_col: str | None = "split", clip: bool = True,
+                 target_names: Sequence[str] | None = None) -> DataFrame:
+    """``(split, target, rmse, mae, n)``; both sides clipped to [0, 1] when ``clip``.
+
+    ``target_names`` labels the rows (P23: ``target_i`` when none are given
+    and the columns carry no usable names, i.e. ``target_names=[]``).
+    """
     if len(target_cols) != len(pred_cols):
         raise ValueError("target and prediction column lists differ in length")
+    if target_names is not None and len(target_names) == 0:
+        target_names = [f"target_{i}" for i in range(len(target_cols))]
+    if target_names is not None and len(target_names) != len(target_cols):
+        raise ValueError(f"target_names length {len(target_names)} != n_targets {len(target_cols)}")
     aggs = []
     for i, (t, p) in enumerate(zip(target_cols, pred_cols)):
         y, yh = F.col(f"`{t}`"), F.col(f"`{p}`")
@@ -46,8 +55,9 @@ def metrics_long(df: DataFrame, target_cols: Sequence[str], pred_cols: Sequence[
         aggs += [F.sqrt(F.avg(d * d)).alias(f"r{i}"), F.avg(F.abs(d)).alias(f"a{i}")]
     keys = [split_col] if split_col else []
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    labels = list(target_names) if target_names is not None else list(target_cols)
     rows = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"r{i}").alias("rmse"),
-                              F.col(f"a{i}").alias("mae")) for i, t in enumerate(target_cols)])
+                              F.col(f"a{i}").alias("mae")) for i, t in enumerate(labels)])
     return per.select(*keys, "n", F.inline(rows))
 
 

@@ -88,3 +88,15 @@ def test_artifacts_round_trip_and_stream_equals_batch(spark):
     assert s == b
     with pytest.raises(FileNotFoundError):
         load_artifacts(spark, os.path.join(art_dir, "missing"))
+
+
+def test_positional_target_names_and_target_slice(spark):
+    from cohortspark.operators.attribution import attributions_for_target
+    df = spark.createDataFrame([("train", 1.0, 0.5, 0.0, 0.0)], "split string, a double, pa double, b double, pb double")
+    got = {r["target"] for r in metrics_long(df, ["a", "b"], ["pa", "pb"], target_names=[]).collect()}
+    assert got == {"target_0", "target_1"}
+    with pytest.raises(ValueError):
+        metrics_long(df, ["a", "b"], ["pa", "pb"], target_names=["x"])
+    long = spark.createDataFrame([("k", "t1", "f", 1.0), ("k", "t2", "f", 2.0)],
+                                 "key string, target string, feature string, value double")
+    assert [r["value"] for r in attributions_for_target(long, "t2").collect()] == [2.0]
