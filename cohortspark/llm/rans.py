@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 
-MAGIC, SCALE_BITS, LANES, MARK_STEPS = b"RANS", 20, 1024, 64
+MAGIC, SCALE_BITS, LANES, MARK_STEPS = b"RANS", 20, 4096, 128
 LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIIIII")
 
@@ -50,7 +50,7 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, mark_steps: int =
     """One block of ``ids``."""
     ids = np.ascontiguousarray(ids, "<u4")
     n = len(ids)
-    lanes = max(1, min(lanes, n))
+    lanes = max(1, min(lanes, n // 64))
     steps = -(-n // lanes)
     x = np.full(lanes, LOW, np.uint64)
     out, marks, written = [], [], 0

@@ -1,7 +1,7 @@
 """Token-ID files: tokenise whole texts, write the ids in ascending document order with the rANS coder, read them back.
 
-``write_tokens`` makes three passes that all spread over the cluster: texts to ids (kept in the shared folder), one sum of id
-counts for the shared frequency table, and a range partition by document id in which each task encodes its own blocks.
+``write_tokens`` makes two passes that spread over the cluster: texts to ids (kept in the shared folder) and their counts, whose
+sum gives the shared frequency table, and a range partition by document id in which each task encodes its own blocks.
 ``read_tokens`` decodes the blocks in parallel; a document longer than a block has its checksum combined from parts.
 
 Edge cases: null texts are empty; every document ends with ``end_id``, so an empty one has one id. Repeated ids are all written,
@@ -23,7 +23,7 @@ from cohortspark.llm import rans
 from cohortspark.llm.common import materialize, pack_counts, plain, release, scratch, sum_counts, unpack_counts
 from cohortspark.llm.tokens import default_path, encoder
 
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 20
 _POLY = 0xEDB88320
 
 
@@ -48,19 +48,28 @@ def crc_join(first: int, second: int, n_bytes: int) -> int:
     return _times(first, shift) ^ second
 
 
-def token_ids(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): the packed ids of each text, ``end_id`` last. Ids take 2 bytes if the vocabulary allows."""
+def token_ids(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, size: int) -> DataFrame:
+    """(doc_id, ids, salt, counts): the packed ids of each text, ``end_id`` last. Ids take 2 bytes if the vocabulary allows.
+
+    Each task ends with one row that has counts instead: how often it wrote each of the ``size`` ids.
+    """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
         enc = encoder(tokenizer)
         tail = np.asarray([end_id], enc.dtype).tobytes()
+        total, schema = np.zeros(size, np.int64), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("salt", pa.int64()), ("counts", pa.binary())])
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 step = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_pydict({"doc_id": step.column(0), "ids": pa.array([b + tail for b in enc.encode(step.column(1).to_pylist())], pa.binary())})
+                blobs = [b + tail for b in enc.encode(step.column(1).to_pylist())]
+                total += np.bincount(np.frombuffer(b"".join(blobs), enc.dtype), minlength=size)
+                none = pa.nulls(len(blobs))
+                yield pa.RecordBatch.from_arrays([step.column(0), pa.array(blobs, pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_pydict({"doc_id": [None], "ids": [None], "salt": [TaskContext.get().partitionId()], "counts": [pack_counts(total)]}, schema=schema)
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(part, "doc_id long, ids binary")
+    return rows.mapInArrow(part, "doc_id long, ids binary, salt long, counts binary")
 
 
 def id_dtype(tokenizer: str) -> np.dtype:
@@ -68,28 +77,16 @@ def id_dtype(tokenizer: str) -> np.dtype:
     return np.dtype("<u2") if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
 
-def count_ids(ids: DataFrame, dtype: np.dtype, size: int) -> np.ndarray:
-    """How often each id stands in ``ids``."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=size)
-        yield pa.RecordBatch.from_pydict({"salt": [TaskContext.get().partitionId()], "counts": [pack_counts(total)]})
-
-    rows = sum_counts(ids.select("ids").mapInArrow(part, "salt long, counts binary"), [], size).collect()
-    return sum((unpack_counts(r["counts"], np.int64) for r in rows), np.zeros(size, np.int64))
-
-
 def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0) -> None:
     """Write the container: ``path``/blocks (one row per block) and ``path``/table (id, frequency)."""
     spark, tokenizer = df.sparkSession, tokenizer or default_path()
     dtype = id_dtype(tokenizer)
     from tokenizers import Tokenizer
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
-    ids, ids_path = materialize(token_ids(df, id_col, text_col, tokenizer, end_id), "ids")
-    freq = rans.scale(count_ids(ids, dtype, size))
+    ids, ids_path = materialize(token_ids(df, id_col, text_col, tokenizer, end_id, size), "ids")
+    counts = sum_counts(ids.where("counts is not null").select("salt", "counts"), [], size).collect()
+    freq = rans.scale(sum((unpack_counts(r["counts"], np.int64) for r in counts), np.zeros(size, np.int64)))
+    ids = ids.where("counts is null").select("doc_id", "ids")
     spark.createDataFrame(pd.DataFrame({"id": np.arange(size), "freq": freq})).coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)
 

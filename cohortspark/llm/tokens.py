@@ -26,47 +26,67 @@ class Encoder:
     Texts with longer runs of white space are encoded as they are.
     """
 
-    def __init__(self, path: str, cache: int = 800_000):
+    def __init__(self, path: str, cache: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        # words of letters only: a cut at each space is all that the pre-tokeniser's pattern does to them
+        self.letters = Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        size = self.tok.get_vocab_size()
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.leads = np.zeros(size, bool)  # ids whose bytes start with a space
+        self.leads[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
         self.cache, self.known, self.first, self.ends = cache, {}, {}, {}
         self.newline = self.tok.encode("\n", add_special_tokens=False).ids
 
     def raw(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _keep(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        if len(starts) != len(pieces):
+            return
+        blob, size = ids.tobytes(), ids.itemsize
+        self.known.update(zip(pieces, [blob[a:b] for a, b in zip((starts * size).tolist(), (stops * size).tolist(), strict=True)], strict=True))
+
     def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in one call; the line break between two of them is a token of its own.
+        """Encode new pieces, many in one call.
 
-        A comma or full stop after a letter is a token run of its own, so ``word,`` follows from ``word``.
+        Words of letters are told apart by the space that leads each; other pieces stand on lines of their own, since a line
+        break between two of them is a token of its own. A comma or full stop after a letter is a token run of its
+        own, so ``word,`` follows from ``word``.
         """
-        ended = [p for p in pieces if p[-1:] in (",", ".") and p[-2:-1].isalpha()]
-        if ended:
-            have = dict.fromkeys(p for p in pieces if p[-1:] not in (",", ".") or not p[-2:-1].isalpha())
-            have.update(dict.fromkeys(p[:-1] for p in ended if p[:-1] not in self.known))
-            pieces = list(have)
-        for lo in range(0, len(pieces), 5000):
-            part = pieces[lo:lo + 5000]
-            plain = [p for p in part if p and not p[0].isspace() and not p[-1].isspace() and "\n" not in p] if len(self.newline) == 1 else []
-            if plain:
-                ids = np.asarray(self.tok.encode_batch_fast([" " + "\n ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
-                ends = np.flatnonzero(ids == self.newline[0])
-                if len(ends) == len(plain) - 1:
-                    starts = np.concatenate([[0], ends + 1]) * ids.itemsize
-                    stops = np.concatenate([ends, [len(ids)]]) * ids.itemsize
-                    blob = ids.tobytes()
-                    for p, a, b in zip(plain, starts.tolist(), stops.tolist(), strict=True):
-                        self.known[p] = blob[a:b]
-            for p in part:
-                if p not in self.known:
-                    self.known[p] = self.raw(p if p[:1] == "\n" else " " + p)
+        known, ended, words, plain = self.known, [], {}, []
+        for p in pieces:
+            if p.isalpha():
+                words[p] = None
+            elif p[-1:] in (",", ".") and p[:-1].isalpha():
+                ended.append(p)
+                if p[:-1] not in known:
+                    words[p[:-1]] = None
+            elif p and not p[0].isspace() and not p[-1].isspace() and "\n" not in p and len(self.newline) == 1:
+                plain.append(p)
+        words = list(words)
+        for lo in range(0, len(words), 2000):
+            part = words[lo:lo + 2000]
+            ids = np.asarray(self.letters.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            starts = np.flatnonzero(self.leads[ids])
+            self._keep(part, ids, starts, np.append(starts[1:], len(ids)))
+        for lo in range(0, len(plain), 2000):
+            part = plain[lo:lo + 2000]
+            ids = np.asarray(self.tok.encode_batch_fast([" " + "\n ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(ids == self.newline[0])
+            self._keep(part, ids, np.concatenate([[0], ends + 1]), np.append(ends, len(ids)))
         for p in ended:
             if p[-1] not in self.ends:
                 self.ends[p[-1]] = self.raw(p[-1])
-            self.known[p] = self.known[p[:-1]] + self.ends[p[-1]]
+            if p[:-1] in known:
+                known[p] = known[p[:-1]] + self.ends[p[-1]]
+        for p in pieces:
+            if p not in known:
+                known[p] = self.raw(p if p[:1] == "\n" else " " + p)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids (``self.dtype``) of each text; null texts give none."""
@@ -74,33 +94,39 @@ class Encoder:
         if len(known) > self.cache:
             known.clear()
             self.first.clear()
+        get = known.get
         split: list = []
+        new: dict[str, None] = {}
         for x in texts:
             if not x:
                 split.append(b"")
             elif _TORN.search(x):
                 split.append(self.raw(x))
             else:
-                split.append(x.replace("\n", " \n").split(" "))
-        new: dict[str, None] = {}
-        for w in split:
-            if type(w) is list:
-                for p in w[1:]:
-                    if p not in known:
-                        new[p] = None
+                w = x.replace("\n", " \n").split(" ")
+                head = w[0]
+                if head not in self.first:
+                    self.first[head] = self.raw(head) if head else b""
+                ids = list(map(get, w))
+                ids[0] = self.first[head]
+                if None in ids:
+                    gaps = [i for i, v in enumerate(ids) if v is None]
+                    missing = [w[i] for i in gaps]
+                    new.update(dict.fromkeys(missing))
+                    split.append((ids, gaps, missing))
+                else:
+                    split.append(b"".join(ids))
         if new:
             self.learn(list(new))
         out = []
-        get = known.__getitem__
         for w in split:
             if type(w) is bytes:
                 out.append(w)
                 continue
-            head = w[0]
-            if head not in self.first:
-                self.first[head] = self.raw(head) if head else b""
-            w[0] = ""
-            out.append(self.first[head] + b"".join(map(get, w[1:])))
+            ids, gaps, missing = w
+            for i, p in zip(gaps, missing, strict=True):
+                ids[i] = known[p]
+            out.append(b"".join(ids))
         return out
 
 
