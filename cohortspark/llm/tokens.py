@@ -39,7 +39,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.leads = np.zeros(size, bool)  # ids whose bytes start with a space
         self.leads[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.cache, self.known, self.first, self.ends = cache, {}, {}, {}
+        self.cache, self.known, self.ends = cache, {}, {}
         self.newline = self.tok.encode("\n", add_special_tokens=False).ids
 
     def raw(self, text: str) -> bytes:
@@ -58,9 +58,11 @@ class Encoder:
         break between two of them is a token of its own. A comma or full stop after a letter is a token run of its
         own, so ``word,`` follows from ``word``.
         """
-        known, ended, words, plain = self.known, [], {}, []
+        known, ended, words, plain, lines = self.known, [], {}, [], []
         for p in pieces:
-            if p.isalpha():
+            if p[:1] == "\n" and p[1:].isalpha():
+                lines.append(p)
+            elif p.isalpha():
                 words[p] = None
             elif p[-1:] in (",", ".") and p[:-1].isalpha():
                 ended.append(p)
@@ -74,11 +76,13 @@ class Encoder:
             ids = np.asarray(self.letters.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             starts = np.flatnonzero(self.leads[ids])
             self._keep(part, ids, starts, np.append(starts[1:], len(ids)))
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo:lo + 2000]
-            ids = np.asarray(self.tok.encode_batch_fast([" " + "\n ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(ids == self.newline[0])
-            self._keep(part, ids, np.concatenate([[0], ends + 1]), np.append(ends, len(ids)))
+        for kind in (plain, lines) if len(self.newline) == 1 else ():
+            for lo in range(0, len(kind), 2000):
+                part = kind[lo:lo + 2000]
+                text = "".join(part) if kind is lines else "\n" + "\n".join([" " + p for p in part])
+                ids = np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+                starts = np.flatnonzero(ids == self.newline[0])
+                self._keep(part, ids, starts + (kind is plain), np.append(starts[1:], len(ids)))
         for p in ended:
             if p[-1] not in self.ends:
                 self.ends[p[-1]] = self.raw(p[-1])
@@ -93,8 +97,7 @@ class Encoder:
         known = self.known
         if len(known) > self.cache:
             known.clear()
-            self.first.clear()
-        get = known.get
+        get, skip = known.get, len(self.newline) * self.dtype.itemsize
         split: list = []
         new: dict[str, None] = {}
         for x in texts:
@@ -103,19 +106,17 @@ class Encoder:
             elif _TORN.search(x):
                 split.append(self.raw(x))
             else:
-                w = x.replace("\n", " \n").split(" ")
-                head = w[0]
-                if head not in self.first:
-                    self.first[head] = self.raw(head) if head else b""
+                # a line break before the text makes its first piece one like any other; its id goes again below
+                w = ("\n" + x).replace("\n", " \n").split(" ")
+                del w[0]
                 ids = list(map(get, w))
-                ids[0] = self.first[head]
                 if None in ids:
                     gaps = [i for i, v in enumerate(ids) if v is None]
                     missing = [w[i] for i in gaps]
                     new.update(dict.fromkeys(missing))
                     split.append((ids, gaps, missing))
                 else:
-                    split.append(b"".join(ids))
+                    split.append(b"".join(ids)[skip:])
         if new:
             self.learn(list(new))
         out = []
@@ -126,7 +127,7 @@ class Encoder:
             ids, gaps, missing = w
             for i, p in zip(gaps, missing, strict=True):
                 ids[i] = known[p]
-            out.append(b"".join(ids))
+            out.append(b"".join(ids)[skip:])
         return out
 
 
