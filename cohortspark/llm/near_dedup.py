@@ -5,10 +5,10 @@ document frequencies are counted over all documents in FREQ_SLOTS hashed slots (
 consistent weighted samples per document are cut into bands of ROWS; documents that share a band are candidates, and a
 candidate pair is linked if its weighted Jaccard similarity is at least ``threshold``. Classes are the connected components.
 
-Equal texts are one node from the start. Inside a band's group every member is first compared with the group's least node;
-groups that still hold several components then compare each member with the other components' least nodes (if the samples of the
-two agree often enough for a similarity of ``threshold``), until no component changes. So a group of n copies makes about n
-pairs, not n squared.
+Equal texts are one node from the start. Every member of a band's group is compared with the group's least node. Then the
+members are grouped anew by NARROW bands of NARROW_ROWS samples; where a member and the group's head (another one in each group) are still in
+different components and their samples agree often enough for a similarity of ``threshold``, the two are compared as well. So every
+document is compared with at most BANDS + NARROW others whatever the size of its groups, and a class is found through its members' links to heads.
 
 Edge cases: null texts count as empty; equal texts (empty ones too) are copies; a text of one to four words has one shingle of all its
 words; a text without words has no shingle and only its equals are near it. Of equal ids the class takes the least id; null ids sort last.
@@ -29,7 +29,8 @@ from cohortspark.llm.components import components
 THRESHOLD, WORDS, BANDS, ROWS = 0.8, 5, 10, 4
 SAMPLES = BANDS * ROWS
 FREQ_SLOTS = 1 << 20
-#: Samples that two documents must share before they are compared outside of the first round: with a similarity of
+NARROW, NARROW_ROWS = 24, 8
+#: Samples that two documents must share before they are compared in the second round: with a similarity of
 #: 0.8, fewer than 18 of 40 agree once in 10 million pairs.
 AGREE = 18
 _STEP = 1 << 19
@@ -46,6 +47,12 @@ def _pool() -> dict[str, np.ndarray]:
     return _POOL
 
 
+def _narrow() -> list[list[int]]:
+    """Which samples make up each narrow band."""
+    rng = np.random.default_rng(8)
+    return [sorted(rng.choice(SAMPLES, NARROW_ROWS, replace=False).tolist()) for _ in range(NARROW)]
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingle, tf, begin): distinct shingles of each document in ascending order (48-bit hashes), and each document's first."""
     h, first = word_hashes(data, offsets)
@@ -194,28 +201,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     feats, feats_path = materialize(src.select("key", "text").join(asked, "key").mapInArrow(featurise, "key binary, shingles binary, weights binary").dropDuplicates(["key"]), "features")
     links, links_path = materialize(_verified(known, feats, threshold), "verified")
-    paths = [links_path]
-    while True:
-        roots, roots_path = materialize(components(links), "roots")
-        paths.append(roots_path)
-        state = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("at", "key", F.coalesce("root", "key").alias("root"))
-        leads = state.groupBy("at", "root").agg(F.min("key").alias("lead"))
-        several = leads.groupBy("at").agg(F.count("*").alias("roots")).where("roots > 1").select("at")
-        cross = (state.join(several, "at").join(leads.withColumnRenamed("root", "other"), "at").where("root <> other")
-                 .select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b")).distinct().join(known, ["a", "b"], "left_anti"))
-        own = nodes.select("key", "samples")
-        cross = (cross.join(own.toDF("a", "xs"), "a").join(own.toDF("b", "ys"), "b")
-                 .where(F.size(F.filter(F.zip_with("xs", "ys", lambda x, y: x == y), lambda e: e)) >= AGREE).select("a", "b"))
-        cross, cross_path = materialize(cross, "pairs")
-        if cross.isEmpty():
-            break
-        more, more_path = materialize(_verified(cross, feats, threshold), "verified")
-        known = known.union(cross)
-        paths += [cross_path, more_path]
-        if more.isEmpty():
-            break
-        links = links.union(more)
-    release(spark, feats_path, members_path)
+    roots, roots_path = materialize(components(links), "roots")
+
+    # second round: narrower groups, each with a head of its own, for members that differ from their head's component
+    state = asked.join(nodes.select("key", "samples"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    narrow = F.array(*[F.xxhash64(F.lit(BANDS + i), *[F.get("samples", int(j)) for j in pick]) for i, pick in enumerate(_narrow())])
+    narrow = state.select("key", F.coalesce("root", "key").alias("root"), F.explode(narrow).alias("at"))
+    heads = (narrow.groupBy("at").agg(F.min(F.struct(F.xxhash64("key", "at").alias("rank"), "key", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high"))
+             .where("low <> high").select("at", F.col("head.key").alias("head"), F.col("head.root").alias("head_root")))
+    cross = (narrow.join(heads, "at").where("root <> head_root").select(F.greatest("key", "head").alias("a"), F.least("key", "head").alias("b")).distinct()
+             .join(known, ["a", "b"], "left_anti"))
+    own = nodes.select("key", "samples")
+    cross = (cross.join(own.toDF("a", "xs"), "a").join(own.toDF("b", "ys"), "b")
+             .where(F.size(F.filter(F.zip_with("xs", "ys", lambda x, y: x == y), lambda e: e)) >= AGREE).select("a", "b"))
+    cross, cross_path = materialize(cross, "pairs")
+    more, more_path = materialize(_verified(cross, feats, threshold), "verified")
+    if not more.isEmpty():
+        roots, _ = materialize(components(links.union(more)), "roots")
+    release(spark, feats_path, members_path, known_path, cross_path, more_path, links_path)
 
     classed = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))
     rep = classed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("rep"), F.sum("copies").alias("class_size"))
