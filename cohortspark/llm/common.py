@@ -77,11 +77,11 @@ def sum_counts(partials: DataFrame, keys: list[str], size: int) -> DataFrame:
 
 # ---------------------------------------------------------------- Arrow iteration
 
-def text_steps(batches: Iterable[pa.RecordBatch], column: str = "text", step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_steps(batches: Iterable[pa.RecordBatch], column: str = "text", step: int = STEP_BYTES, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut record batches into steps of about ``step`` bytes of text.
 
     Yields (batch, bytes, offsets): the UTF-8 bytes of the step's texts back to back and
-    the n + 1 offsets of the documents in them. Null texts are empty. No text is cut.
+    the n + 1 offsets of the documents in them, lower-cased if asked. Null texts are empty. No text is cut.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -89,6 +89,8 @@ def text_steps(batches: Iterable[pa.RecordBatch], column: str = "text", step: in
         i = batch.schema.get_field_index(column)
         col = batch.column(i)
         col = col.cast(pa.large_string()).fill_null("") if col.type != pa.binary() else col.cast(pa.large_binary()).fill_null(b"")
+        if lower:
+            col = pa.compute.utf8_lower(col)
         off = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1]
         data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
         lo = 0

@@ -78,7 +78,7 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         total = np.zeros(FREQ_SLOTS + 1, np.int64)
-        for _, data, offsets in _cut(text_steps(batches, "text", _STEP)):
+        for _, data, offsets in _cut(text_steps(batches, "text", _STEP, lower=True)):
             total[:-1] += np.bincount(slots(features(data, offsets)[0]), minlength=FREQ_SLOTS)
             total[-1] += len(offsets) - 1
         yield pa.RecordBatch.from_pydict({"salt": [TaskContext.get().partitionId()], "counts": [pack_counts(total)]})
@@ -161,14 +161,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(text).alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
+    src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     freq, n = document_frequency(src)
     # frequencies of slots hold other shingles too; a slot in every document still weighs a little
     idf = np.log((n + 2) / (freq + 1)).astype(np.float32)
     idf = spark.sparkContext.broadcast(idf)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in _cut(text_steps(batches, "text", _STEP)):
+        for batch, data, offsets in _cut(text_steps(batches, "text", _STEP, lower=True)):
             shingle, tf, begin = features(data, offsets)
             samples = sample(shingle, _weights(shingle, tf, idf.value), begin)
             some = np.diff(begin) > 0
@@ -190,7 +190,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch, data, offsets in _cut(text_steps(batches, "text", _STEP)):
+        for batch, data, offsets in _cut(text_steps(batches, "text", _STEP, lower=True)):
             shingle, tf, begin = features(data, offsets)
             weight = _weights(shingle, tf, idf.value).astype(np.float32)
             keys = batch.column(0).to_pylist()
