@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import U, materialize, mix, plain, sorted_groups
+from cohortspark.llm.common import materialize, mix, plain, sorted_groups
 from cohortspark.llm.components import components
 
-TABLES, BLOCK_ROWS, BUCKET_ROWS = 10, 2048, 256
+TABLES, BLOCK_ROWS, BUCKET_ROWS = 8, 2048, 256
 _SIGNS: dict[tuple, np.ndarray] = {}
 
 
@@ -48,6 +48,13 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def placements(x: np.ndarray, tables: int, hashes: int, seed: int = 7) -> np.ndarray:
     """(rows, tables, 1 + hashes) bucket numbers: the own bucket, then one probe per hash."""
     n, dim = x.shape
@@ -76,7 +83,7 @@ def placements(x: np.ndarray, tables: int, hashes: int, seed: int = 7) -> np.nda
     return out.view(np.int64)
 
 
-def _count_links(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, place: np.ndarray, other: np.ndarray, table: int, bucket: int,
+def _count_links(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, place: np.ndarray, table: int, bucket: int,
                  side: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Link counts of the group's rows and a forest of its links. ``side`` 0 and 1: compare across; all 2: within."""
     n = len(ids)
@@ -120,7 +127,9 @@ def _count_links(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, place: np.n
 
 def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, tables: int = TABLES) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``df``."""
-    src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"))
+    single = dict(df.dtypes)[vec_col] == "array<float>"
+    kind = np.dtype("<f4") if single else np.dtype("<f8")
+    src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<float>" if single else "array<double>").alias("vec"))
     ok = (F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
           & F.exists("vec", lambda c: c != 0))
     src = src.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("key", F.when(F.col("ok"), F.md5(F.concat_ws(",", F.col("vec").cast("array<string>")))))
@@ -130,44 +139,39 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     dim = src.where("ok").agg(F.max(F.size("vec"))).first()[0] or 1
     hashes = max(1, math.ceil(math.log(max(2.0, n / BUCKET_ROWS)) / math.log(2 * dim)))
 
-    rep = src.where("ok").join(nodes.where("true"), "key").where("id = node").dropDuplicates(["node", "key"]).select("node", "copies", "vec")
+    rep = src.where("ok").join(nodes, "key").where("id = node").dropDuplicates(["node", "key"]).select("node", "copies", "vec")
+    width = tables * (1 + hashes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 ids, copies = np.asarray(part.column(0)), np.asarray(part.column(1))
-                vecs = [np.asarray(v, float) for v in part.column(2).to_pylist()]
+                vecs = [np.asarray(v, kind) for v in part.column(2).to_pylist()]
                 for d in sorted({len(v) for v in vecs}):
                     at = [i for i, v in enumerate(vecs) if len(v) == d]
-                    x = np.stack([vecs[i] for i in at])
-                    x /= np.abs(x).max(1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    pl = placements(x, tables, hashes)
-                    blobs, places = [r.tobytes() for r in x], [r.tobytes() for r in pl]
-                    m = tables * (1 + hashes)
-                    rows = np.repeat(np.arange(len(at)), m)
-                    yield pa.RecordBatch.from_pydict({
-                        "id": ids[at][rows], "copies": copies[at][rows], "tab": np.tile(np.repeat(np.arange(tables), 1 + hashes), len(at)),
-                        "bucket": pl.reshape(-1), "vec": pa.array(blobs, pa.binary()).take(pa.array(rows)),
-                        "place": pa.array(places, pa.binary()).take(pa.array(rows))})
-
-    placed = rep.mapInArrow(place, "id long, copies long, tab long, bucket long, vec binary, place binary")
-    placed = placed.dropDuplicates(["tab", "bucket", "id"]) if hashes > 1 else placed
-    placed, _ = materialize(placed, "placed")
+                    pl = placements(unit(np.stack([vecs[i] for i in at])), tables, hashes)
+                    offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * width)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(copies[at]), pa.array([vecs[i].tobytes() for i in at], pa.binary()),
+                                                      pa.ListArray.from_arrays(offsets, pa.array(pl.reshape(-1)))], names=["id", "copies", "vec", "place"])
+
+    signed, _ = materialize(rep.mapInArrow(place, "id long, copies long, vec binary, place array<long>"), "signed")
+    # buckets first travel as numbers only; vectors follow to those that hold several
+    placed = signed.select("id", F.posexplode("place").alias("at", "bucket")).select("id", F.floor(F.col("at") / (1 + hashes)).cast("long").alias("tab"), "bucket")
     sizes = placed.groupBy("tab", "bucket").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("long"))
     hot = placed.join(sizes, ["tab", "bucket"])
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     hot = hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     hot = hot.select("tab", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
                      F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long").alias("side"),
-                     "id", "copies", "vec", "place")
+                     "id").join(signed, "id")
     keys = ["tab", "bucket", "lo", "hi"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, keys, 4096):
             cols = {c: np.asarray(table.column(c)) for c in (*keys, "side", "id", "copies")}
-            vec, pl = table.column("vec").to_pylist(), table.column("place").to_pylist()
+            vec = table.column("vec").to_pylist()
+            pl = np.asarray(table.column("place").combine_chunks().flatten()).reshape(-1, tables, 1 + hashes)
             new = np.ones(table.num_rows, bool)
             new[1:] = np.logical_or.reduce([cols[k][1:] != cols[k][:-1] for k in keys])
             ends = np.append(np.flatnonzero(new), table.num_rows)
@@ -176,10 +180,9 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                 side = cols["side"][a:b]
                 if b - a < 2 or not ((side == 2).all() or (side == 0).any() and (side == 1).any()):
                     continue
-                x = np.stack([np.frombuffer(v) for v in vec[a:b]])
-                p = np.stack([np.frombuffer(v, np.int64) for v in pl[a:b]]).reshape(b - a, tables, 1 + hashes)
+                x = unit(np.stack([np.frombuffer(v, kind) for v in vec[a:b]]))
                 ids = cols["id"][a:b]
-                links, forest = _count_links(ids, cols["copies"][a:b], x, p, p, int(cols["tab"][a]), int(cols["bucket"][a]), side, threshold)
+                links, forest = _count_links(ids, cols["copies"][a:b], x, pl[a:b], int(cols["tab"][a]), int(cols["bucket"][a]), side, threshold)
                 some = np.flatnonzero(links)
                 us += ids[some].tolist() + [f[0] for f in forest]
                 vs += [None] * len(some) + [f[1] for f in forest]
