@@ -144,7 +144,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """odd^i and odd^-i modulo 2^64 for i < n (kept per worker)."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 2 * STEP_BYTES)
+        size = max(n, 1 << 20)
         for name, base in (("up", _ODD), ("down", _INV)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

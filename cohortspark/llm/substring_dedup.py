@@ -109,7 +109,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     texts = df.select(F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))).alias("key"), F.col(f"`{text_col}`").alias("text"))
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_steps(batches):
+        for batch, data, offsets in text_steps(batches, step=1 << 19):
             doc, p, lo, hi, name, context = sample(data, offsets, length, name_bytes)
             if len(doc):
                 yield pa.RecordBatch.from_pydict({"key": batch.column(0).take(pa.array(doc)), "p": pa.array(p), "lo": pa.array(lo), "hi": pa.array(hi),

@@ -56,7 +56,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, 1_500_000)
         tail = np.asarray([end_id], enc.dtype).tobytes()
         total, schema = np.zeros(size, np.int64), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("salt", pa.int64()), ("counts", pa.binary())])
         for batch in batches:

@@ -26,7 +26,7 @@ class Encoder:
     Texts with longer runs of white space are encoded as they are.
     """
 
-    def __init__(self, path: str, cache: int = 1_500_000):
+    def __init__(self, path: str, cache: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
@@ -131,8 +131,9 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for ``path``, built once per process."""
+def encoder(path: str, cache: int = 600_000) -> Encoder:
+    """The worker's encoder for ``path``, built once per process; ``cache`` bounds its dictionary (some 150 bytes an entry)."""
     if path not in _WORKER:
         _WORKER[path] = Encoder(path)
+    _WORKER[path].cache = cache
     return _WORKER[path]
