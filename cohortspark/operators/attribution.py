@@ -75,14 +75,36 @@ def pretty_feature_name(f: Column) -> Column:
             .otherwise(python_title(F.trim(F.regexp_replace(f, "_", " ")))))
 
 
-def mean_abs_by_target(long: DataFrame) -> DataFrame:
-    """A10: ``(target, feature, mean_abs)`` = mean over rows of |value|."""
-    return long.groupBy("target", "feature").agg(F.avg(F.abs("value")).alias("mean_abs"))
+def mean_abs_by_target(long: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """A10: ``(target, feature, mean_abs)`` = mean over rows of |value|.
 
+    A sparse table leaves zeros out; then ``n_rows`` names the number of explained rows to divide by.
+    """
+    mean = F.avg(F.abs("value")) if n_rows is None else F.sum(F.abs("value")) / F.lit(n_rows)
+    return long.groupBy("target", "feature").agg(mean.alias("mean_abs"))
 
-def global_importance(by_target: DataFrame) -> DataFrame:
-    """Mean over targets of the per-target mean |value| → ``(feature, mean_abs_shap)``."""
-    return by_target.groupBy("feature").agg(F.avg("mean_abs").alias("mean_abs_shap"))
+
+def global_importance(by_target: DataFrame, n_targets: int | None = None, features: DataFrame | None = None) -> DataFrame:
+    """Mean over targets of the per-target mean |value| → ``(feature, mean_abs_shap)``.
+
+    For a sparse table give ``n_targets`` to divide by and the model's ``features`` (one column
+    ``feature``): those without any value get 0.
+    """
+    mean = F.avg("mean_abs") if n_targets is None else F.sum("mean_abs") / F.lit(n_targets)
+    out = by_target.groupBy("feature").agg(mean.alias("mean_abs_shap"))
+    if features is None:
+        return out
+    return features.select("feature").join(out, "feature", "left").withColumn("mean_abs_shap", F.coalesce("mean_abs_shap", F.lit(0.0)))
+
+
+def sorted_features(glob: DataFrame) -> DataFrame:
+    """L1: features by falling importance, ties by name."""
+    return glob.orderBy(F.desc("mean_abs_shap"), "feature")
+
+
+def sorted_groups(mass: DataFrame) -> DataFrame:
+    """L2: groups by falling mass, ties by name."""
+    return mass.orderBy(F.desc("mean_abs_shap_sum"), "group")
 
 
 def group_mass(glob: DataFrame, group: Column, *, with_median: bool = False) -> DataFrame:
@@ -138,7 +160,8 @@ def default_feature_layout(dim: int, num_cols: Sequence[str], cat_cols: Sequence
                            level: str = "Unknown") -> list[str]:
     """Names for a ``dim``-wide attribution vector laid out as [numeric, one-hot, text]."""
     names = list(num_cols) + [f"{c}_{level}" for c in cat_cols]
-    names = names[:dim]
+    if len(names) > dim:
+        raise ValueError(f"{len(names)} named features do not fit into {dim}")
     return names + [f"text_emb_{i:03d}" for i in range(dim - len(names))]
 
 

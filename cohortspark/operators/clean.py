@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.age import with_parsed_ages
 from cohortspark.functions.categorical import normalize_categorical, normalize_text
-from cohortspark.schema import CAT_COLS, TEXT_COLS, UNKNOWN_TOKEN, find_column_ci
+from cohortspark.schema import CAT_COLS, TEXT_COLS, UNKNOWN_TOKEN, find_column_ci, last_spelling
 
 # Imputation fallbacks for an all-missing age column, clamp range.
 MIN_AGE_FALLBACK = 0.0
@@ -28,14 +28,14 @@ class CleanStats:
 def _age_columns(df: DataFrame, min_age_col: str, max_age_col: str) -> tuple[str, str]:
     lo, hi = find_column_ci(df, min_age_col), find_column_ci(df, max_age_col)
     if not lo or not hi:
-        raise KeyError(f"Expected age columns '{min_age_col}' and '{max_age_col}' "
-                       f"(case-insensitive). Found columns include: {df.columns[:25]}")
+        raise KeyError(f"no age columns like {min_age_col!r} and {max_age_col!r} among {df.columns}")
     return lo, hi
 
 
 def with_parsed(df: DataFrame, min_age_col: str = "eligibility_min_age",
                 max_age_col: str = "eligibility_max_age", variant: str = "package") -> DataFrame:
     """Add ``_pmin`` / ``_pmax``: parsed years before imputation."""
+    df = last_spelling(df)
     lo, hi = _age_columns(df, min_age_col, max_age_col)
     return with_parsed_ages(df, {"_pmin": lo, "_pmax": hi}, variant)
 
@@ -66,6 +66,7 @@ def apply_clean(df: DataFrame, stats: CleanStats, *, min_age_col: str = "eligibi
     A narrow projection: no shuffle, same plan on a batch or a stream.
     Emits the age columns under their input names and as ``*_yrs``.
     """
+    df = last_spelling(df)
     lo_name, hi_name = _age_columns(df, min_age_col, max_age_col)
     df = with_parsed(df, min_age_col, max_age_col, variant)
     pmin, pmax = F.col("_pmin"), F.col("_pmax")

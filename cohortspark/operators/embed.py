@@ -89,8 +89,10 @@ def _batch_vectors(token_lists: pd.Series, dim: int, normalize: bool) -> np.ndar
         rows.append(np.full(len(kept), r, dtype=np.int64))
     mat = np.zeros((n, dim))
     if toks:
-        dig = np.frombuffer(b"".join(hashlib.md5(t.encode("utf-8")).digest() for t in toks),
-                            dtype=np.uint8).reshape(-1, 16).astype(np.int64)
+        # each distinct token of the batch is hashed once
+        code = {t: i for i, t in enumerate(dict.fromkeys(toks))}
+        dig = np.frombuffer(b"".join([hashlib.md5(t.encode("utf-8")).digest() for t in code]),
+                            dtype=np.uint8).reshape(-1, 16).astype(np.int64)[[code[t] for t in toks]]
         word = (dig[:, 0] << 24) | (dig[:, 1] << 16) | (dig[:, 2] << 8) | dig[:, 3]
         bucket = word % dim                                  # first 8 hex digits of the md5
         sign = np.where((dig[:, 4] >> 4) < 8, 1.0, -1.0)     # 9th hex digit

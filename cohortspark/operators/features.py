@@ -70,22 +70,20 @@ def categorical_encoder(cat_cols: Sequence[str] = CAT_COLS) -> Pipeline:
 
 
 def fit_categorical_encoder(df: DataFrame, cat_cols: Sequence[str] = CAT_COLS, *,
-                            max_onehot_levels: int | None = None) -> PipelineModel:
+                            index_cols: Sequence[str] = ()) -> PipelineModel:
     """M1: one distributed pass collects the levels of every column.
 
-    ``max_onehot_levels=None`` one-hot encodes every column (reference
-    behaviour). With a bound, columns with more levels enter ``cat_vec`` as
-    one index feature (``col__index``) instead: a tree learner bins every
-    feature of every row, so a one-hot block whose width grows with the data
-    (one sponsor per customer) would make training cost rows × levels.
+    Every column is one-hot encoded (reference behaviour) but those that the
+    caller names in ``index_cols``: they enter ``cat_vec`` as one index feature
+    (``col__index``) each. The size of the data never decides.
     """
     frame = categorical_frame(df, cat_cols)
-    if max_onehot_levels is None:
+    if not index_cols:
         return categorical_encoder(cat_cols).fit(frame)
     cols = list(cat_cols)
     si = StringIndexer(inputCols=cols, outputCols=[_idx(c) for c in cols], handleInvalid="keep",
                        stringOrderType="alphabetAsc").fit(frame)
-    wide = [c for c, labels in zip(cols, si.labelsArray) if len(labels) <= max_onehot_levels]
+    wide = [c for c in cols if c not in index_cols]
     stages = [si]
     if wide:
         stages.append(OneHotEncoder(inputCols=[_idx(c) for c in wide], outputCols=[_ohe(c) for c in wide],

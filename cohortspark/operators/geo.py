@@ -46,9 +46,9 @@ def geo_guardrails(df: DataFrame) -> dict:
                F.least(F.min("n_sites"), F.min("n_us_states"), F.min("n_us_regions")).alias("min_any")
                ).first().asDict()
     if r["max_sites"] is None or r["max_sites"] <= 0:
-        raise ValueError("Geography features appear empty (n_sites max <= 0).")
+        raise ValueError("no row has a site: geography was not derived")
     if r["max_states"] > 51 or r["max_regions"] > 4:
-        raise ValueError(f"Impossible geography counts: {r}")
+        raise ValueError(f"more states or regions than there are: {r}")
     if r["min_any"] < 0:
-        raise ValueError("Geography counts contain negative values.")
+        raise ValueError("a geography count is below zero")
     return r

@@ -45,7 +45,7 @@ def metrics_long(df: DataFrame, target_cols: Sequence[str], pred_cols: Sequence[
     if target_names is not None and len(target_names) == 0:
         target_names = [f"target_{i}" for i in range(len(target_cols))]
     if target_names is not None and len(target_names) != len(target_cols):
-        raise ValueError(f"target_names length {len(target_names)} != n_targets {len(target_cols)}")
+        raise ValueError(f"{len(target_names)} names for {len(target_cols)} targets")
     aggs = []
     for i, (t, p) in enumerate(zip(target_cols, pred_cols)):
         y, yh = F.col(f"`{t}`"), F.col(f"`{p}`")

@@ -27,7 +27,7 @@ def fit_ood_stats(df_train: DataFrame, cols: Sequence[str] = OOD_COLS, *,
     """
     missing = [c for c in cols if c not in df_train.columns]
     if missing:
-        raise KeyError(f"Missing OOD columns in training df: {missing}")
+        raise KeyError(f"the rows to fit on lack {missing}")
     aggs = []
     for i, c in enumerate(cols):
         x = to_double(F.col(f"`{c}`"))
@@ -41,7 +41,7 @@ def fit_ood_stats(df_train: DataFrame, cols: Sequence[str] = OOD_COLS, *,
             s = F.when(s.isNull() | F.isnan(s) | (F.abs(s) == F.lit(float("inf"))) |
                        (s < F.lit(STD_FLOOR)), F.lit(STD_FLOOR)).otherwise(s)
         else:
-            s = F.when(s == 0, F.lit(NOTEBOOK_ZERO_STD)).otherwise(s)
+            s = F.when(s.isNull() | F.isnan(s) | (s == 0), F.lit(NOTEBOOK_ZERO_STD)).otherwise(s)
         rows.append(F.struct(F.lit(c).alias("col"), F.col(f"m{i}").alias("mean"), s.alias("std")))
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
@@ -56,7 +56,7 @@ def score_ood(df: DataFrame, stats: DataFrame, cols: Sequence[str] = OOD_COLS, *
     """
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise KeyError(f"Missing OOD columns in df: {missing}")
+        raise KeyError(f"the rows to score lack {missing}")
     got = {r["col"]: (r["mean"], r["std"]) for r in stats.where(F.col("col").isin(*cols)).collect()}
     if any(c not in got for c in cols):
         raise KeyError(f"OOD stats lack columns: {[c for c in cols if c not in got]}")

@@ -92,12 +92,14 @@ def assign_split(df: DataFrame, *, key_col: str | None = "nct_id", seed: int = R
     keyed = df.withColumns({"_sk": k, "_sh": h, "_sb": b})
 
     # Job 1: distinct keys per bucket (partial aggregation collapses hot keys map-side).
-    keys = keyed.select("_sk", "_sh", "_sb").distinct()
+    by_row = not key_cols and not (key_col and key_col in df.columns)
+    keys = keyed.select("_sk", "_sh", "_sb")
+    keys = keys if by_row else keys.distinct()  # rows are split one by one, equal ones too
     counts = sorted((r["_sb"], r["n"]) for r in
                     keys.groupBy("_sb").agg(F.count(F.lit(1)).alias("n")).collect())
     n = sum(c for _, c in counts)
     if n == 0:
-        raise ValueError("Cannot split empty dataframe.")
+        raise ValueError("no rows to split")
     n_train, n_test, _ = (quota_fn(n) if quota_fn is not None
                           else quotas(n, train_frac, test_frac, holdout_frac, variant))
     cuts = (n_train, n_train + n_test)
@@ -124,6 +126,13 @@ def assign_split(df: DataFrame, *, key_col: str | None = "nct_id", seed: int = R
         out = keyed.withColumn(split_col, pure)
         return out.drop("_sk", "_sh", "_sb")
 
+    if by_row:
+        starts = F.create_map(*[x for s in straddle for x in (F.lit(s), F.lit(offsets[s]))])
+        rank = starts[F.col("_sb")] - 1 + F.row_number().over(Window.partitionBy("_sb").orderBy("_sh", "_sk"))
+        inside = keyed.where(F.col("_sb").isin(straddle)).withColumn(split_col, _label_for_rank(rank, n_train, n_test))
+        outside = keyed.where(~F.col("_sb").isin(straddle)).withColumn(split_col, pure)
+        return inside.unionByName(outside).drop("_sk", "_sh", "_sb")
+
     off_map = F.create_map(*[x for s in straddle for x in (F.lit(s), F.lit(offsets[s]))])
     ranked = (keys.where(F.col("_sb").isin(straddle))
               .withColumn("_rank", off_map[F.col("_sb")] - 1 + F.row_number().over(

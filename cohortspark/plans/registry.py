@@ -580,6 +580,28 @@ def q_attr_group_no_embed(spark, sf_dir):
     return A.group_mass(gl, A.feature_group(F.col("feature")))
 
 
+_SPARSE = 0.05  # smaller values are left out, as zeros are in a sparse table
+
+
+@register("attr_sparse_groups", f"""WITH lng AS (SELECT vec_id AS key, 'label_' || CAST(label AS VARCHAR) AS target,
+    {_sql_list(ATTR_NAMES)}[pos] AS feature, CAST(v AS DOUBLE) AS value
+  FROM (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)),
+kept AS (SELECT * FROM lng WHERE abs(value) >= {_SPARSE} AND feature NOT LIKE '%7'),
+bt AS (SELECT target, feature, sum(abs(value)) / (SELECT count(*) FROM embeddings) AS mean_abs FROM kept GROUP BY target, feature),
+f AS (SELECT unnest({_sql_list(ATTR_NAMES)}) AS feature),
+gl AS (SELECT f.feature, coalesce(sum(mean_abs), 0) / 10 AS mean_abs_shap FROM f LEFT JOIN bt ON bt.feature = f.feature GROUP BY f.feature)
+SELECT {_sql_group('feature')} AS "group", round(sum(mean_abs_shap), 6) AS mean_abs_shap_sum, count(*) AS n_features,
+  round(avg(mean_abs_shap), 6) AS mean_abs_shap_per_feature, round(median(mean_abs_shap), 6) AS median_abs_shap_per_feature FROM gl GROUP BY 1""")
+def q_attr_sparse_groups(spark, sf_dir):
+    long = _attr_long(spark, sf_dir)
+    kept = long.where((F.abs("value") >= _SPARSE) & ~F.col("feature").endswith("7"))
+    n = read_table(spark, sf_dir, "embeddings").count()
+    features = spark.createDataFrame([(x,) for x in ATTR_NAMES], "feature string")
+    glob = A.global_importance(A.mean_abs_by_target(kept, n), 10, features)
+    mass = A.sorted_groups(A.group_mass(glob, A.feature_group(F.col("feature")), with_median=True))
+    return mass.select("group", *[F.round(c, 6).alias(c) if c != "n_features" else F.col(c) for c in mass.columns if c != "group"])
+
+
 @register("attr_group_by_target", _ATTR_BASE + f"""
 SELECT {_sql_block('feature')} AS "group", target, round(sum(mean_abs), 6) AS sum_mean_abs_shap FROM bt GROUP BY 1, 2""")
 def q_attr_group_by_target(spark, sf_dir):
@@ -715,6 +737,7 @@ def q_mean_pool(spark, sf_dir):
 # --------------------------------------------------------------------------- fitted models (rows-only checks)
 
 from cohortspark.plans import train as TJ  # noqa: E402
+from cohortspark.operators.models import CHECK_PRESET  # noqa: E402
 from cohortspark.operators.scoring import PRED_PREFIX  # noqa: E402
 
 MODEL_TEXT_DIM = 64
@@ -722,8 +745,9 @@ MODEL_TEXT_DIM = 64
 
 def _train(spark, sf_dir, out_dir=None, **kw):
     raw = trials_view(spark, sf_dir)
-    return TJ.train_pipeline(spark, raw, target_cols=TARGET_COLS, text_dim=MODEL_TEXT_DIM,
-                            out_dir=out_dir, **kw)
+    # small models, so that the checks end; the library's defaults are the reference's sizes
+    return TJ.train_pipeline(spark, raw, target_cols=TARGET_COLS, text_dim=MODEL_TEXT_DIM, params=CHECK_PRESET,
+                            hurdle_params=CHECK_PRESET, index_cols=("sponsor",), out_dir=out_dir, **kw)
 
 
 _PRED_COLS = [PRED_PREFIX + t for t in TARGET_COLS]
@@ -731,7 +755,7 @@ _PRED_COLS = [PRED_PREFIX + t for t in TARGET_COLS]
 
 @register("gbt_multi_target")
 def q_gbt_multi_target(spark, sf_dir):
-    out = _train(spark, sf_dir)
+    out = _train(spark, sf_dir, sparse_targets=())
     from cohortspark.operators.models import predict_multitarget
     p = predict_multitarget(out.split_frame, out.artifacts.models, pred_prefix=PRED_PREFIX)
     return p.select(*ROW_KEY, "split", *_PRED_COLS)
@@ -765,7 +789,7 @@ def q_evaluate_table(spark, sf_dir):
 @register("baselines_report")
 def q_baselines_report(spark, sf_dir):
     out = _train(spark, sf_dir)
-    return TJ.run_baselines(spark, out, TARGET_COLS)
+    return TJ.run_baselines(spark, out, TARGET_COLS, params=CHECK_PRESET)
 
 
 # --------------------------------------------------------------------------- stream scoring
@@ -801,7 +825,8 @@ def _attributions(spark, sf_dir):
     sample = sample.withColumn("key", F.concat_ws(":", *[F.col(c).cast("string") for c in ROW_KEY]))
     long, base = tree_attributions(sample, out.artifacts.models, key_col="key")
     names = feature_names(m["num_cols"], m["cat_feature_names"], m["embedding_dim"])
-    return name_features(long, names), base
+    scale = {"n_rows": sample.count(), "n_targets": len(out.artifacts.models), "features": spark.createDataFrame([(n,) for n in names], "feature string")}
+    return name_features(long, names), scale
 
 
 @register("tree_attributions")
@@ -813,8 +838,8 @@ def q_tree_attributions(spark, sf_dir):
 @register("attribution_report")
 def q_attribution_report(spark, sf_dir):
     """Group table (sum, count, mean, median of mean |attribution|) of the real attributions."""
-    long, _ = _attributions(spark, sf_dir)
-    glob = A.global_importance(A.mean_abs_by_target(long))
+    long, scale = _attributions(spark, sf_dir)
+    glob = A.global_importance(A.mean_abs_by_target(long, scale["n_rows"]), scale["n_targets"], scale["features"])
     return A.group_mass(glob, A.feature_group(F.col("feature")), with_median=True)
 
 

@@ -16,7 +16,7 @@ from cohortspark.operators.features import cat_feature_names, fit_categorical_en
 from cohortspark.operators.geo import derive_geography, geo_guardrails
 from cohortspark.operators.metrics import extract_targets, metrics_long, metrics_table
 from cohortspark.operators.models import (
-    CHECK_PRESET, fit_all, fit_multitarget, predict_multitarget,
+    HURDLE_PRESET, MAIN_PRESET, STRUCTURED_PRESET, fit_all, fit_multitarget, predict_multitarget,
 )
 from cohortspark.operators.neighbors import knn_mean_targets, knn_neighbors
 from cohortspark.operators.embed import hashed_embedding
@@ -48,24 +48,24 @@ def train_pipeline(spark: SparkSession, df_raw: DataFrame, *, target_cols: Seque
                    params: dict | None = None, hurdle_params: dict | None = None,
                    sparse_targets: Sequence[str] = SPARSE_TARGETS, hurdle_eps: float = 0.0,
                    text_dim: int = 64, use_text: bool = True, fit_scope: str = "all",
-                   max_onehot_levels: int | None = 256,
+                   index_cols: Sequence[str] = (),
                    out_dir: str | None = None, parallelism: int = 8) -> TrainOutputs:
     """clean → geography → split → encoder → features → fit main ∥ hurdles → OOD stats → artifacts."""
     validate_schema()
-    params = params or CHECK_PRESET
+    params, hurdle_params = params or MAIN_PRESET, hurdle_params or HURDLE_PRESET
     clean, stats = prepare(df_raw)
     geo_guardrails(clean)
     split = assign_split(clean, key_col=key_col)
     split = extract_targets(split, target_cols)
     enc_rows = split if fit_scope == "all" else split.where(F.col("split") == "train")
-    encoder = fit_categorical_encoder(enc_rows, CAT_COLS, max_onehot_levels=max_onehot_levels)
+    encoder = fit_categorical_encoder(enc_rows, CAT_COLS, index_cols=index_cols)
     cat_names = cat_feature_names(encoder, CAT_COLS)
     manifest = build_schema_manifest(
         cat_cols=CAT_COLS, num_cols=NUMERIC_COLS, cat_feature_names=cat_names,
-        text_model_name=f"hashing:{TEXT_EMBEDDING_MODEL}" if use_text else "none",
+        text_model_name="signed-hashing" if use_text else "none",
         text_cols=TEXT_COLS, embedding_dim=text_dim if use_text else 0, targets=target_cols,
         extra={"use_text": use_text, "key_col": key_col, "row_key": list(row_key),
-               "max_onehot_levels": max_onehot_levels,
+               "index_cols": list(index_cols),
                "n_features": len(NUMERIC_COLS) + len(cat_names) + (text_dim if use_text else 0)})
     feats = build_features(split, encoder, manifest, list(row_key))
     # Keep what later stages read (texts, the widest columns, are dropped).
@@ -120,7 +120,7 @@ def run_baselines(spark: SparkSession, out: TrainOutputs, target_cols: Sequence[
     from cohortspark.operators.features import assemble_features
     struct = assemble_features(feats.drop("features"), output_col="features")
     sm = fit_multitarget(struct.where(F.col("split") == "train"), target_cols,
-                         params=params or CHECK_PRESET, key_cols=list(row_key))
+                         params=params or STRUCTURED_PRESET, key_cols=list(row_key))
     tables["structured_only_gbt"] = metrics_table(metrics_long(
         predict_multitarget(struct, sm, pred_prefix=PRED_PREFIX), target_cols, preds))
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in row_key])

@@ -42,11 +42,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; only when that is
-    unset (local runs, tests) a fresh scratch folder is created here.
+    unset in a local session (tests) a fresh scratch folder is created here.
+    On a cluster a missing setting is an error: a folder of one machine would not do.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cohortspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

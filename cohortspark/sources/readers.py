@@ -37,17 +37,18 @@ def _suffix(path: str) -> str:
 
 
 def load_dataframe(spark: SparkSession, path: str, *,
-                   schema: T.StructType | str | None = None) -> DataFrame:
+                   schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """Read a trial table; the format follows the file suffix.
 
     CSV is read with a declared schema when given (no inference pass on
     large data); without one every column is read as string, which keeps
-    mixed number/text age columns intact for the age parser.
+    mixed number/text age columns intact for the age parser. Quoted line
+    breaks need ``multi_line=True``, which reads each file in one task.
     """
     suf = _suffix(path)
     if suf == ".csv":
         reader = (spark.read.option("header", True).option("escape", '"')
-                  .option("multiLine", True))
+                  .option("multiLine", multi_line))
         if schema is not None:
             reader = reader.schema(schema)
         return reader.csv(path)

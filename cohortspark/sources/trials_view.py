@@ -28,8 +28,10 @@ WITH li AS (
     avg(CASE WHEN l_tax>=0.055e0 THEN 1e0 ELSE 0e0 END) AS age65_pct,
     sum(l_quantity) AS enrollment_count
   FROM lineitem GROUP BY l_orderkey),
-base AS (SELECT o.*, 0 AS copy_no FROM orders o
-  UNION ALL SELECT o.*, 1 AS copy_no FROM orders o WHERE o.o_orderkey % 50 = 0)
+keyed AS (SELECT o.*, o_orderkey % (SELECT count(*) FROM documents) AS doc_key, o_orderkey % (SELECT count(*) FROM part) AS part_key,
+    o_orderkey % (SELECT count(*) FROM benchmark) AS item_key, (o_orderkey * 7 + 3) % (SELECT count(*) FROM benchmark) AS other_key FROM orders o),
+base AS (SELECT o.*, 0 AS copy_no FROM keyed o
+  UNION ALL SELECT o.*, 1 AS copy_no FROM keyed o WHERE o.o_orderkey % 50 = 0)
 SELECT o.o_orderkey AS row_id, o.copy_no,
   CASE WHEN o.o_orderkey % 500 = 499 THEN NULL ELSE 'NCT' || lpad(CAST(o.o_orderkey AS STRING), 8, '0') END AS nct_id,
   CASE o.o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '18' WHEN 2 THEN '18 Years' WHEN 3 THEN '>=21' WHEN 4 THEN '65+'
@@ -44,15 +46,15 @@ SELECT o.o_orderkey AS row_id, o.copy_no,
   CASE WHEN o.o_orderkey % 4 = 0 THEN 'None' ELSE 'DOUBLE' END AS masking, r.r_name AS primary_purpose,
   CASE o.o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'Boston, MA, US; Austin, TX; Worcester, MA' WHEN 2 THEN 'Paris, France'
     WHEN 3 THEN 'Site A CA|Site B NV|Site C WA' WHEN 4 THEN 'NY NJ IL FL' ELSE 'MAINE xCAx ca' END AS Locations,
-  substring(d.text, 1, 200) AS inclusion_text,
-  CASE WHEN o.o_orderkey % 9 = 0 THEN NULL ELSE substring(d.text, 201, 100) END AS exclusion_text,
+  d.text AS inclusion_text,
+  CASE WHEN o.o_orderkey % 9 = 0 THEN NULL ELSE b2.text END AS exclusion_text,
   p.p_name AS conditions_text, '  ' || p.p_name || '   ' || p.p_type AS interventions_text,
   b.text AS primary_outcome_text,
   li.white_pct, li.black_pct, li.asian_pct, li.aian_pct, li.nhpi_pct, li.male_pct, li.female_pct, li.age65_pct,
   li.enrollment_count, CAST(o.o_custkey % 365 + 30 AS DOUBLE) AS trial_duration_days
 FROM base o JOIN customer c ON c.c_custkey=o.o_custkey JOIN nation n ON n.n_nationkey=c.c_nationkey
-JOIN region r ON r.r_regionkey=n.n_regionkey JOIN part p ON p.p_partkey=o.o_orderkey % 200
-LEFT JOIN documents d ON d.doc_id=o.o_orderkey % 200 LEFT JOIN benchmark b ON b.item_id=o.o_orderkey % 40
+JOIN region r ON r.r_regionkey=n.n_regionkey JOIN part p ON p.p_partkey=o.part_key
+LEFT JOIN documents d ON d.doc_id=o.doc_key LEFT JOIN benchmark b ON b.item_id=o.item_key LEFT JOIN benchmark b2 ON b2.item_id=o.other_key
 LEFT JOIN li ON li.l_orderkey=o.o_orderkey
 """
 
@@ -80,13 +82,7 @@ def trials_view(spark: SparkSession, sf_dir: str, *, materialize: bool = True) -
     if path is None:
         tag = hashlib.md5(repr(key).encode()).hexdigest()[:16]
         path = os.path.join(checkpoint_dir(spark), f"trials-{tag}")
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            # Small inputs arrive as one or two splits; spread them so the
-            # CPU-heavy row rules downstream use every core. Large inputs
-            # already have more partitions than cores and are left alone.
-            df = df.repartition(target)
-        df.write.mode("overwrite").parquet(path)
+        df.hint("rebalance").write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 

@@ -6,6 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from cohortspark.operators.models import CHECK_PRESET
 from cohortspark.operators.features import (
     cat_feature_names, encode_categoricals, fit_categorical_encoder,
 )
@@ -38,7 +39,7 @@ def test_onehot_unknown_is_all_zero(spark):
     test = spark.createDataFrame([("a",), ("zzz",), (None,)], "c string")
     vecs = [r["cat_vec"].toArray().tolist() for r in encode_categoricals(test, model, cols).collect()]
     assert vecs == [[1.0, 0.0, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
-    bounded = fit_categorical_encoder(fit, cols, max_onehot_levels=2)
+    bounded = fit_categorical_encoder(fit, cols, index_cols=cols)
     assert cat_feature_names(bounded, cols) == ["c__index"]
 
 
@@ -70,7 +71,8 @@ def test_artifacts_round_trip_and_stream_equals_batch(spark):
     from cohortspark.streaming.score_stream import read_parquet_stream, start_stream_scoring
     raw = trials_view(spark, SMALL)
     art_dir = os.path.join(tempfile.mkdtemp(prefix="cs-art-"), "a")
-    TJ.train_pipeline(spark, raw, target_cols=TARGET_COLS, out_dir=art_dir, text_dim=16)
+    TJ.train_pipeline(spark, raw, target_cols=TARGET_COLS, out_dir=art_dir, text_dim=16,
+                      params=CHECK_PRESET, hurdle_params=CHECK_PRESET, index_cols=("sponsor",))
     art = load_artifacts(spark, art_dir)
     assert set(art.models) == set(TARGET_COLS) and art.clean_stats is not None
     assert artifact_summary(spark, art_dir).count() > 0
