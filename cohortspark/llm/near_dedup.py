@@ -1,9 +1,9 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-Words are runs of ASCII letters, digits and bytes above 127 of the lower-cased text; shingles are five words. A shingle weighs tf x idf, where
-document frequencies are counted over all documents in FREQ_SLOTS hashed slots (a table of fixed size, broadcast). SAMPLES
+Words are runs of ASCII letters, digits and bytes above 127 of the lower-cased text; shingles are five words. A shingle weighs tf x idf (idf
+on a scale from 1 to 2), where document frequencies are counted over all documents in FREQ_SLOTS hashed slots (a table of fixed size, broadcast). SAMPLES
 consistent weighted samples per document are cut into bands of ROWS; documents that share a band are candidates, and a
-candidate pair is linked if its weighted Jaccard similarity is at least ``threshold``. Classes are the connected components.
+candidate pair is linked if its weighted Jaccard similarity, or that of its plain shingle sets, is at least ``threshold``. Classes are the connected components.
 
 Equal texts are one node from the start. Every member of a band's group is compared with the group's least node. Then the
 members are grouped anew by NARROW bands of NARROW_ROWS samples; where a member and the group's head (another one in each group) are still in
@@ -31,8 +31,8 @@ SAMPLES = BANDS * ROWS
 FREQ_SLOTS = 1 << 20
 NARROW, NARROW_ROWS = 24, 8
 #: Samples that two documents must share before they are compared in the second round: with a similarity of
-#: 0.8, fewer than 18 of 40 agree once in 10 million pairs.
-AGREE = 18
+#: 0.8, fewer than 16 of 40 agree less than once in 10 million pairs.
+AGREE = 16
 _STEP = 1 << 19
 _POOL: dict[str, np.ndarray] = {}
 
@@ -135,6 +135,12 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return low / (float(a[1].sum()) + float(b[1].sum()) - low)
 
 
+def plain_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared over all distinct shingles."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
 def _verified(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold."""
 
@@ -144,7 +150,7 @@ def _verified(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame
             for i, (fa, wa, fb, wb) in enumerate(zip(*(batch.column(c) for c in range(2, 6)), strict=True)):
                 a = np.frombuffer(fa.as_buffer(), np.uint64), np.frombuffer(wa.as_buffer(), np.float32)
                 b = np.frombuffer(fb.as_buffer(), np.uint64), np.frombuffer(wb.as_buffer(), np.float32)
-                if weighted_jaccard(a, b) >= threshold:
+                if weighted_jaccard(a, b) >= threshold or plain_jaccard(a[0], b[0]) >= threshold:
                     keep.append(i)
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"])
@@ -163,8 +169,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     freq, n = document_frequency(src)
-    # frequencies of slots hold other shingles too; a slot in every document still weighs a little
-    idf = np.log((n + 2) / (freq + 1)).astype(np.float32)
+    # idf on a scale from 1 (in every document) to 2 (in none): a large group of copies makes its own shingles
+    # frequent, and on the raw scale its few edits would outweigh all that its members share
+    idf = (1 + np.log((n + 2) / (freq + 1)) / np.log(n + 2)).astype(np.float32)
     idf = spark.sparkContext.broadcast(idf)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
