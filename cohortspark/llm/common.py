@@ -75,6 +75,15 @@ def sum_counts(partials: DataFrame, keys: list[str], size: int) -> DataFrame:
     return one.groupBy(*keys).applyInPandas(add, schema)
 
 
+#: Large dictionaries that a Python worker keeps from task to task; tasks of other operators give their memory back.
+WORKER_CACHES: list[dict] = []
+
+
+def forget_caches() -> None:
+    for cache in WORKER_CACHES:
+        cache.clear()
+
+
 # ---------------------------------------------------------------- Arrow iteration
 
 def text_steps(batches: Iterable[pa.RecordBatch], column: str = "text", step: int = STEP_BYTES, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -83,6 +92,7 @@ def text_steps(batches: Iterable[pa.RecordBatch], column: str = "text", step: in
     Yields (batch, bytes, offsets): the UTF-8 bytes of the step's texts back to back and
     the n + 1 offsets of the documents in them, lower-cased if asked. Null texts are empty. No text is cut.
     """
+    forget_caches()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -7,9 +7,12 @@ import re
 
 import numpy as np
 
+from cohortspark.llm.common import WORKER_CACHES
+
 #: Runs of white space that a cut at single spaces would tear apart, or that would join a line break before the text.
 _TORN = re.compile(r"\s\s\s|\s\s\Z|\A[^\S \n]")
 _WORKER: dict[str, "Encoder"] = {}
+WORKER_CACHES.append(_WORKER)
 
 
 def default_path() -> str:

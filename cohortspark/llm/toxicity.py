@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import U, crc_of, materialize, pack_counts, plain, prefix_hash, release, span_hash, sum_counts, unpack_counts
+from cohortspark.llm.common import U, crc_of, forget_caches, materialize, pack_counts, plain, prefix_hash, release, span_hash, sum_counts, unpack_counts
 from cohortspark.llm.language import _letters, _steps
 
 FIT_ROWS = 10_000
@@ -45,6 +45,7 @@ def char_counts(texts: DataFrame) -> np.ndarray:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        forget_caches()
         total = np.zeros(size, np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
