@@ -37,13 +37,14 @@ def _suffix(path: str) -> str:
 
 
 def load_dataframe(spark: SparkSession, path: str, *,
-                   schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+                   schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
     """Read a trial table; the format follows the file suffix.
 
     CSV is read with a declared schema when given (no inference pass on
     large data); without one every column is read as string, which keeps
     mixed number/text age columns intact for the age parser. Quoted line
-    breaks need ``multi_line=True``, which reads each file in one task.
+    breaks are read right by default, which takes one task per file; a file
+    without any can be split over tasks with ``multi_line=False``.
     """
     suf = _suffix(path)
     if suf == ".csv":
