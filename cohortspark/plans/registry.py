@@ -226,7 +226,29 @@ def q_ood_notebook(spark, sf_dir):
     return flag_ood(score_ood(g, stats, OOD_COLS)).select(*ROW_KEY, "ood_score", "ood_warn", "ood_crit")
 
 
-@register("mahalanobis")
+def _mahalanobis_sql() -> str:
+    """Distance as |z| with L z = x - mean, L the Cholesky factor of the train covariance (no inverse, unlike the Spark side).
+
+    A column that the earlier ones determine adds nothing, as in the pseudo-inverse.
+    """
+    k = range(len(OOD_COLS))
+    x = [f"CAST({c} AS DOUBLE)" for c in OOD_COLS]
+    stats = [f"avg({x[i]}) AS m{i}" for i in k]
+    stats += [f"covar_samp({x[i]}, {x[j]}) AS c{i}_{j}" for i in k for j in k if j <= i]
+    factor = []
+    for j in k:
+        for i in k[j:]:
+            rest = f"c{i}_{j}" + "".join(f" - l{i}_{n} * l{j}_{n}" for n in range(j))
+            factor.append(f"CASE WHEN {rest} > 1e-9 * c{j}_{j} THEN sqrt({rest}) END AS l{j}_{j}" if i == j
+                          else f"coalesce(({rest}) / l{j}_{j}, 0e0) AS l{i}_{j}")
+    solved = [f"coalesce((coalesce({x[i]}, m{i}) - m{i}" + "".join(f" - l{i}_{n} * z{n}" for n in range(i)) + f") / l{i}_{i}, 0e0) AS z{i}" for i in k]
+    return f""", cv AS (SELECT {", ".join(stats)} FROM splitted WHERE split = 'train'),
+ch AS (SELECT *, {", ".join(factor)} FROM cv),
+zs AS (SELECT row_id, copy_no, split, {", ".join(solved)} FROM splitted, ch)
+SELECT row_id, copy_no, split, round(sqrt({" + ".join(f"z{i} * z{i}" for i in k)}), 6) AS mahalanobis FROM zs"""
+
+
+@register("mahalanobis", O.cleaned_cte() + O.split_cte() + _mahalanobis_sql())
 def q_mahalanobis(spark, sf_dir):
     s = split_trials(spark, sf_dir)
     model = fit_mahalanobis(s.where(F.col("split") == "train"), OOD_COLS)
@@ -779,6 +801,20 @@ def q_scored_frozen(spark, sf_dir):
     return scored.select(*ROW_KEY, "nct_id", *_PRED_COLS)
 
 
+@register("scored_frozen_same", O.cleaned_cte() + "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differ FROM geo")
+def q_scored_frozen_same(spark, sf_dir):
+    """Rows scored with reloaded artifacts that differ from scores of the models in memory: there are none."""
+    from cohortspark.operators.scoring import score_frame
+    art_dir = TJ.scratch_dir(spark, "artifacts")
+    out = _train(spark, sf_dir, out_dir=art_dir)
+    frozen = TJ.score_with_artifacts(spark, trials_view(spark, sf_dir), art_dir)
+    live = score_frame(out.split_frame, out.artifacts)
+    pairs = (frozen.select(*ROW_KEY, F.array(*_PRED_COLS).alias("frozen"))
+             .join(live.select(*ROW_KEY, F.array(*_PRED_COLS).alias("live")), ROW_KEY, "full"))
+    near = F.forall(F.zip_with("frozen", "live", lambda a, b: F.coalesce(F.abs(a - b) <= 1e-9, F.lit(False))), lambda ok: ok)
+    return pairs.agg(F.count("frozen").alias("n_rows"), F.count_if(~F.coalesce(near, F.lit(False))).alias("n_differ"))
+
+
 @register("evaluate_table")
 def q_evaluate_table(spark, sf_dir):
     out = _train(spark, sf_dir)
@@ -816,14 +852,21 @@ def q_stream_scored(spark, sf_dir):
 ATTR_SAMPLE = 2000
 
 
-def _attributions(spark, sf_dir):
-    from cohortspark.operators.features import feature_names
-    from cohortspark.operators.treeshap import name_features, tree_attributions
+def _explained(spark, sf_dir):
+    """Training result, the sample that is explained (reference size), its attributions and base values."""
+    from cohortspark.operators.treeshap import tree_attributions
     out = _train(spark, sf_dir)
-    m = out.artifacts.manifest
     sample = sample_n(out.split_frame, ATTR_SAMPLE, key_cols=ROW_KEY)
     sample = sample.withColumn("key", F.concat_ws(":", *[F.col(c).cast("string") for c in ROW_KEY]))
     long, base = tree_attributions(sample, out.artifacts.models, key_col="key")
+    return out, sample, long, base
+
+
+def _attributions(spark, sf_dir):
+    from cohortspark.operators.features import feature_names
+    from cohortspark.operators.treeshap import name_features
+    out, sample, long, _ = _explained(spark, sf_dir)
+    m = out.artifacts.manifest
     names = feature_names(m["num_cols"], m["cat_feature_names"], m["embedding_dim"])
     scale = {"n_rows": sample.count(), "n_targets": len(out.artifacts.models), "features": spark.createDataFrame([(n,) for n in names], "feature string")}
     return name_features(long, names), scale
@@ -835,6 +878,20 @@ def q_tree_attributions(spark, sf_dir):
     return long.select("key", "target", "feature", "value")
 
 
+@register("attributions_add_up", O.cleaned_cte() +
+          f"SELECT least({ATTR_SAMPLE}, count(*)) * {len(TARGET_COLS)} AS n_pairs, CAST(0 AS BIGINT) AS n_off FROM geo")
+def q_attributions_add_up(spark, sf_dir):
+    """Pairs of row and target where base value plus attributions miss the prediction: there are none."""
+    from cohortspark.operators.models import predict_multitarget
+    out, sample, long, base = _explained(spark, sf_dir)
+    pred = predict_multitarget(sample, out.artifacts.models, pred_prefix=PRED_PREFIX)
+    cells = [F.struct(F.lit(t).alias("target"), F.lit(b).alias("base"), F.col(PRED_PREFIX + t).alias("pred")) for t, b in base.items()]
+    pairs = pred.select("key", F.explode(F.array(*cells)).alias("c")).select("key", "c.*")
+    sums = long.groupBy("key", "target").agg(F.sum("value").alias("explained"))
+    off = F.abs(F.col("base") + F.coalesce("explained", F.lit(0.0)) - F.col("pred"))
+    return pairs.join(sums, ["key", "target"], "left").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(~(off <= 1e-6)).alias("n_off"))
+
+
 @register("attribution_report")
 def q_attribution_report(spark, sf_dir):
     """Group table (sum, count, mean, median of mean |attribution|) of the real attributions."""
