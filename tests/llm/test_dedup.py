@@ -77,6 +77,14 @@ def test_lcs():
         assert decontaminate.lcs(a, b) == t[-1, -1]
 
 
+def test_orthonormal():
+    rng = np.random.default_rng(6)
+    a = (rng.standard_normal((5000, 12)) * np.logspace(0, -3, 12)).astype(np.float32)
+    q = decontaminate.orthonormal(a)
+    assert np.allclose(q.T @ q, np.eye(12), atol=1e-5) and np.allclose(q @ (q.T @ a), a, atol=1e-4)
+    assert not decontaminate.orthonormal(np.zeros((5000, 3), np.float32)).any()
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((400, 32))
