@@ -7,8 +7,10 @@ candidate pair is linked if its weighted Jaccard similarity, or that of its plai
 
 Equal texts are one node from the start. Every member of a band's group is compared with the group's least node. Then the
 members are grouped anew by NARROW bands of NARROW_ROWS samples; where a member and the group's head (another one in each group) are still in
-different components and their samples agree often enough for a similarity of ``threshold``, the two are compared as well. So every
-document is compared with at most BANDS + NARROW others whatever the size of its groups, and a class is found through its members' links to heads.
+different components and their samples agree often enough for a similarity of ``threshold``, the two are compared as well. These rounds
+settle most groups with few comparisons. Last, in every band group that still holds several components, all members are compared with all
+others, in blocks against blocks: a pair is verified unless its samples agree too seldom or links found before already join its components. So every
+pair that shares a band is either in one class or known not to be linked (or under AGREE), whatever the shape of the group.
 
 Edge cases: null texts count as empty; equal texts (empty ones too) are copies; a text of one to four words has one shingle of all its
 words; a text without words has no shingle and only its equals are near it. Of equal ids the class takes the least id; null ids sort last.
@@ -23,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import U, materialize, mix, pack_counts, plain, release, shingles, sum_counts, text_steps, unpack_counts, word_hashes
+from cohortspark.llm.common import U, materialize, mix, pack_counts, plain, release, shingles, sorted_groups, sum_counts, text_steps, unpack_counts, word_hashes
 from cohortspark.llm.components import components
 
 THRESHOLD, WORDS, BANDS, ROWS = 0.8, 5, 10, 4
 SAMPLES = BANDS * ROWS
 FREQ_SLOTS = 1 << 20
 NARROW, NARROW_ROWS = 24, 8
-#: Samples that two documents must share before they are compared in the second round: with a similarity of
+#: Samples that two documents must share before they are compared after the first round: with a similarity of
 #: 0.8, fewer than 16 of 40 agree less than once in 10 million pairs.
 AGREE = 16
+#: Members of a band group in a block; all pairs of blocks are compared.
+BLOCK_ROWS = 512
 _STEP = 1 << 19
 _POOL: dict[str, np.ndarray] = {}
 
@@ -160,6 +164,90 @@ def _verified(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame
     return pairs.join(one, "b").join(two, "a").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(check, "u binary, v binary")
 
 
+def _candidates(x: np.ndarray, root: np.ndarray, side: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows in different components whose samples agree often enough, most alike first, and that share no band before ``band``.
+
+    ``side`` 0 and 1: pairs across; all 2: pairs within.
+    """
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    agree = np.zeros((len(left), len(right)), np.uint8)
+    for k in range(SAMPLES):
+        agree += x[left, k][:, None] == x[right, k][None, :]
+    i, j = np.nonzero((agree >= AGREE) & (root[left][:, None] != root[right][None, :]))
+    agree, i, j = agree[i, j], left[i], right[j]
+    keep = (side[i] != 2) | (i < j)
+    for t in range(band):
+        keep &= (x[i, t * ROWS:(t + 1) * ROWS] != x[j, t * ROWS:(t + 1) * ROWS]).any(1)
+    order = np.argsort(agree[keep], kind="stable")[::-1]
+    return i[keep][order], j[keep][order]
+
+
+_BLOCK = ["at", "lo", "hi"]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, pairs' first rows, pairs' second rows) of each pair of blocks that holds candidates."""
+    for table in sorted_groups(batches, _BLOCK, rows):
+        cols = [np.asarray(table.column(c)) for c in _BLOCK]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        ends = np.append(np.flatnonzero(new), table.num_rows)
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            part = table.slice(a, b - a)
+            x = np.asarray(part.column("samples").combine_chunks().flatten()).reshape(-1, SAMPLES)
+            root = np.asarray(part.column("root").combine_chunks().dictionary_encode().indices)
+            i, j = _candidates(x, root, np.asarray(part.column("side")), part.column("band")[0].as_py())
+            if len(i):
+                yield part, i, j
+
+
+def _settle(state: DataFrame, members: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) between components, from all pairs of members of each band group that holds several. ``state`` has (key, samples, root).
+
+    Blocks first travel with samples only; shingles follow to the members that have a candidate there. A task joins the components of
+    the links it finds, so it verifies no pair whose link would change nothing, and emits a forest.
+    """
+    group = members.select("at", "band", "key").join(state.select("key", "root"), "key")
+    open_ = group.groupBy("at").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks")).where("low <> high").select("at", "blocks")
+    group = (group.join(open_, "at").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    group = group.select("at", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "band",
+                         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "key", "root")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*_BLOCK, "band", "side", "key", "root"]
+        for part, i, j in _blocks(batches, 4096):
+            yield from part.select(names).take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, i, j in _blocks(batches, 256):
+            key, root = part.column("key").to_pylist(), part.column("root").to_pylist()
+            sh = [np.frombuffer(v.as_buffer(), np.uint64) for v in part.column("shingles")]
+            wt = [np.frombuffer(v.as_buffer(), np.float32) for v in part.column("weights")]
+            up = {r: r for r in root}
+            u, v = [], []
+            for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                a, b = root[p], root[q]
+                while up[a] != a:
+                    up[a] = a = up[up[a]]
+                while up[b] != b:
+                    up[b] = b = up[up[b]]
+                if a != b and (weighted_jaccard((sh[p], wt[p]), (sh[q], wt[q])) >= threshold or plain_jaccard(sh[p], sh[q]) >= threshold):
+                    up[a] = b
+                    u.append(key[p])
+                    v.append(key[q])
+            if u:
+                yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    parts = max(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    own = state.select("key", "samples")
+    schema = "at long, lo long, hi long, band int, side int, key binary, root binary"
+    wanted, path = materialize(group.join(own, "key").repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(ask, schema), "blocks")
+    links, _ = materialize(wanted.join(own, "key").join(feats, "key").repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(verify, "u binary, v binary"), "verified")
+    release(state.sparkSession, path)
+    return links
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, key, class_id, class_size, kept) of every row: ``key`` names its text, class_id is the least id of its class.
 
@@ -187,9 +275,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed, signed_path = materialize(src.mapInArrow(sign, "id long, key binary, samples array<long>, some boolean"), "signed")
     nodes, nodes_path = materialize(signed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("samples").alias("samples"), F.first("some").alias("some")), "nodes")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("samples", b * ROWS + 1, ROWS))))
-    groups = nodes.where("some").select("key", band.alias("band", "at")).drop("band")
+    groups = nodes.where("some").select("key", band.alias("band", "at"))
     heads = groups.groupBy("at").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members, members_path = materialize(groups.join(heads, "at").select("at", "key", "head"), "members")
+    members, members_path = materialize(groups.join(heads, "at").select("at", "band", "key", "head"), "members")
 
     known = members.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
     known, known_path = materialize(known, "pairs")
@@ -224,7 +312,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cross, cross_path = materialize(cross, "pairs")
     more, more_path = materialize(_verified(cross, feats, threshold), "verified")
     if not more.isEmpty():
-        roots, _ = materialize(components(links.union(more)), "roots")
+        links = links.union(more)
+        roots, roots_path = materialize(components(links), "roots")
+
+    # last: all pairs of the members that still differ
+    state = asked.join(own, "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "samples", F.coalesce("root", "key").alias("root"))
+    rest = _settle(state, members, feats, threshold)
+    if not rest.isEmpty():
+        roots, _ = materialize(components(links.union(rest)), "roots")
     release(spark, feats_path, members_path, known_path, cross_path, more_path, links_path)
 
     classed = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))

@@ -37,6 +37,58 @@ def test_near_group_of_many_edits(spark, make_docs, words):
     assert {r["class_id"] for r in near_dedup.near_duplicates(make_docs([words(400, 8), *rows])).collect()} == {0, 1}
 
 
+def test_near_star_groups(spark, make_docs, words):
+    """Copies near their original but not near each other are one class, whichever of them head the bands."""
+    import random
+    texts = []
+    for g in range(40):
+        original = words(400, 500 + g).split()
+        texts.append(" ".join(original))
+        for c in range(8):
+            w, rng = list(original), random.Random(100 * g + c)
+            for i in rng.sample(range(400), 8):
+                w[i] = f"edit{g}x{c}x{i}"
+            texts.append(" ".join(w))
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    sets = [grams(t) for t in texts]
+    alike = [len(sets[9 * g] & sets[9 * g + c]) / len(sets[9 * g] | sets[9 * g + c]) for g in range(40) for c in range(1, 9)]
+    assert sum(a >= 0.8 for a in alike) > 0.9 * len(alike)
+    # brute force over all pairs of a group (other groups share nothing)
+    want = list(range(len(texts)))
+    for g in range(40):
+        rows = range(9 * g, 9 * g + 9)
+        for _ in rows:
+            for i in rows:
+                for j in rows:
+                    if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                        want[i] = want[j] = min(want[i], want[j])
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(make_docs(texts)).collect()}
+    whole = [g for g in range(40) if all(got[i] == want[i] for i in range(9 * g, 9 * g + 9))]
+    split = sum(got[i] != want[i] for i in range(len(texts)))
+    assert split <= 3 and len(whole) >= 37, (split, len(whole))
+
+
+@pytest.mark.parametrize("rows", [512, 3])
+def test_settled_groups(spark, rows, monkeypatch):
+    """Links that no head sees are found in blocks, and a chain ends in one component."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", rows)
+    base = rng.integers(1, 1 << 40, near_dedup.SAMPLES)
+    shingles = np.arange(1000, dtype=np.uint64)
+    keys = [bytes([i]) * 16 for i in range(12)]
+    state = spark.createDataFrame([(bytearray(k), base.tolist(), bytearray(k)) for k in keys], "key binary, samples array<long>, root binary")
+    members = spark.createDataFrame([(7, 0, bytearray(k), bytearray(keys[0])) for k in keys], "at long, band int, key binary, head binary")
+    # row i is linked to row i + 1 only: shingles [100 i, 100 i + 1000)
+    feats = spark.createDataFrame([(bytearray(k), bytearray((shingles + np.uint64(100 * i)).tobytes()), bytearray(np.ones(1000, np.float32).tobytes())) for i, k in enumerate(keys)],
+                                  "key binary, shingles binary, weights binary")
+    links = near_dedup._settle(state, members, feats, 0.8)
+    assert {frozenset((keys.index(bytes(r.u)), keys.index(bytes(r.v)))) for r in links.collect()} == {frozenset((i, i + 1)) for i in range(11)}
+
+
 @pytest.mark.parametrize("contexts", [4096, 1])
 def test_repeated_strings(spark, make_docs, words, monkeypatch, contexts):
     monkeypatch.setattr(substring_dedup, "TASK_CONTEXTS", contexts)
