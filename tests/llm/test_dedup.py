@@ -118,6 +118,15 @@ def test_leaks(spark, make_docs, words):
     assert decontaminate.leaks(make_docs(texts), answers, answer_col="answer").count() == 0
 
 
+def test_leaks_of_many_items(spark, make_docs, words):
+    """A space of fixed rank loses items as they grow in number; verbatim copies are found all the same."""
+    items = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(8000)]
+    docs = [f"{words(37 + i % 50, i)} {items[20 * i]} {words(80, 5000 + i)}" for i in range(300)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(make_docs(docs), bench).collect()}
+    assert got == {(i, 20 * i) for i in range(300)}
+
+
 def test_lcs():
     rng = np.random.default_rng(2)
     for _ in range(50):
