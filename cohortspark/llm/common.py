@@ -237,3 +237,21 @@ def crc_of(column: str):
 def plain(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns (extra columns, whatever their names, go no further)."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+#: Keys that hold more than this share of all rows count as hot; there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 4096
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with a table that has each non-null ``key`` once and the ``count`` of its rows.
+
+    Hot keys are joined by broadcast (fewer than 4096 rows whatever the size of the data), all others by shuffle, so that no task takes a hot key's
+    rows. Both sides are read twice; hand in written tables.
+    """
+    table, _ = materialize(table, "keys")
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > total * HOT_SHARE
+    often = F.broadcast(table.where(hot))
+    rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
+    return rows.join(often, key).unionByName(rest.join(table.where(~hot), key))

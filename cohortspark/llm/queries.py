@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from cohortspark.llm import decontaminate, html_text, language, near_dedup, packing, substring_dedup, token_files, toxicity, url_filter, vector_dedup
+from cohortspark.llm import (
+    decontaminate, filter_audit, html_text, language, near_dedup, packing, quality, substring_dedup, token_files, toxicity, url_filter, vector_codes,
+    vector_dedup,
+)
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,5 +18,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_quality": quality.op11_quality,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
+}
+ORACLES = {
+    "op1_url_filter": url_filter.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE}
