@@ -5,27 +5,31 @@ tokens are exploded, each token's bucket and sign come from its md5, and
 counts are summed per (row, bucket) with map-side partial aggregation. The
 result has the reference's output type (``array<float>``, one fixed
 dimension, unnormalised by default) but is not numerically a transformer
-embedding. A user with a model plugs it into :func:`embed_with_encoder`,
-which runs it in Arrow batches inside the executors (loaded once per
-Python worker).
+embedding. A user with a model describes it as a :class:`TextEncoder`, which
+training, artifacts, scoring and streams then use in Arrow batches inside the
+executors (built once per Python worker).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 import hashlib
+import os
+from collections import Counter
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.functions.numeric import l2_normalize
-from cohortspark.schema import TEXT_EMBEDDING_BATCH_SIZE, TEXT_EMBEDDING_MAX_LENGTH
+from cohortspark.schema import TEXT_EMBEDDING_BATCH_SIZE, TEXT_EMBEDDING_MAX_LENGTH, TEXT_EMBEDDING_NORMALIZE
 
 DEFAULT_DIM = 384
+HASHING = "signed-hashing"
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -51,32 +55,6 @@ def hashed_long(df: DataFrame, key_cols: Sequence[str], text_col: str, *,
               .where(F.col("value") != 0))
 
 
-def token_codes(text: Column, dim: int) -> Column:
-    """Per row, each token's ``bucket * 2 + (1 if the sign is negative)`` (JVM-side md5)."""
-    def code(t):
-        h = F.md5(t)
-        bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
-        neg = F.when(F.substring(h, 9, 1) < F.lit("8"), F.lit(0)).otherwise(F.lit(1))
-        return (bucket * 2 + neg).cast("int")
-    return F.transform(tokens(text), code)
-
-
-def _bincount_udf(dim: int, normalize: bool):
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def dense(codes: pd.Series) -> pd.Series:
-        n = len(codes)
-        lens = codes.map(len).to_numpy()
-        flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes]) if lens.sum() \
-            else np.zeros(0, dtype=np.int64)
-        rows = np.repeat(np.arange(n), lens)
-        sign = 1.0 - 2.0 * (flat & 1)
-        mat = np.bincount(rows * dim + (flat >> 1), weights=sign, minlength=n * dim).reshape(n, dim)
-        if normalize:
-            mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-12)
-        return pd.Series(list(mat.astype(np.float32)))
-    return dense
-
-
 def _batch_vectors(token_lists: pd.Series, dim: int, normalize: bool) -> np.ndarray:
     """Dense signed-hash counts for a batch of token lists (one numpy pass)."""
     n = len(token_lists)
@@ -124,30 +102,85 @@ def hashed_embedding(df: DataFrame, key_cols: Sequence[str] | None, text_col: st
     return df.withColumn(out_col, _hash_vectors_udf(dim, normalize)(split))
 
 
-def embed_with_encoder(df: DataFrame, text_col: str, encoder_factory: Callable[[], object], *,
-                       dim: int, out_col: str = "embedding",
-                       batch_size: int = TEXT_EMBEDDING_BATCH_SIZE,
-                       max_length: int = TEXT_EMBEDDING_MAX_LENGTH,
-                       normalize: bool = False) -> DataFrame:
-    """Run a user encoder (``encode(list[str], max_length) -> ndarray``)
-    over Arrow batches; the encoder is built once per Python worker."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
-    cache: dict = {}
-
-    def run(batches):
-        enc = cache.get("enc")
-        if enc is None:
-            enc = cache["enc"] = encoder_factory()
-        for pdf in batches:
-            texts = pdf[text_col].fillna("").astype(str).tolist()
-            out = []
-            for s in range(0, len(texts), batch_size):
-                v = np.asarray(enc.encode(texts[s:s + batch_size], max_length), dtype=np.float32)
-                if normalize:
-                    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                out.extend(list(v))
-            yield pdf.assign(**{out_col: pd.Series(out, index=pdf.index, dtype=object)})
-    return df.mapInPandas(run, schema)
+@dataclass(frozen=True)
+class TextEncoder:
+    """A pluggable text encoder.
+
+    ``build`` receives the local paths of ``files`` by base name and returns an object with
+    ``encode(texts, max_length) -> (n, dim)``. It is called once in the life of a Python worker. ``files`` (weights,
+    vocabularies) are shipped to the executors with ``addFile``. ``max_length`` is handed on to the encoder.
+    """
+    encoder_id: str
+    dim: int
+    build: Callable[[dict[str, str]], object]
+    files: tuple[str, ...] = ()
+    batch_size: int = TEXT_EMBEDDING_BATCH_SIZE
+    max_length: int | None = TEXT_EMBEDDING_MAX_LENGTH
+    normalize: bool = TEXT_EMBEDDING_NORMALIZE
+
+
+#: Encoders that artifacts may name; filled on the driver by ``register_encoder``.
+ENCODERS: dict[str, TextEncoder] = {}
+#: Encoders built in this Python worker, and how often each was built.
+_BUILT: dict[tuple, object] = {}
+BUILDS: Counter = Counter()
+
+
+def register_encoder(encoder: TextEncoder) -> TextEncoder:
+    """Make an encoder known by its id, to training, artifacts, scoring and streams."""
+    if encoder.encoder_id in (HASHING, "none"):
+        raise ValueError(f"{encoder.encoder_id!r} is a reserved name")
+    ENCODERS[encoder.encoder_id] = encoder
+    return encoder
+
+
+def worker_encoder(encoder: TextEncoder):
+    """The built encoder of this worker process."""
+    key = (encoder.encoder_id, encoder.files)
+    if key not in _BUILT:
+        names = [os.path.basename(f) for f in encoder.files]
+        _BUILT[key] = encoder.build({n: SparkFiles.get(n) for n in names})
+        BUILDS[encoder.encoder_id] += 1
+    return _BUILT[key]
+
+
+def encode_batch(encoder: TextEncoder, texts: Sequence[str]) -> np.ndarray:
+    """Vectors of the texts in their order; texts of like length share a batch, so that padding is short."""
+    out = np.zeros((len(texts), encoder.dim), np.float32)
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    model = worker_encoder(encoder)
+    for lo in range(0, len(order), encoder.batch_size):
+        rows = order[lo:lo + encoder.batch_size]
+        v = np.asarray(model.encode([texts[i] for i in rows], encoder.max_length), np.float32)
+        if v.shape != (len(rows), encoder.dim):
+            raise ValueError(f"encoder {encoder.encoder_id!r} returned {v.shape} for {len(rows)} texts of {encoder.dim} dimensions")
+        out[rows] = v
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12) if encoder.normalize else out
+
+
+def embed_with_encoder(df: DataFrame, text_col: str, encoder: TextEncoder, *, out_col: str = "embedding") -> DataFrame:
+    """Append the encoder's vectors (null texts are empty); no shuffle, all columns stay."""
+    sc = df.sparkSession.sparkContext
+    here = set(sc.listFiles)
+    for f in encoder.files:
+        if os.path.basename(f) not in {os.path.basename(x) for x in here}:
+            sc.addFile(f)
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def encode(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(encode_batch(encoder, texts.tolist())), dtype=object)
+    return df.withColumn(out_col, encode(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def text_embedding(df: DataFrame, text_col: str, model_name: str, *, dim: int, out_col: str = "embedding") -> DataFrame:
+    """The text vector that a manifest names: the hashed one or a registered encoder's."""
+    if model_name == HASHING:
+        return hashed_embedding(df, None, text_col, dim=dim, out_col=out_col)
+    if model_name not in ENCODERS:
+        raise KeyError(f"text encoder {model_name!r} is not registered (register_encoder)")
+    if ENCODERS[model_name].dim != dim:
+        raise ValueError(f"text encoder {model_name!r} has {ENCODERS[model_name].dim} dimensions, the manifest {dim}")
+    return embed_with_encoder(df, text_col, ENCODERS[model_name], out_col=out_col)
 
 
 def mean_pool(token_vectors: Column, mask: Column, floor: float = 1e-9) -> Column:

@@ -1,4 +1,4 @@
-"""Two-stage "hurdle" models: presence classifier, then amount regressor.
+"""Two-stage "hurdle" models: presence classifier, then amount regressor.
 
 Prediction algebra is pure column arithmetic on the two model outputs, so
 scoring stays a narrow projection (no shuffle) on batches and streams.
@@ -10,10 +10,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.numeric import clip01, sigmoid
+from cohortspark.operators.multiboost import BoostModel
 
 # Presence threshold (inclusive) and the value used below it.
 HURDLE_THRESHOLD = 0.5
@@ -25,20 +27,35 @@ def presence_label(y: Column, eps: float = 0.0) -> Column:
     return (y > F.lit(eps)).cast("int")
 
 
-def positive_rows(df: DataFrame, y_col: str, eps: float = 0.0) -> DataFrame:
-    """Rows the amount regressor is fitted on."""
-    return df.where(F.col(y_col) > F.lit(eps))
+def model_outputs(model, df: DataFrame, prefix: str, *, features_col: str = "features") -> tuple[DataFrame, dict[str, str]]:
+    """Apply any fitted model; returns the frame and the columns the model offers.
 
-
-def presence_probability(df: DataFrame, *, probability_col: str | None = "probability",
-                         raw_col: str | None = "rawPrediction",
-                         prediction_col: str = "prediction") -> Column:
-    """P(present) = probability[1], else sigmoid(raw[1]), else prediction > 0."""
-    if probability_col and probability_col in df.columns:
-        return vector_to_array(F.col(probability_col))[1]
-    if raw_col and raw_col in df.columns:
-        return sigmoid(vector_to_array(F.col(raw_col))[1])
-    return (F.col(prediction_col) > 0).cast("double")
+    Keys: ``probability`` and ``raw`` where the model has them, always
+    ``prediction``. Models are Spark ML models or ensembles with vector leaves.
+    """
+    if isinstance(model, BoostModel):
+        name = prefix + ("prob" if model.loss == "logloss" else "value")
+        return model.predict(df, [name], features_col=features_col), {"probability" if model.loss == "logloss" else "prediction": name}
+    m = model.copy()
+    offered = {}
+    for key, param in (("probability", "probabilityCol"), ("raw", "rawPredictionCol"), ("prediction", "predictionCol")):
+        if m.hasParam(param):
+            offered[key] = prefix + key
+            m.set(m.getParam(param), offered[key])
+    m.set(m.getParam("featuresCol"), features_col)
+    return m.transform(df), offered
+
+
+def presence_probability(df: DataFrame, offered: dict[str, str]) -> Column:
+    """P(present) = probability, else sigmoid of the raw score, else label > 0."""
+    def second(name: str) -> Column:
+        is_vector = isinstance(df.schema[name].dataType, VectorUDT)
+        return vector_to_array(F.col(name))[1] if is_vector else F.col(name)
+    if "probability" in offered:
+        return second(offered["probability"])
+    if "raw" in offered:
+        return sigmoid(second(offered["raw"]))
+    return (F.col(offered["prediction"]) > 0).cast("double")
 
 
 def hurdle_combine(p: Column, y_cond: Column, *, hard_gate: bool = False, clip: bool = True,
@@ -83,26 +100,24 @@ def sex_columns(columns: Sequence[str], allowed: Sequence[str]) -> list[str]:
 class HurdleModel:
     """A fitted presence classifier + amount regressor for one target."""
     target: str
-    presence: object            # fitted classification Model / PipelineModel, or None
-    regressor: object           # fitted regression Model, or None (no positives → 0)
+    presence: object            # any fitted model (see model_outputs), or None
+    regressor: object           # any fitted model, or None (too few positives → 0)
     threshold: float = HURDLE_THRESHOLD
     constant_presence: float | None = None   # used when the presence label had one class
 
     def transform(self, df: DataFrame, *, features_col: str = "features", hard_gate: bool = False,
                   clip: bool = True, prefix: str | None = None) -> DataFrame:
         prefix = prefix or f"{self.target}__"
-        tmp = df
+        tmp, spare = df, []
         if self.presence is not None:
-            tmp = self.presence.copy().setFeaturesCol(features_col).setProbabilityCol(prefix + "prob") \
-                .setRawPredictionCol(prefix + "raw").setPredictionCol(prefix + "cls").transform(tmp)
-            p = vector_to_array(F.col(prefix + "prob"))[1]
+            tmp, offered = model_outputs(self.presence, tmp, prefix + "c_", features_col=features_col)
+            p, spare = presence_probability(tmp, offered), [*spare, *offered.values()]
         else:
             p = F.lit(float(self.constant_presence or 0.0))
         if self.regressor is not None:
-            tmp = self.regressor.copy().setFeaturesCol(features_col).setPredictionCol(prefix + "reg").transform(tmp)
-            yc = F.col(prefix + "reg")
+            tmp, offered = model_outputs(self.regressor, tmp, prefix + "r_", features_col=features_col)
+            yc, spare = F.col(offered["prediction"]), [*spare, *offered.values()]
         else:
             yc = F.lit(0.0)
         outs = hurdle_combine(p, yc, hard_gate=hard_gate, clip=clip, threshold=self.threshold)
-        tmp = tmp.withColumns({prefix + k: v for k, v in outs.items()})
-        return tmp.drop(*[prefix + x for x in ("prob", "raw", "cls", "reg") if prefix + x in tmp.columns])
+        return tmp.withColumns({prefix + k: v for k, v in outs.items()}).drop(*spare)

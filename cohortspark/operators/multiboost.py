@@ -448,23 +448,50 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).persist()
 
 
-def fit_members(train: DataFrame, members: Sequence[Member], *, features_col: str = "features", valid_col: str | None = None,
-                key_cols: Sequence[str] | None = None, max_bins: int = 32) -> dict[str, BoostModel]:
-    """Grow all members together. Rows marked by ``valid_col`` are only evaluated; null marks learn, null targets are an error."""
+@dataclass
+class BoostRows:
+    """Binned rows that ensembles can be grown on, one after the other; ``release`` them at the end."""
+    rows: DataFrame          # bins, y, valid
+    targets: list[str]
+    cuts: list[np.ndarray]
+    n_learn: int
+    has_valid: bool
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+
+def prepare_rows(train: DataFrame, targets: Sequence[str], *, features_col: str = "features", valid_col: str | None = None,
+                 key_cols: Sequence[str] | None = None, max_bins: int = 32) -> BoostRows:
+    """Bin the features and write the rows. Rows marked by ``valid_col`` are only evaluated; null marks learn, null targets are an error."""
     if not 2 <= max_bins <= 255:
         raise ValueError("max_bins must be 2 to 255")
-    if len({m.name for m in members}) != len(members):
-        raise ValueError("members need different names")
-    targets = list(dict.fromkeys(t for m in members for t in m.targets))
+    targets = list(targets)
     valid = F.coalesce(F.col(valid_col).cast("boolean"), F.lit(False)) if valid_col else F.lit(False)
     data = train.select(*(key_cols or []), vector_to_array(F.col(features_col)).alias("x"), F.array(*[F.col(f"`{t}`").cast("double") for t in targets]).alias("y"), valid.alias("valid"))
     learn = data.where(~F.col("valid"))
-    n = learn.count()
+    facts = learn.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width"), F.count_if(F.exists("y", lambda v: v.isNull())).alias("empty")).first()
+    n = facts["n"]
     if not n:
         raise ValueError("no rows to learn from")
-    n_features = learn.select(F.size("x")).first()[0]
-    cuts = feature_cuts(learn, "x", n_features, max_bins)
+    if facts["empty"]:
+        raise ValueError(f"{facts['empty']} rows have a null target")
+    cuts = feature_cuts(learn, "x", facts["width"], max_bins)
+    parts = max(1, min(-(-n // ROWS_PER_PARTITION), max(MAX_PARTITIONS, n // 5_000_000)))
+    if key_cols:
+        data = data.repartition(parts, *key_cols).sortWithinPartitions(*key_cols)
+    rows = _stored(bin_rows(data.select("x", "y", "valid"), "x", cuts))
+    return BoostRows(rows, targets, cuts, n, bool(valid_col) and not rows.where("valid").isEmpty())
+
+
+def grow_members(data: BoostRows, members: Sequence[Member]) -> dict[str, BoostModel]:
+    """Grow all members together on prepared rows."""
+    if len({m.name for m in members}) != len(members):
+        raise ValueError("members need different names")
+    targets, cuts = data.targets, data.cuts
+    n_features = len(cuts)
     n_bins = np.array([len(c) + 1 for c in cuts])
+    learn = data.rows.where(~F.col("valid"))
     stats = learn.agg(*[F.avg(_label(m, targets, t)).alias(f"m{i}_{j}") for i, m in enumerate(members) for j, t in enumerate(m.targets)]).first()
     grow, at = [], 0
     for i, m in enumerate(members):
@@ -474,20 +501,16 @@ def fit_members(train: DataFrame, members: Sequence[Member], *, features_col: st
             mean = np.log(p / (1 - p))
         grow.append(_Growing(m, [targets.index(t) for t in m.targets], at, mean))
         at += len(m.targets)
-    pred = F.array(*[F.lit(float(v)) for g in grow for v in g.base])
-    parts = max(1, min(-(-n // ROWS_PER_PARTITION), max(MAX_PARTITIONS, n // 5_000_000)))
-    if key_cols:
-        data = data.repartition(parts, *key_cols).sortWithinPartitions(*key_cols)
-    rows = _stored(bin_rows(data.select("x", "y", "valid"), "x", cuts).withColumn("pred", pred))
-    has_valid = bool(valid_col) and not rows.where("valid").isEmpty()
+    rows = data.rows.withColumn("pred", F.array(*[F.lit(float(v)) for g in grow for v in g.base]))
     shape = (len(targets), at)
+    two_stages = -(-data.n_learn // ROWS_PER_PARTITION) > 64
     try:
         while True:
             for g in grow:
                 g.over |= len(g.trees) >= g.member.iterations
             live = [g for g in grow if not g.over]
             pending = max((len(g.trees) - g.fresh for g in grow), default=0)
-            if has_valid and (pending >= REFRESH or not live):
+            if data.has_valid and (pending >= REFRESH or not live):
                 _evaluate(rows, grow, n_features, *shape)
                 for g in live:
                     wait = g.member.early_stopping_rounds
@@ -497,7 +520,7 @@ def fit_members(train: DataFrame, members: Sequence[Member], *, features_col: st
                 break
             if pending >= REFRESH:
                 rows = _refresh(rows, grow, n_features, at)
-            found = _grow_level(rows, live, n_bins, *shape, parts > 64)
+            found = _grow_level(rows, live, n_bins, *shape, two_stages)
             for i, g in enumerate(live):
                 gain, f, code, sums = found.get(i, (0.0, 0, 0, None))
                 if gain > 0 and len(g.features) < g.member.depth:
@@ -513,10 +536,21 @@ def fit_members(train: DataFrame, members: Sequence[Member], *, features_col: st
     out = {}
     for g in grow:
         model = g.model()
-        out[g.member.name] = model.truncated(model.best_round) if has_valid and g.member.early_stopping_rounds is not None else model
+        out[g.member.name] = model.truncated(model.best_round) if data.has_valid and g.member.early_stopping_rounds is not None else model
     return out
 
 
+def fit_members(train: DataFrame, members: Sequence[Member], *, features_col: str = "features", valid_col: str | None = None,
+                key_cols: Sequence[str] | None = None, max_bins: int = 32) -> dict[str, BoostModel]:
+    """Prepare the rows, grow all members together, release the rows."""
+    targets = list(dict.fromkeys(t for m in members for t in m.targets))
+    data = prepare_rows(train, targets, features_col=features_col, valid_col=valid_col, key_cols=key_cols, max_bins=max_bins)
+    try:
+        return grow_members(data, members)
+    finally:
+        data.release()
+
+
 def _label(m: Member, targets: list[str], t: str) -> Column:
     y = F.col("y")[targets.index(t)]
     if m.loss == "logloss":

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.numeric import clip01
 from cohortspark.functions.text import merge_text
-from cohortspark.operators.embed import hashed_embedding
+from cohortspark.operators.embed import text_embedding
 from cohortspark.operators.features import (
     assemble_features, encode_categoricals, numeric_block, text_vector,
 )
@@ -26,14 +26,14 @@ PRED_PREFIX = "pred_"
 
 
 def build_features(df: DataFrame, encoder, manifest: dict, key_cols: Sequence[str]) -> DataFrame:
-    """M5/M6 driven by the manifest: numeric block, one-hot, hashed text vector, assembled."""
+    """M5/M6 driven by the manifest: numeric block, one-hot, text vector (hashed, or of the named encoder), assembled."""
     out = numeric_block(df, manifest["num_cols"])
     out = encode_categoricals(out, encoder, manifest["cat_cols"])
     use_text = manifest.get("use_text", True)
     if use_text:
         present = [c for c in manifest["text_cols"] if c in df.columns]
         out = out.withColumn("merged_text", merge_text(present, manifest["text_cols"]))
-        out = hashed_embedding(out, key_cols, "merged_text", dim=manifest["embedding_dim"])
+        out = text_embedding(out, "merged_text", manifest["text_model_name"], dim=manifest["embedding_dim"])
         out = text_vector(out)
     return assemble_features(out, num_cols=manifest["num_cols"], with_text=use_text)
 

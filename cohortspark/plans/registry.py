@@ -759,7 +759,7 @@ def q_mean_pool(spark, sf_dir):
 # --------------------------------------------------------------------------- fitted models (rows-only checks)
 
 from cohortspark.plans import train as TJ  # noqa: E402
-from cohortspark.operators.models import CHECK_PRESET  # noqa: E402
+from cohortspark.operators.models import CHECK_PRESET, CHECK_TUNED  # noqa: E402
 from cohortspark.operators.scoring import PRED_PREFIX  # noqa: E402
 
 MODEL_TEXT_DIM = 64
@@ -768,8 +768,8 @@ MODEL_TEXT_DIM = 64
 def _train(spark, sf_dir, out_dir=None, **kw):
     raw = trials_view(spark, sf_dir)
     # small models, so that the checks end; the library's defaults are the reference's sizes
-    return TJ.train_pipeline(spark, raw, target_cols=TARGET_COLS, text_dim=MODEL_TEXT_DIM, params=CHECK_PRESET,
-                            hurdle_params=CHECK_PRESET, index_cols=("sponsor",), out_dir=out_dir, **kw)
+    return TJ.train_pipeline(spark, raw, target_cols=TARGET_COLS, text_dim=MODEL_TEXT_DIM, **{"params": CHECK_PRESET, **kw},
+                            hurdle_params=CHECK_PRESET, index_cols=("sponsor",), row_key=ROW_KEY, out_dir=out_dir)
 
 
 _PRED_COLS = [PRED_PREFIX + t for t in TARGET_COLS]
@@ -902,17 +902,44 @@ def q_attribution_report(spark, sf_dir):
 
 # --------------------------------------------------------------------------- tuning
 
-# Reference ranges scaled down for local checks (tree fits are slow in local mode).
-CHECK_SEARCH_SPACE = {"iterations": (3, 8), "depth": (2, 4), "learning_rate": (0.01, 0.2),
+# The reference's ranges, with fewer trees and levels: a level of a tree is a pass over the rows.
+CHECK_SEARCH_SPACE = {"iterations": (3, 10), "depth": (2, 4), "learning_rate": (0.01, 0.2),
                       "l2_leaf_reg": (1.0, 10.0)}
 
 
+def _search(spark, sf_dir):
+    from cohortspark.operators.tuning import tpe_search
+    s = extract_targets(split_trials(spark, sf_dir), TARGET_COLS)
+    feats = _structured_features(s)
+    return tpe_search(feats.where("split = 'train'"), feats.where("split = 'test'"), "white_pct", key_cols=ROW_KEY, space=CHECK_SEARCH_SPACE)
+
+
+def _structured_features(s):
+    """Numeric and one-hot features of split rows, written once."""
+    from cohortspark.operators.features import assemble_features, encode_categoricals, numeric_block
+    enc = fit_categorical_encoder(s, index_cols=("sponsor",))
+    f = assemble_features(encode_categoricals(numeric_block(s, NUMERIC_COLS), enc))
+    return f.select(*ROW_KEY, "split", "features", *TARGET_COLS).checkpoint()
+
+
 @register("random_search")
 def q_random_search(spark, sf_dir):
-    from cohortspark.operators.tuning import random_search
-    out = _train(spark, sf_dir)
-    train = out.split_frame.where(F.col("split") == "train")
-    return random_search(spark, train, "white_pct", key_cols=ROW_KEY, space=CHECK_SEARCH_SPACE, n_trials=4)
+    """25 trials of the Parzen search, best first."""
+    return _search(spark, sf_dir)[0]
+
+
+@register("search_checked", f"""SELECT 25 AS n_trials, CAST(0 AS BIGINT) AS n_errors_off, true AS best_is_least, 4 AS n_dimensions_used, CAST(0 AS BIGINT) AS n_outside""")
+def q_search_checked(spark, sf_dir):
+    """The search's own errors against the RMSE of its stored predictions; every dimension varies within its range."""
+    trials, predictions, _ = _search(spark, sf_dir)
+    again = predictions.groupBy("trial").agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)).alias("again"))
+    first = trials.first()["trial"]
+    inside = [F.col(k).between(lo, hi) for k, (lo, hi) in CHECK_SEARCH_SPACE.items()]
+    both = trials.join(again, "trial")
+    return both.agg(F.count(F.lit(1)).cast("int").alias("n_trials"), F.count_if(F.abs(F.col("rmse") - F.col("again")) > 1e-9).alias("n_errors_off"),
+                    (F.min_by("trial", F.struct("again", "trial")) == first).alias("best_is_least"),
+                    sum(((F.count_distinct(k) > 1).cast("int") for k in CHECK_SEARCH_SPACE), F.lit(0)).alias("n_dimensions_used"),
+                    F.count_if(~(inside[0] & inside[1] & inside[2] & inside[3])).alias("n_outside"))
 
 
 # --------------------------------------------------------------------------- sources and sinks
@@ -1033,11 +1060,46 @@ def q_attr_pivot_mean(spark, sf_dir):
 
 @register("gbt_early_stopping")
 def q_gbt_early_stopping(spark, sf_dir):
-    """M8: fits that stop on the test rows' error (validation indicator column)."""
-    from cohortspark.operators.models import fit_multitarget, predict_multitarget
-    out = _train(spark, sf_dir)
-    fit_rows = out.split_frame.where(F.col("split") != "holdout").withColumn("_is_valid", F.col("split") == "test")
-    models = fit_multitarget(fit_rows, TARGET_COLS, params={"iterations": 10, "learning_rate": 0.3, "depth": 3},
-                             validation_col="_is_valid", key_cols=ROW_KEY)
-    p = predict_multitarget(out.split_frame, models, pred_prefix=PRED_PREFIX)
+    """The tuned fit, which stops on the test rows' error and keeps the trees up to its best round."""
+    out = _train(spark, sf_dir, sparse_targets=(), params=CHECK_TUNED)
+    from cohortspark.operators.models import predict_multitarget
+    p = predict_multitarget(out.split_frame, out.artifacts.models, pred_prefix=PRED_PREFIX)
     return p.select(*ROW_KEY, "split", *_PRED_COLS)
+
+
+# --------------------------------------------------------------------------- trees with vector leaves
+
+from cohortspark.operators import multiboost as MB  # noqa: E402
+from cohortspark.operators.features import assemble_features, numeric_block  # noqa: E402
+from cohortspark.plans.boost_sql import boost_ctes, staged_sql  # noqa: E402
+
+VECTOR_TREE = {"iterations": 1, "depth": 3, "learning_rate": 1.0, "l2_leaf_reg": 3.0}
+VECTOR_STAGES = {"iterations": 4, "depth": 2, "learning_rate": 0.5, "l2_leaf_reg": 5.0}
+
+
+def _boost_sql(p: dict) -> str:
+    return boost_ctes(rounds=p["iterations"], depth=p["depth"], rate=p["learning_rate"], l2=p["l2_leaf_reg"])
+
+
+def _numeric_features(spark, sf_dir):
+    s = extract_targets(split_trials(spark, sf_dir), TARGET_COLS)
+    f = assemble_features(numeric_block(s, NUMERIC_COLS), with_cat=False)
+    return f.select(*ROW_KEY, "split", "features", *TARGET_COLS).checkpoint()
+
+
+@register("vector_tree", _BASE + _boost_sql(VECTOR_TREE) + f"""
+SELECT row_id, copy_no, split, {", ".join(f"round(p_{i}, 6) AS pred_{t}" for i, t in enumerate(TARGET_COLS))} FROM e1""")
+def q_vector_tree(spark, sf_dir):
+    """M7: one tree for all targets; its leaves are group means of the targets shrunk by the L2 term."""
+    f = _numeric_features(spark, sf_dir)
+    model = MB.fit_members(f.where("split = 'train'"), [MB.member_of("main", TARGET_COLS, VECTOR_TREE)], key_cols=ROW_KEY)["main"]
+    return model.predict(f, _PRED_COLS).select(*ROW_KEY, "split", *_PRED_COLS)
+
+
+@register("vector_stages", _BASE + _boost_sql(VECTOR_STAGES) + staged_sql(VECTOR_STAGES["iterations"]))
+def q_vector_stages(spark, sf_dir):
+    """M8: the error of every prefix of an ensemble in one scoring pass, and its best round."""
+    f = _numeric_features(spark, sf_dir)
+    model = MB.fit_members(f.where("split <> 'holdout'").withColumn("_v", F.col("split") == "test"), [MB.member_of("main", TARGET_COLS, VECTOR_STAGES)],
+                           valid_col="_v", key_cols=ROW_KEY)["main"]
+    return MB.staged_errors(f, model, by=["split"]).withColumn("is_best", F.col("round") == model.best_round)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +16,15 @@ from cohortspark.operators.features import cat_feature_names, fit_categorical_en
 from cohortspark.operators.geo import derive_geography, geo_guardrails
 from cohortspark.operators.metrics import extract_targets, metrics_long, metrics_table
 from cohortspark.operators.models import (
-    HURDLE_PRESET, MAIN_PRESET, STRUCTURED_PRESET, fit_all, fit_multitarget, predict_multitarget,
+    HURDLE_PRESET, MAIN_PRESET, STRUCTURED_PRESET, fit_all, fit_vector, predict_multitarget,
 )
 from cohortspark.operators.neighbors import knn_mean_targets, knn_neighbors
-from cohortspark.operators.embed import hashed_embedding
-from cohortspark.functions.text import merge_text
+from cohortspark.operators.embed import DEFAULT_DIM, HASHING, TextEncoder, register_encoder
 from cohortspark.operators.ood import fit_ood_stats
 from cohortspark.operators.scoring import PRED_PREFIX, build_features, predict_from_artifacts, score_frame
 from cohortspark.operators.split import assign_split
 from cohortspark.schema import (
-    CAT_COLS, NUMERIC_COLS, OOD_COLS, SPARSE_TARGETS, TEXT_COLS, TEXT_EMBEDDING_MODEL, validate_schema,
+    CAT_COLS, NUMERIC_COLS, OOD_COLS, SPARSE_TARGETS, TEXT_COLS, validate_schema,
 )
 from cohortspark.session import checkpoint_dir
 from cohortspark.sources.artifacts import Artifacts, build_schema_manifest, load_artifacts, save_artifacts
@@ -43,15 +42,32 @@ def prepare(df_raw: DataFrame, stats: CleanStats | None = None) -> tuple[DataFra
     return derive_geography(apply_clean(df_raw, stats)), stats
 
 
+@dataclass(frozen=True)
+class Factories:
+    """Makers of unfitted Spark ML estimators; with them every target gets its own model."""
+    main: Callable[[], object]
+    presence: Callable[[], object] | None = None
+    amount: Callable[[], object] | None = None
+
+
 def train_pipeline(spark: SparkSession, df_raw: DataFrame, *, target_cols: Sequence[str],
-                   key_col: str = "nct_id", row_key: Sequence[str] = ("row_id", "copy_no"),
-                   params: dict | None = None, hurdle_params: dict | None = None,
-                   sparse_targets: Sequence[str] = SPARSE_TARGETS, hurdle_eps: float = 0.0,
-                   text_dim: int = 64, use_text: bool = True, fit_scope: str = "all",
+                   key_col: str = "nct_id", row_key: Sequence[str] | None = None,
+                   params: dict | None = None, hurdle_params: dict | None = None, amount_params: dict | None = None,
+                   sparse_targets: Sequence[str] = SPARSE_TARGETS, hurdle_eps: float = 0.0, min_positives: int = 1,
+                   factories: Factories | None = None, text_encoder: TextEncoder | None = None,
+                   text_dim: int = DEFAULT_DIM, use_text: bool = True, fit_scope: str = "all",
                    index_cols: Sequence[str] = (),
                    out_dir: str | None = None, parallelism: int = 8) -> TrainOutputs:
-    """clean → geography → split → encoder → features → fit main ∥ hurdles → OOD stats → artifacts."""
+    """clean → geography → split → encoder → features → fit main and hurdles → OOD stats → artifacts.
+
+    One ensemble with vector leaves serves all targets; with ``factories`` each
+    target gets a Spark ML model of its own. Settings with
+    ``early_stopping_rounds`` stop on the test rows' error. ``row_key`` names
+    the columns that tell rows apart (the key column by default).
+    ``text_encoder`` replaces the hashed text vector.
+    """
     validate_schema()
+    row_key = list(row_key or [key_col])
     params, hurdle_params = params or MAIN_PRESET, hurdle_params or HURDLE_PRESET
     clean, stats = prepare(df_raw)
     geo_guardrails(clean)
@@ -60,24 +76,34 @@ def train_pipeline(spark: SparkSession, df_raw: DataFrame, *, target_cols: Seque
     enc_rows = split if fit_scope == "all" else split.where(F.col("split") == "train")
     encoder = fit_categorical_encoder(enc_rows, CAT_COLS, index_cols=index_cols)
     cat_names = cat_feature_names(encoder, CAT_COLS)
+    if text_encoder is not None:
+        register_encoder(text_encoder)
+        text_dim = text_encoder.dim
     manifest = build_schema_manifest(
         cat_cols=CAT_COLS, num_cols=NUMERIC_COLS, cat_feature_names=cat_names,
-        text_model_name="signed-hashing" if use_text else "none",
+        text_model_name=(text_encoder.encoder_id if text_encoder else HASHING) if use_text else "none",
         text_cols=TEXT_COLS, embedding_dim=text_dim if use_text else 0, targets=target_cols,
-        extra={"use_text": use_text, "key_col": key_col, "row_key": list(row_key),
+        extra={"use_text": use_text, "key_col": key_col, "row_key": row_key,
                "index_cols": list(index_cols),
                "n_features": len(NUMERIC_COLS) + len(cat_names) + (text_dim if use_text else 0)})
-    feats = build_features(split, encoder, manifest, list(row_key))
+    feats = build_features(split, encoder, manifest, row_key)
     # Keep what later stages read (texts, the widest columns, are dropped).
     keep = list(dict.fromkeys([*row_key, key_col, "split", *target_cols, *NUMERIC_COLS, "cat_vec", "features",
                                *(["text_vec", "embedding"] if use_text else [])]))
     feats = feats.select(*[c for c in keep if c in feats.columns])
-    # One materialisation of the assembled frame, reused by every fit and by scoring.
-    feats = feats.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else feats.cache()
+    # One materialisation of the assembled frame in the shared folder, reused by every fit and by scoring.
+    checkpoint_dir(spark)
+    feats = feats.checkpoint(eager=True)
     train = feats.where(F.col("split") == "train")
-    models, hurdles = fit_all(train, target_cols, sparse_targets, params=params,
-                              hurdle_params=hurdle_params, eps=hurdle_eps, key_cols=list(row_key),
-                              parallelism=parallelism)
+    if factories is not None:
+        models, hurdles = fit_all(train, target_cols, sparse_targets, params=params, hurdle_params=hurdle_params, eps=hurdle_eps,
+                                  min_positives=min_positives, main_factory=factories.main, presence_factory=factories.presence,
+                                  amount_factory=factories.amount, key_cols=row_key, parallelism=parallelism)
+    else:
+        stops = any((p or {}).get("early_stopping_rounds") for p in (params, hurdle_params, amount_params))
+        rows = feats.where(F.col("split") != "holdout").withColumn("_valid", F.col("split") == "test") if stops else train
+        models, hurdles = fit_vector(rows, target_cols, sparse_targets, params=params, hurdle_params=hurdle_params, amount_params=amount_params,
+                                     eps=hurdle_eps, min_positives=min_positives, valid_col="_valid" if stops else None, key_cols=row_key)
     ood = fit_ood_stats(train, OOD_COLS)
     art = Artifacts(manifest, encoder, models, hurdles, ood, stats)
     if out_dir:
@@ -106,9 +132,9 @@ def evaluate(scored: DataFrame, target_cols: Sequence[str]) -> DataFrame:
 
 def run_baselines(spark: SparkSession, out: TrainOutputs, target_cols: Sequence[str], *,
                   sparse_targets: Sequence[str] = SPARSE_TARGETS, knn_k: int = 25,
-                  params: dict | None = None, row_key: Sequence[str] = ("row_id", "copy_no")) -> DataFrame:
+                  params: dict | None = None) -> DataFrame:
     """Mean, mean with sparse targets zeroed, structured-only model, text kNN."""
-    feats = out.split_frame
+    feats, row_key = out.split_frame, out.artifacts.manifest["row_key"]
     preds = [PRED_PREFIX + t for t in target_cols]
     tables = {
         "mean": metrics_table(metrics_long(mean_baseline(feats, target_cols, pred_prefix=PRED_PREFIX),
@@ -119,8 +145,7 @@ def run_baselines(spark: SparkSession, out: TrainOutputs, target_cols: Sequence[
     }
     from cohortspark.operators.features import assemble_features
     struct = assemble_features(feats.drop("features"), output_col="features")
-    sm = fit_multitarget(struct.where(F.col("split") == "train"), target_cols,
-                         params=params or STRUCTURED_PRESET, key_cols=list(row_key))
+    sm, _ = fit_vector(struct.where(F.col("split") == "train"), target_cols, params=params or STRUCTURED_PRESET, key_cols=row_key)
     tables["structured_only_gbt"] = metrics_table(metrics_long(
         predict_multitarget(struct, sm, pred_prefix=PRED_PREFIX), target_cols, preds))
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in row_key])

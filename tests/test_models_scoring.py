@@ -72,7 +72,7 @@ def test_artifacts_round_trip_and_stream_equals_batch(spark):
     raw = trials_view(spark, SMALL)
     art_dir = os.path.join(tempfile.mkdtemp(prefix="cs-art-"), "a")
     TJ.train_pipeline(spark, raw, target_cols=TARGET_COLS, out_dir=art_dir, text_dim=16,
-                      params=CHECK_PRESET, hurdle_params=CHECK_PRESET, index_cols=("sponsor",))
+                      params=CHECK_PRESET, hurdle_params=CHECK_PRESET, index_cols=("sponsor",), row_key=["row_id", "copy_no"])
     art = load_artifacts(spark, art_dir)
     assert set(art.models) == set(TARGET_COLS) and art.clean_stats is not None
     assert artifact_summary(spark, art_dir).count() > 0

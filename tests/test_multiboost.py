@@ -156,3 +156,27 @@ def test_vector_attributions(spark, frame):
             want[order[i]] += (value(set(order[:i + 1])) - value(set(order[:i]))) / 24
     assert np.allclose(phi[0], want)
     assert symmetric_tree_paths(model.trees[0]).cover.shape == (8, len(set(model.trees[0].features)))
+
+
+def test_parzen_search_finds_the_basin():
+    """On a known bowl the later trials are better than random ones, and every setting stays in range."""
+    import random
+
+    from cohortspark.operators.tuning import SEARCH_SPACE, Parzen, suggest
+
+    def error(p):
+        return (p["depth"] - 7) ** 2 / 16 + (math.log(p["learning_rate"]) - math.log(0.02)) ** 2 + (p["l2_leaf_reg"] - 2) ** 2 / 81 + (p["iterations"] - 550) ** 2 / 160_000
+    better = 0
+    for seed in range(12):
+        rng, done = random.Random(seed), []
+        while len(done) < 40:
+            done += [(p, error(p)) for p in suggest(SEARCH_SPACE, done, 5, rng)]
+        assert all(lo <= p[k] <= hi for p, _ in done for k, (lo, hi) in SEARCH_SPACE.items())
+        late, early = np.median([e for _, e in done[25:]]), np.median([e for _, e in done[:10]])
+        better += late < early
+    assert better >= 10
+    grid = (np.arange(2000) + 0.5) / 2000
+    assert abs(np.mean([Parzen([0.1, 0.5, 0.52]).density(u) for u in grid]) - 1) < 1e-3
+    rng = random.Random(3)
+    assert suggest(SEARCH_SPACE, [], 3, rng) != suggest(SEARCH_SPACE, [], 3, rng)
+    assert suggest(SEARCH_SPACE, [], 3, random.Random(1)) == suggest(SEARCH_SPACE, [], 3, random.Random(1))
