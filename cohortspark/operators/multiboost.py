@@ -7,7 +7,7 @@ residuals, W: rows, or summed p(1 - p) for the logistic loss).
 
 A level is one job: every task adds the residuals of its rows into a histogram
 by (node, feature, bin), the histograms are summed by blocks of features, each
-block finds its best cut, and one row per ensemble reaches the driver. Several
+block finds its best cut, and one row per ensemble and block reaches the driver. Several
 ensembles (:class:`Member`: the main model, both halves of every hurdle, the
 trials of a search) grow in the same passes, so a training run takes as many
 jobs as its deepest and longest member, not their sum.
@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 from cohortspark.session import checkpoint_dir
 
 REFRESH = 16
-BLOCK = 16                   # features whose histograms are summed in one group
+BLOCK = 32                   # features whose histograms are summed in one group
 CHUNK = 1 << 19              # (row, feature) pairs handled at a time
-ROWS_PER_PARTITION = 8192
+ROWS_PER_PARTITION = 4096
 MAX_PARTITIONS = 4096        # below 5 million rows a partition; more beyond that
 SALTS = 32
 
@@ -374,8 +374,12 @@ def _grow_level(rows: DataFrame, grow: list[_Growing], n_bins: np.ndarray, n_tar
         return pd.DataFrame({"member": [key[0]], "gain": [gain], "f": [-(key[1] * BLOCK + f)], "c": [-code], "sums": [np.ascontiguousarray(sums).tobytes()]})
 
     cuts = partial.groupBy("member", "block").applyInPandas(choose, "member int, gain double, f int, c int, sums binary")
-    top = cuts.groupBy("member").agg(F.max(F.struct("gain", "f", "c", "sums")).alias("best")).collect()
-    return {r["member"]: (r["best"]["gain"], -r["best"]["f"], -r["best"]["c"], np.frombuffer(r["best"]["sums"], float).reshape(-1, sizes[r["member"]][0] + 1)) for r in top}
+    best: dict[int, tuple] = {}
+    for r in cuts.collect():  # one row per member and block of features
+        here = (r["gain"], r["f"], r["c"])
+        if r["member"] not in best or here > best[r["member"]][:3]:
+            best[r["member"]] = (*here, r["sums"])
+    return {m: (gain, -f, -c, np.frombuffer(sums, float).reshape(-1, sizes[m][0] + 1)) for m, (gain, f, c, sums) in best.items()}
 
 
 def _finish_tree(g: _Growing, cuts: list[np.ndarray]) -> None:
