@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 from cohortspark.llm.common import WORKER_CACHES
 
+#: White space other than a space and a line break (fixed values), and the pairs that longer runs are made of.
+_OTHER_SPACE = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
 #: Runs of white space that a cut at single spaces would tear apart, or that would join a line break before the text.
 _TORN = re.compile(r"\s\s\s|\s\s\Z|\A[^\S \n]")
 _WORKER: dict[str, "Encoder"] = {}
@@ -20,6 +24,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _is_torn(text: str) -> bool:
+    """Does the text hold such a run? Plain searches settle nearly all texts much faster than the pattern."""
+    return (any(p in text for p in _PAIRS) or any(c in text for c in _OTHER_SPACE)) and _TORN.search(text) is not None
+
+
 class Encoder:
     """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
@@ -31,17 +40,16 @@ class Encoder:
 
     def __init__(self, path: str, cache: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        # words of letters only: a cut at each space is all that the pre-tokeniser's pattern does to them
-        self.letters = Tokenizer.from_file(path)
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.model, self.plain_model = self.tok.model, self.tok.normalizer is None
+        # the characters that stand for bytes in the vocabulary: themselves if printable, else 256 and on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.units = {b: 256 + i for i, b in enumerate(hidden)}
         size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.leads = np.zeros(size, bool)  # ids whose bytes start with a space
-        self.leads[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
         self.cache, self.known, self.ends = cache, {}, {}
         self.newline = self.tok.encode("\n", add_special_tokens=False).ids
 
@@ -54,10 +62,19 @@ class Encoder:
         blob, size = ids.tobytes(), ids.itemsize
         self.known.update(zip(pieces, [blob[a:b] for a, b in zip((starts * size).tolist(), (stops * size).tolist(), strict=True)], strict=True))
 
+    def _learn_letters(self, pieces: list[str], words: list[str], lead: str, before: list[int]) -> None:
+        """Pieces that are words of letters behind ``lead``: the pattern pre-tokeniser leaves such a word whole, so the model takes it as it is."""
+        tokenize, units = self.model.tokenize, self.units
+        ids = [[t.id for t in tokenize(lead + w if w.isascii() else lead + w.encode().decode("latin-1").translate(units))] for w in words]
+        if before:
+            ids = [before + x for x in ids]
+        ends = np.cumsum([len(x) for x in ids])
+        self._keep(pieces, np.fromiter(chain.from_iterable(ids), self.dtype, ends[-1] if len(ends) else 0), np.append(0, ends)[:-1], ends)
+
     def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in one call.
+        """Encode new pieces.
 
-        Words of letters are told apart by the space that leads each; other pieces stand on lines of their own, since a line
+        Words of letters go to the model one by one; other pieces stand on lines of their own in one text, since a line
         break between two of them is a token of its own. A comma or full stop after a letter is a token run of its
         own, so ``word,`` follows from ``word``.
         """
@@ -73,19 +90,14 @@ class Encoder:
                     words[p[:-1]] = None
             elif p and not p[0].isspace() and not p[-1].isspace() and "\n" not in p and len(self.newline) == 1:
                 plain.append(p)
-        words = list(words)
-        for lo in range(0, len(words), 2000):
-            part = words[lo:lo + 2000]
-            ids = np.asarray(self.letters.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            starts = np.flatnonzero(self.leads[ids])
-            self._keep(part, ids, starts, np.append(starts[1:], len(ids)))
-        for kind in (plain, lines) if len(self.newline) == 1 else ():
-            for lo in range(0, len(kind), 2000):
-                part = kind[lo:lo + 2000]
-                text = "".join(part) if kind is lines else "\n" + "\n".join([" " + p for p in part])
-                ids = np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-                starts = np.flatnonzero(ids == self.newline[0])
-                self._keep(part, ids, starts + (kind is plain), np.append(starts[1:], len(ids)))
+        if self.plain_model:
+            self._learn_letters(list(words), list(words), "\u0120", [])
+            self._learn_letters(lines, [p[1:] for p in lines], "", self.newline)
+        for lo in range(0, len(plain), 2000):
+            part = plain[lo:lo + 2000]
+            ids = np.asarray(self.tok.encode_batch_fast(["\n" + "\n".join([" " + p for p in part])], add_special_tokens=False)[0].ids, self.dtype)
+            starts = np.flatnonzero(ids == self.newline[0])
+            self._keep(part, ids, starts + 1, np.append(starts[1:], len(ids)))
         for p in ended:
             if p[-1] not in self.ends:
                 self.ends[p[-1]] = self.raw(p[-1])
@@ -106,7 +118,7 @@ class Encoder:
         for x in texts:
             if not x:
                 split.append(b"")
-            elif _TORN.search(x):
+            elif _is_torn(x):
                 split.append(self.raw(x))
             else:
                 # a line break before the text makes its first piece one like any other; its id goes again below
