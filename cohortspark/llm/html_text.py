@@ -9,14 +9,18 @@ forms and comment sections are bad from the start, and inside ``article`` or ``m
 bad for want of stop words. Scripts, styles, comments and hidden markup are no blocks at all.
 
 Edge cases: null or empty html gives an empty text; a page without a good block gives an empty text; a cut-off
-tag or reference at the end of the page is handled as browsers do. Repeated rows give equal results.
+tag or reference at the end of the page is handled as browsers do. A quote in an unquoted value is an ordinary character; a quoted value
+without its end, an open head, and an open element that is skipped (other than script, style and their like, which run to the end of the page)
+do not swallow the page. The work is linear in the page, whatever its tags. Repeated rows give equal results.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,8 +51,12 @@ disqus footer gdpr header masthead menu modal nav navbar navigation newsletter n
 reply replies search share sharing sidebar skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets""".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']++)*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: An attribute: a name, then perhaps a value; quotes count only where a value begins, as in browsers.
+_VALUE = r"""(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+"""
+_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+{_VALUE.replace("([^", "(?:[^")})*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+_ATTR = re.compile(rf"""([^\s/>][^\s/>=]*+){_VALUE}""", re.S)
+#: Elements whose text runs to their end tag, or to the end of the page without one.
+RAW_TAGS = frozenset("script style textarea title iframe noframes".split())
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -63,13 +71,21 @@ class Block:
         self.parts, self.link, self.path, self.bad, self.inside, self.heading, self.text = [], 0, path, bad, inside, heading, ""
 
 
+_BODY = re.compile("<body", re.I)
+
+
+@cache
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>?", re.I)
+
+
 def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
     if tag in BOILER_TAGS and not (inside and tag == "header"):
         return True
     if not attrs or tag in ("body", "html", "article", "main"):
         return False
     for name, a, b, c in _ATTR.findall(attrs):
-        name, value = name.lower(), (a or b or c).lower()
+        name, value = name.lower(), (a or b or c).lower()  # other names, data-id say, are none of these
         if name in ("class", "id") and any(part in BOILER_NAMES for part in _NAME.findall(value)):
             return True
         if name == "role" and value in BOILER_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
@@ -85,6 +101,17 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool, int]] = []  # tag, in boilerplate, in article or main, container number
     links, number, block = 0, 0, None
     pos, end = 0, len(page)
+    open_tags: Counter = Counter()  # of the stack, so that end tags without a start cost nothing
+    endless: set[str] = set()       # tags that have no end tag in the rest of the page
+
+    def push(tag: str, bad: bool, inside: bool, container: int) -> None:
+        stack.append((tag, bad, inside, container))
+        open_tags[tag] += 1
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        return tag
 
     def add(text: str) -> None:
         nonlocal block
@@ -106,15 +133,21 @@ def blocks(page: str) -> list[Block]:
         if m.start() > pos:
             add(page[pos:m.start()])
         pos = m.end()
-        close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        close, tag, attrs = m[1], m[2], m[3]
         if not tag:
             continue
         tag = tag.lower()
         if not close and tag in SKIP_TAGS and not attrs.rstrip().endswith("/"):
-            shut = re.compile(rf"</{tag}\s*>?", re.I).search(page, pos)
-            if tag in ("head", "noframes") and not shut:
-                shut = re.compile(r"(?=<body)", re.I).search(page, pos)
-            pos = shut.end() if shut else end
+            shut = None if tag in endless else _end_tag(tag).search(page, pos)
+            if shut:
+                pos = shut.end()
+                continue
+            endless.add(tag)
+            if tag in ("head", "noframes"):
+                body = _BODY.search(page, pos)
+                pos = body.start() if body else pos if tag == "head" else end  # a head ends where the page's text begins
+            elif tag in RAW_TAGS:
+                pos = end
             continue
         if tag == "a":
             links = 0 if close else 1
@@ -123,28 +156,27 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCK_TAGS:
             block = None
             if close:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if at is not None:
-                    del stack[at:]
+                while open_tags[tag] and pop() != tag:
+                    pass
                 links = 0
             elif tag not in VOID_TAGS:
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                    stack.pop()
+                    pop()
                 _, bad, inside, container = stack[-1] if stack else ("", False, False, 0)
                 bad = bad or _boilerplate(tag, attrs, inside)
                 inside = inside or tag in ("article", "main")
                 if tag not in ("p", "li", *HEADINGS):
                     number += 1
                     container = number
-                stack.append((tag, bad, inside, container))
+                push(tag, bad, inside, container)
         elif tag not in VOID_TAGS and not close and attrs and _boilerplate(tag, attrs, bool(stack and stack[-1][2])):
             # an inline element that names itself boilerplate: its text stands apart
             block = None
             _, _, inside, container = stack[-1] if stack else ("", False, False, 0)
-            stack.append((tag, True, inside, container))
+            push(tag, True, inside, container)
         elif close and stack and stack[-1][0] == tag:
             block = None
-            stack.pop()
+            pop()
     kept = []
     for b in out:
         raw = "".join(b.parts)
@@ -173,6 +205,7 @@ def classify(bs: list[Block]) -> list[bool]:
         else:
             label.append(None if b.inside else 0)
     n = len(bs)
+    running = sum(len(x.text) for x in bs if not x.bad)
     before, after = [-1] * n, [n] * n
     for i in range(n):
         before[i] = i if label[i] is not None else before[i - 1] if i else -1
@@ -190,7 +223,7 @@ def classify(bs: list[Block]) -> list[bool]:
             continue
         near = own or near
         if not near:
-            out.append(b.inside or sum(len(x.text) for x in bs if not x.bad) >= LENGTH_LOW)
+            out.append(b.inside or running >= LENGTH_LOW)
         else:
             least = min(abs(j - i) for j in near)
             out.append(any(label[j] for j in near if abs(j - i) == least))
