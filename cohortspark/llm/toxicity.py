@@ -29,10 +29,13 @@ from cohortspark.llm.language import _letters, _steps
 FIT_ROWS = 10_000
 NGRAM_BITS = 18
 STEMS = (3, 4, 5, 6)
+#: Restored words longer than this are not kept in the dictionary.
+LONG_TOKEN = 100
 #: Characters that stand for letters in disguised words.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 SUBSTITUTE, COLLAPSE = -1.0, -0.5
 _MARKS = re.compile(r"(?<=[^\W\d_])[0-9@$!|+(€*]+(?=[^\W\d_])|(?<!\S)[0-9@$!|+(€]+(?=[^\W\d_])|(?<=[^\W\d_])[0-9@$]+(?![^\s.,;:!?])")
+_GAP = re.compile(r"\s")
 _REPEAT = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*/]{1,2}(?=[^\W_](?![^\W_]))[^\W_]){2,}")
 
@@ -105,40 +108,50 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model) -> str:
-    """The likeliest letters behind a disguised word (Viterbi over states of two letters)."""
-    beam: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
+    """The likeliest letters behind a disguised word (Viterbi over states of two letters); of equal ones the greatest text."""
+    start = (None, "")
+    beam: dict[str, tuple[float, tuple]] = {"  ": (0.0, start)}  # state: score, way (the way before, its last letters)
     for options in [*lattice(token), [(" ", 0.0)]]:
-        nxt: dict[str, tuple[float, str]] = {}
-        for state, (score, text) in beam.items():
+        nxt: dict[str, tuple[float, tuple]] = {}
+        for state, (score, way) in beam.items():
             for letters, cost in options:
                 s, now = score + cost, state
                 for c in letters:
                     s += model(now[0], now[1], c)
                     now = now[1] + c
                 if now not in nxt or s > nxt[now][0]:
-                    nxt[now] = (s, text + letters)
+                    nxt[now] = (s, (way, letters))
         beam = nxt
-    return max(beam.values())[1].strip()
+    top = max(score for score, _ in beam.values())
+    return max(_spelled(way) for score, way in beam.values() if score == top).strip()
+
+
+def _spelled(way: tuple) -> str:
+    out = []
+    while way[0] is not None:
+        way, letters = way
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def disguised(text: str) -> list[str]:
-    """Stretches of the text that may be disguised words."""
-    out, end = [], -1
-    for pattern in (_MARKS, _REPEAT):
-        for m in pattern.finditer(text):
-            if m.start() < end and pattern is _MARKS:
-                continue
-            a = m.start()
-            while a > 0 and not text[a - 1].isspace():
-                a -= 1
-            b = m.end()
-            while b < len(text) and not text[b].isspace():
-                b += 1
-            end = b
-            token = text[a:b].strip(".,;:?\"'()[]{}<>#%&=")
-            token = re.sub(r"([^\w\s])\1\1+$|^([^\w\s])\2\2+", "", token)
-            if token and (any(c in LEET for c in token) or _REPEAT.search(token)) and any(c.isalpha() for c in token):
-                out.append(token)
+    """Stretches of the text that may be disguised words, each once; the work is linear in the text."""
+    spans, end = [], -1
+    for m in sorted((m.span() for pattern in (_MARKS, _REPEAT) for m in pattern.finditer(text))):
+        if m[0] < end:
+            continue  # the word around an earlier match holds this one too
+        a = m[0]
+        while a > max(end, 0) and not text[a - 1].isspace():
+            a -= 1
+        found = _GAP.search(text, m[1])
+        end = found.start() if found else len(text)
+        spans.append((a, end))
+    out = []
+    for a, b in spans:
+        token = text[a:b].strip(".,;:?\"'()[]{}<>#%&=")
+        token = re.sub(r"([^\w\s])\1\1+$|^([^\w\s])\2\2+", "", token)
+        if token and (any(c in LEET for c in token) or _REPEAT.search(token)) and any(c.isalpha() for c in token):
+            out.append(token)
     for m in _SPACED.finditer(text):
         out.append(m[0])
     return out
@@ -155,6 +168,9 @@ class Restorer:
             return ""
         out = []
         for token in disguised(text):
+            if len(token) > LONG_TOKEN:  # not a word that comes again
+                out.append(decode(token, self.model))
+                continue
             if token not in self.known:
                 if len(self.known) >= self.size:
                     self.known.clear()
@@ -185,21 +201,23 @@ def text_features(texts: list[str | None], restorer: Restorer) -> tuple[np.ndarr
 
 
 class Lexicon:
-    """Feature weights in an open table of slots with the full hashes beside."""
+    """Feature weights, found by binary search in the sorted hashes; a table of hash prefixes rules out most others first."""
 
     def __init__(self, features: np.ndarray, weights: np.ndarray):
-        order = np.argsort(weights, kind="stable")  # the strongest feature keeps a contested slot
+        order = np.argsort(features, kind="stable")
+        self.keys, self.weights = features[order], weights[order].astype(np.float32)
         self.bits = max(16, int(len(features) * 8).bit_length())
-        self.keys, self.weights = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.float32)
-        at = (features[order] >> U(64 - self.bits)).astype(np.int64)
-        self.keys[at], self.weights[at] = features[order], weights[order]
+        self.prefix = np.zeros(1 << self.bits, bool)
+        self.prefix[(self.keys >> U(64 - self.bits)).astype(np.int64)] = True
 
     def strongest(self, hashes: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
         """The weight of each text's strongest feature, 0 without any."""
-        at = (hashes >> U(64 - self.bits)).astype(np.int64)
-        hit = np.flatnonzero((self.keys[at] == hashes) & (self.weights[at] > 0))
+        maybe = np.flatnonzero(self.prefix[(hashes >> U(64 - self.bits)).astype(np.int64)])
         out = np.zeros(n)
-        np.maximum.at(out, docs[hit], self.weights[at[hit]])
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
+            hit = self.keys[at] == hashes[maybe]
+            np.maximum.at(out, docs[maybe[hit]], self.weights[at[hit]])
         return out
 
 
@@ -215,7 +233,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, counts) -> tuple[Lexicon, float, float] | None:
     """(feature weights, slope, intercept), or None without both classes."""
-    sample, path = materialize(labelled(docs, labels).select("doc_id", "text", "toxic"), "labelled")
+    # the salt deals equal texts and repeated ids to different tasks; it is written with the rows, so that it stays the same
+    sample, path = materialize(labelled(docs, labels).select("doc_id", "text", "toxic", F.monotonically_increasing_id().alias("salt")), "labelled")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if set(size) != {0, 1}:
         return None
@@ -234,8 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, counts) -> tuple[Lexicon, float, flo
                                                  names=["feature", "b0", "a0", "b1", "a1"])
 
     # documents of one half are scored with weights from the other half to fit the logistic function
-    half = sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("fold"))
-    seen = half.repartition(16, "text").mapInArrow(part, "feature long, b0 long, a0 long, b1 long, a1 long")
+    half = sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("fold"), "salt")
+    seen = half.repartition(16, "salt").drop("salt").mapInArrow(part, "feature long, b0 long, a0 long, b1 long, a1 long")
     seen = seen.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("a0", "b0", "a1", "b1")]).where("a0 + a1 >= 3").toPandas()
 
     def lexicon_of(a: np.ndarray, b: np.ndarray, share: float) -> Lexicon:
@@ -259,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, counts) -> tuple[Lexicon, float, flo
                 x = np.where(fold[lo:lo + 200] == 0, halves[0].strongest(h, doc, n), halves[1].strongest(h, doc, n))
                 yield pa.RecordBatch.from_pydict({"x": pa.array(x), "y": pa.array(toxic[lo:lo + 200].astype(np.int64))})
 
-    xy = half.mapInArrow(strength, "x double, y long").toPandas()
+    xy = half.drop("salt").mapInArrow(strength, "x double, y long").toPandas()
     release(docs.sparkSession, path)
     x, y = xy["x"].to_numpy(), xy["y"].to_numpy(float)
     slope, intercept = 0.0, 0.0
