@@ -53,8 +53,12 @@ def grams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.nda
     letter = np.add.reduceat(cp != 32, begin) > 0
     pad = np.concatenate([cp, np.full(2, 32, np.uint64)])
     out, h = [], np.zeros(len(cp), np.uint64)
+    last = np.cumsum(sizes) - 1
     for k in range(3):
-        h = (h + pad[k:k + len(cp)]) * U(0x9E3779B97F4A7C15) + U(k + 1)
+        ahead = pad[k:k + len(cp)].copy()
+        for back in range(k):
+            ahead[last - back] = 32  # what stands behind a text's spaces is the next text
+        h = (h + ahead) * U(0x9E3779B97F4A7C15) + U(k + 1)
         out.append(((h ^ (h >> U(29))) * U(0xD6E8FEB86659FD93) >> U(49)).astype(np.int32))
     return out, begin, letter
 
