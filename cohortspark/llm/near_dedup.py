@@ -14,6 +14,7 @@ pair that shares a band is either in one class or known not to be linked (or und
 
 Edge cases: null texts count as empty; equal texts (empty ones too) are copies; a text of one to four words has one shingle of all its
 words; a text without words has no shingle and only its equals are near it. Of equal ids the class takes the least id; null ids sort last.
+Rows that repeat the kept document (equal id and equal text) are all marked kept, since nothing tells them apart; equal ids with other texts are not.
 """
 
 from __future__ import annotations
