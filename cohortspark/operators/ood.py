@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.numeric import to_double
+from cohortspark.operators.quantile import exact_quantile
 from cohortspark.schema import OOD_COLS
 
 # Std floor (package), zero-std replacement (notebook), flag thresholds.
@@ -16,6 +17,8 @@ STD_FLOOR = 1e-12
 NOTEBOOK_ZERO_STD = 1.0
 WARN_THRESH = 2.0
 CRIT_THRESH = 3.0
+# The train quantile beyond which a Mahalanobis distance counts as out of distribution.
+MAHALANOBIS_QUANTILE = 0.99
 
 
 def fit_ood_stats(df_train: DataFrame, cols: Sequence[str] = OOD_COLS, *,
@@ -117,3 +120,13 @@ def mahalanobis(df: DataFrame, model: dict, *, out_col: str = "mahalanobis") ->
         for j in range(len(cols)):
             q = q + d[i] * F.lit(float(icov[i][j])) * d[j]
     return df.withColumn(out_col, F.sqrt(F.greatest(q, F.lit(0.0))))
+
+
+def fit_mahalanobis_threshold(df_train: DataFrame, model: dict, q: float = MAHALANOBIS_QUANTILE) -> dict:
+    """The model with ``threshold``: the exact ``q`` quantile of the train distances."""
+    return {**model, "threshold": exact_quantile(mahalanobis(df_train, model, out_col="_d"), "_d", q)}
+
+
+def check_mahalanobis(df: DataFrame, model: dict, *, out_col: str = "mahalanobis", flag_col: str = "is_ood") -> DataFrame:
+    """Distance and whether it passes the threshold."""
+    return mahalanobis(df, model, out_col=out_col).withColumn(flag_col, F.col(out_col) > F.lit(model["threshold"]))

@@ -244,11 +244,13 @@ def _mahalanobis_sql() -> str:
     solved = [f"coalesce((coalesce({x[i]}, m{i}) - m{i}" + "".join(f" - l{i}_{n} * z{n}" for n in range(i)) + f") / l{i}_{i}, 0e0) AS z{i}" for i in k]
     return f""", cv AS (SELECT {", ".join(stats)} FROM splitted WHERE split = 'train'),
 ch AS (SELECT *, {", ".join(factor)} FROM cv),
-zs AS (SELECT row_id, copy_no, split, {", ".join(solved)} FROM splitted, ch)
-SELECT row_id, copy_no, split, round(sqrt({" + ".join(f"z{i} * z{i}" for i in k)}), 6) AS mahalanobis FROM zs"""
+zs AS (SELECT row_id, copy_no, split, {", ".join(solved)} FROM splitted, ch),
+ds AS (SELECT row_id, copy_no, split, sqrt({" + ".join(f"z{i} * z{i}" for i in k)}) AS d FROM zs)
+"""
 
 
-@register("mahalanobis", O.cleaned_cte() + O.split_cte() + _mahalanobis_sql())
+@register("mahalanobis", O.cleaned_cte() + O.split_cte() + _mahalanobis_sql() +
+          "SELECT row_id, copy_no, split, round(d, 6) AS mahalanobis FROM ds")
 def q_mahalanobis(spark, sf_dir):
     s = split_trials(spark, sf_dir)
     model = fit_mahalanobis(s.where(F.col("split") == "train"), OOD_COLS)
@@ -1103,3 +1105,175 @@ def q_vector_stages(spark, sf_dir):
     model = MB.fit_members(f.where("split <> 'holdout'").withColumn("_v", F.col("split") == "test"), [MB.member_of("main", TARGET_COLS, VECTOR_STAGES)],
                            valid_col="_v", key_cols=ROW_KEY)["main"]
     return MB.staged_errors(f, model, by=["split"]).withColumn("is_best", F.col("round") == model.best_round)
+
+
+# --------------------------------------------------------------------------- text encoder slot
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letter_counter(files):
+    """A toy encoder with weights from a shipped file: letter counts times the letter's weight."""
+    import json
+
+    class Counts:
+        def __init__(self):
+            with open(files["letter_weights.json"]) as f:
+                self.weights = np.array(json.load(f))
+
+        def encode(self, texts, max_length):
+            return np.array([[t.count(c) for c in _LETTERS] for t in texts], float) * self.weights
+    return Counts()
+
+
+def _letter_encoder():
+    import json
+    import tempfile
+
+    from cohortspark.operators.embed import TextEncoder
+    path = f"{tempfile.mkdtemp(prefix='cs-encoder-')}/letter_weights.json"  # on the driver; Spark ships it
+    with open(path, "w") as f:
+        json.dump([i + 1 for i in range(26)], f)
+    return TextEncoder("letter-counts", 26, _letter_counter, files=(path,), max_length=None)
+
+
+@register("encoder_slot", O.cleaned_cte() + f"""
+, mt AS (SELECT row_id, copy_no, {O.merge_text_sql(TEXT_COLS, O.TRIALS_PRESENT_TEXT)} AS t FROM trials)
+SELECT row_id, copy_no, {", ".join(f"CAST((length(t) - length(replace(t, '{c}', ''))) * {i + 1} AS DOUBLE) AS n_{c}" for i, c in enumerate(_LETTERS) if c in "aeiouz")},
+  CAST({" + ".join(f"(length(t) - length(replace(t, '{c}', ''))) * {i + 1}" for i, c in enumerate(_LETTERS))} AS DOUBLE) AS total FROM mt""")
+def q_encoder_slot(spark, sf_dir):
+    """Vectors of a plugged-in encoder, through the registry that training, scoring and streams use."""
+    from cohortspark.operators.embed import register_encoder, text_embedding
+    enc = register_encoder(_letter_encoder())
+    e = text_embedding(_merged(spark, sf_dir), "merged_text", enc.encoder_id, dim=enc.dim)
+    v = F.col("embedding")
+    return e.select(*ROW_KEY, *[v[i].cast("double").alias(f"n_{c}") for i, c in enumerate(_LETTERS) if c in "aeiouz"],
+                    F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+# --------------------------------------------------------------------------- joined blocks, audits, jobs from file to file
+
+@register("joined_blocks", """
+SELECT vec_id, label, len(embedding) AS n_dims, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total,
+  round(list_sum(list_transform(embedding, lambda x, i: i * CAST(x AS DOUBLE))), 6) AS weighted FROM embeddings""")
+def q_joined_blocks(spark, sf_dir):
+    """Stored vectors, kept as two blocks, and the structured block joined 1:1 by key."""
+    from cohortspark.operators.joins import join_blocks
+    e = read_table(spark, sf_dir, "embeddings")
+    low, high = F.slice("embedding", 1, 32), F.slice("embedding", 33, F.greatest(F.size("embedding") - 32, F.lit(0)))
+    j = join_blocks({"structured": e.select("vec_id", "label"), "low": e.select("vec_id", low.alias("low_vec")), "high": e.select("vec_id", high.alias("high_vec"))}, ["vec_id"])
+    v = F.transform(F.concat("low_vec", "high_vec"), lambda x: x.cast("double"))
+    add = lambda a, x: a + x
+    return j.select("vec_id", "label", F.size(v).cast("long").alias("n_dims"), F.aggregate(v, F.lit(0.0), add).alias("total"),
+                    F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), add).alias("weighted"))
+
+
+_OUTSIDE = "row_id % 7 <> 3"  # the outside file lacks the other rows, and has some that the truth lacks
+
+
+@register("audited_evaluation", _BASE + _pred_cte("pm", []) + f", ps AS (SELECT * FROM pm WHERE {_OUTSIDE}), lm AS ({_long_sql('ps')})" + f"""
+SELECT split, target, round(rmse, 6) AS rmse, round(mae, 6) AS mae, n, (SELECT count(*) FROM pm WHERE NOT ({_OUTSIDE})) AS truth_only,
+  (SELECT count(*) FROM pm WHERE row_id % 11 = 5) AS pred_only, (SELECT count(*) FROM ps) AS matched FROM lm""")
+def q_audited_evaluation(spark, sf_dir):
+    """Errors of predictions from elsewhere, with the keys that either side lacks."""
+    from cohortspark.operators.joins import audit_predictions
+    p = _mean_predictions(spark, sf_dir)
+    outside = p.select(*ROW_KEY, *_pred_cols())
+    extra = outside.where("row_id % 11 = 5").withColumn("copy_no", F.col("copy_no") + 10)
+    long, audit = audit_predictions(p.select(*ROW_KEY, "split", *TARGET_COLS), outside.where(_OUTSIDE).unionByName(extra), ROW_KEY, TARGET_COLS, _pred_cols())
+    return long.withColumns({k: F.lit(audit[k]).cast("long") for k in ("truth_only", "pred_only", "matched")})
+
+
+@register("mahalanobis_check", O.cleaned_cte() + O.split_cte() + _mahalanobis_sql() + """,
+th AS (SELECT quantile_cont(d, 0.99) AS t FROM ds WHERE split = 'train')
+SELECT row_id, copy_no, split, d > t + 1e-9 AS is_ood, round(t, 6) AS threshold FROM ds, th""")
+def q_mahalanobis_check(spark, sf_dir):
+    """Rows beyond the exact 99th percentile of the train distances."""
+    from cohortspark.operators.ood import check_mahalanobis, fit_mahalanobis_threshold
+    s = split_trials(spark, sf_dir)
+    train = s.where(F.col("split") == "train")
+    model = fit_mahalanobis_threshold(train, fit_mahalanobis(train, OOD_COLS))
+    flagged = check_mahalanobis(s, {**model, "threshold": model["threshold"] + 1e-9})  # rows at the threshold itself differ by rounding only
+    return flagged.select(*ROW_KEY, "split", "is_ood").withColumn("threshold", F.lit(model["threshold"]))
+
+
+@register("ood_file_job", O.cleaned_cte() + O.split_cte() +
+          _ood_scores_sql(_ood_stats_sql("splitted", "WHERE split = 'train'", "stddev_pop", PKG_FIX)) +
+          """SELECT nct_id, round(ood_score, 6) AS ood_score, ood_score >= 2e0 AS ood_warn, ood_score >= 3e0 AS ood_crit FROM sc""")
+def q_ood_file_job(spark, sf_dir):
+    """O4/IO10: the screening job from file to file; the rows read back."""
+    from cohortspark.plans.file_jobs import ood_file
+    from cohortspark.sources.trials_view import trials_path
+    in_path, out_path = TJ.scratch_dir(spark, "trials-in") + ".parquet", TJ.scratch_dir(spark, "ood-out") + ".parquet"
+    spark.read.parquet(trials_path(spark, sf_dir)).write.parquet(in_path)
+    ood_file(spark, in_path, out_path)
+    return load_dataframe(spark, out_path)
+
+
+@register("scored_file_same", O.cleaned_cte() + "SELECT count(*) AS n_rows, count(DISTINCT nct_id) AS n_keys, CAST(0 AS BIGINT) AS n_differ FROM geo")
+def q_scored_file_same(spark, sf_dir):
+    """M25/IO9: raw trials to a prediction file; the sums by key read back against the models in memory."""
+    from cohortspark.operators.scoring import score_frame
+    from cohortspark.plans.file_jobs import score_file
+    from cohortspark.sources.trials_view import trials_path
+    art_dir, in_path, out_path = (TJ.scratch_dir(spark, x) + y for x, y in (("artifacts", ""), ("trials-in", ".parquet"), ("scored-out", ".parquet")))
+    out = _train(spark, sf_dir, out_dir=art_dir, sparse_targets=(), params={"iterations": 3, "depth": 3, "learning_rate": 0.3})
+    spark.read.parquet(trials_path(spark, sf_dir)).write.parquet(in_path)
+    score_file(spark, in_path, art_dir, out_path)
+    names = [f"{t}_pred" for t in TARGET_COLS]
+    back = load_dataframe(spark, out_path).groupBy("nct_id").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in names]).alias("file"))
+    live = score_frame(out.split_frame, out.artifacts).groupBy("nct_id").agg(F.array(*[F.sum(c) for c in _PRED_COLS]).alias("live"))
+    both = back.join(live.withColumnRenamed("nct_id", "k"), F.col("nct_id").eqNullSafe(F.col("k")), "full")
+    near = F.forall(F.zip_with("file", "live", lambda a, b: F.coalesce(F.abs(a - b) <= 1e-6, F.lit(False))), lambda ok: ok)
+    return both.agg(F.sum("n").alias("n_rows"), F.count_distinct("nct_id").alias("n_keys"), F.count_if(~F.coalesce(near, F.lit(False))).alias("n_differ"))
+
+
+@register("attribution_job", _ATTR_BASE.replace("gl AS (", "gx AS (") + f""", n AS (SELECT count(*) AS n FROM embeddings),
+fe AS (SELECT unnest({_sql_list(ATTR_NAMES)}) AS feature),
+bs AS (SELECT target, feature, sum(abs(value)) / (SELECT n FROM n) AS mean_abs FROM lng WHERE abs(value) >= {_SPARSE} AND feature NOT LIKE '%7' GROUP BY 1, 2),
+gl AS (SELECT fe.feature, coalesce(sum(mean_abs), 0) / 10 AS v FROM fe LEFT JOIN bs USING (feature) GROUP BY 1),
+gm AS (SELECT {_sql_group('feature')} AS g, sum(v) AS v FROM gl GROUP BY 1),
+ce AS (SELECT g, target, coalesce(s, 0e0) AS v FROM (SELECT DISTINCT {_sql_group('feature')} AS g FROM fe) CROSS JOIN (SELECT 'label_' || i AS target FROM range(10) r(i))
+  LEFT JOIN (SELECT {_sql_group('feature')} AS g, target, sum(mean_abs) AS s FROM bs GROUP BY 1, 2) USING (g, target))
+SELECT 'mean_abs_per_feature' AS table_name, row_number() OVER (ORDER BY round(v, 9) DESC, feature) AS rank, feature AS name, '' AS target, round(v, 6) AS value FROM gl
+UNION ALL SELECT 'group_mass', row_number() OVER (ORDER BY round(v, 9) DESC, g), g, '', round(v, 6) FROM gm
+UNION ALL SELECT * FROM (SELECT 'top_structured_features', row_number() OVER (ORDER BY round(v, 9) DESC, feature) AS r, feature, '', round(v, 6) FROM gl WHERE NOT starts_with(feature, 'text_emb_')) WHERE r <= 50
+UNION ALL SELECT 'group_by_target', row_number() OVER (ORDER BY g, target), g, target, round(v, 6) FROM ce""")
+def q_attribution_job(spark, sf_dir):
+    """X7/IO14/L1: the job's four tables, read back through the manifest, with their order."""
+    from cohortspark.plans.attribution_job import run_attribution_job
+    from cohortspark.sources.writers import read_published
+    long = _attr_long(spark, sf_dir)
+    kept = long.where((F.abs("value") >= _SPARSE) & ~F.col("feature").endswith("7"))
+    features = spark.createDataFrame([(x,) for x in ATTR_NAMES], "feature string")
+    out = TJ.scratch_dir(spark, "attribution-job")
+    run_attribution_job(kept, features, [f"label_{i}" for i in range(10)], read_table(spark, sf_dir, "embeddings").count(), A.feature_group(F.col("feature")), out)
+    t = read_published(spark, out)
+    names = {"mean_abs_per_feature": ("feature", None, "mean_abs_shap"), "group_mass": ("group", None, "aggregated_shap_mass"),
+             "top_structured_features": ("feature", None, "mean_abs_shap"), "group_by_target": ("group", "target", "sum_mean_abs_shap")}
+    parts = [t[n].select(F.lit(n).alias("table_name"), "rank", F.col(a).alias("name"), (F.col(b) if b else F.lit("")).alias("target"), F.col(v).alias("value")) for n, (a, b, v) in names.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@register("hurdle_branches", O.cleaned_cte() + """, b(branch) AS (VALUES ('probability'), ('raw'), ('label'))
+SELECT branch, (SELECT count(*) FROM geo) AS n_rows, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_soft_off, CAST(0 AS BIGINT) AS n_hard_off FROM b""")
+def q_hurdle_branches(spark, sf_dir):
+    """Presence from a probability, a raw score or a label, by what the fitted model offers."""
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.ml.regression import LinearRegression
+    from cohortspark.operators.hurdle import HurdleModel
+    f = _numeric_features(spark, sf_dir).withColumn("_here", (F.col("aian_pct") > 0).cast("double"))
+    train = f.where("split = 'train'")
+    amount = LinearRegression(labelCol="aian_pct", maxIter=5).fit(train.where("_here = 1"))
+    presence = {"probability": LogisticRegression(labelCol="_here", maxIter=5), "raw": LinearSVC(labelCol="_here", maxIter=5), "label": LinearRegression(labelCol="_here", maxIter=5)}
+    out = None
+    for branch, est in presence.items():
+        model = HurdleModel("aian_pct", est.fit(train), amount)
+        soft, hard = model.transform(f, prefix="s_"), model.transform(f, prefix="h_", hard_gate=True)
+        p, c = F.col("s_p_present"), F.col("s_y_cond")
+        inside = (p.between(0, 1) & c.between(0, 1)) if branch != "label" else (p.isin(0.0, 1.0) & c.between(0, 1))
+        a = soft.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~inside).alias("n_outside"), F.count_if(~(F.abs(F.col("s_y_pred") - p * c) <= 1e-12)).alias("n_soft_off"))
+        b = hard.agg(F.count_if(F.col("h_y_pred") != F.when(F.col("h_p_present") >= 0.5, F.col("h_y_cond")).otherwise(0.0)).alias("n_hard_off"))
+        one = a.crossJoin(b).withColumn("branch", F.lit(branch))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out.select("branch", "n_rows", "n_outside", "n_soft_off", "n_hard_off")
