@@ -16,10 +16,11 @@ from pyspark.ml.feature import (
     OneHotEncoder, OneHotEncoderModel, SQLTransformer, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.numeric import to_double
+from cohortspark.operators.ranking import global_rank
 from cohortspark.schema import (
     CAT_COLS, NUMERIC_COLS, UNKNOWN_TOKEN, assert_columns_present, validate_no_geo_in_categoricals,
 )
@@ -107,12 +108,10 @@ def onehot_columns(model: PipelineModel, cat_cols: Sequence[str] = CAT_COLS) ->
     return [c for c in cat_cols if _idx(c) in ins]
 
 
-def encode_categoricals(df: DataFrame, model: PipelineModel, cat_cols: Sequence[str] = CAT_COLS,
-                        keep_index: bool = False) -> DataFrame:
+def encode_categoricals(df: DataFrame, model: PipelineModel, cat_cols: Sequence[str] = CAT_COLS) -> DataFrame:
     """M2: add the sparse ``cat_vec`` column (narrow transform, no shuffle)."""
     out = model.transform(categorical_frame(df, cat_cols))
-    out = out.drop(*[x for c in cat_cols for x in (_ohe(c), _num(c)) if x in out.columns])
-    return out if keep_index else out.drop(*[_idx(c) for c in cat_cols])
+    return out.drop(*[x for c in cat_cols for x in (_ohe(c), _num(c), _idx(c)) if x in out.columns])
 
 
 def category_labels(model: PipelineModel) -> list[list[str]]:
@@ -128,39 +127,46 @@ def cat_feature_names(model: PipelineModel, cat_cols: Sequence[str] = CAT_COLS)
     return out
 
 
-def level_table(spark: SparkSession, model: PipelineModel,
-                cat_cols: Sequence[str] = CAT_COLS) -> DataFrame:
-    """``(col, level, idx, position)`` dictionary of the fitted encoder."""
-    rows, pos = [], 0
-    for c, labels in zip(cat_cols, category_labels(model)):
-        for i, v in enumerate(labels):
-            rows.append((c, v, i, pos))
-            pos += 1
-    return spark.createDataFrame(rows, "col string, level string, idx int, position int")
+def level_table(df: DataFrame, cat_cols: Sequence[str] = CAT_COLS) -> DataFrame:
+    """``(col, level, idx, position, n)`` dictionary of all levels, made and kept on the executors.
+
+    ``idx`` is the level's place within its column (ascending), ``position`` its place in the
+    one-hot block, ``n`` the rows that hold it.
+    """
+    frame = categorical_frame(df, cat_cols)
+    entries = F.array(*[F.struct(F.lit(i).alias("col_no"), F.lit(c).alias("col"), F.col(f"`{c}`").alias("level")) for i, c in enumerate(cat_cols)])
+    levels = frame.select(F.inline(entries)).where(F.col("level").isNotNull()).groupBy("col_no", "col", "level").agg(F.count(F.lit(1)).alias("n"))
+    ranked = global_rank(levels, "col_no", "level", rank_col="position", start=0)
+    first = ranked.groupBy("col").agg(F.min("position").alias("first"))  # one row per column
+    return (ranked.join(F.broadcast(first), "col")
+                  .select("col", "level", (F.col("position") - F.col("first")).cast("int").alias("idx"), F.col("position").cast("int").alias("position"), "n"))
 
 
-def onehot_long(df: DataFrame, model: PipelineModel, key_cols: Sequence[str],
+#: Levels that hold more than this share of all entries are joined by broadcast; there are fewer than 4096 of them.
+HOT_SHARE = 1 / 4096
+
+
+def onehot_long(df: DataFrame, levels: DataFrame, key_cols: Sequence[str],
                 cat_cols: Sequence[str] = CAT_COLS, *, num_offset: int = 0) -> DataFrame:
     """Sparse entries of the one-hot block as ``(key…, feature, position, value)``.
 
-    Read from the indexer output (one entry per column whose value is a
-    known level) and named through the level dictionary, joined by
-    ``(col, idx)``; the dictionary is broadcast only under the session's
-    broadcast threshold (Catalyst decides from its size).
+    Values meet the dictionary of ``level_table`` by (column, level): frequent levels, of which
+    there is a bounded number, by broadcast, so that no task takes a hot level's rows; all others by shuffle.
+    Unknown and null values have no entry.
     """
-    enc = encode_categoricals(df, model, cat_cols, keep_index=True)
-    n_levels = [len(x) for x in category_labels(model)]
-    entries = F.array(*[F.struct(F.lit(c).alias("col"), F.col(_idx(c)).cast("int").alias("idx"))
-                        for c in cat_cols])
-    exploded = enc.select(*key_cols, F.inline(entries))
-    known = exploded.where(F.col("idx") < F.element_at(
-        F.array(*[F.lit(n) for n in n_levels]),
-        F.array_position(F.array(*[F.lit(c) for c in cat_cols]), F.col("col")).cast("int")))
-    levels = level_table(df.sparkSession, model, cat_cols)
-    return (known.join(levels, ["col", "idx"])
-                 .select(*key_cols, F.concat_ws("_", "col", "level").alias("feature"),
-                         (F.col("position") + F.lit(num_offset)).alias("position"),
-                         F.lit(1.0).alias("value")))
+    frame = categorical_frame(df, cat_cols)
+    entries = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").alias("level")) for c in cat_cols])
+    exploded = frame.select(*key_cols, F.inline(entries))
+    total = levels.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > total * HOT_SHARE
+    hot, rest = levels.where(is_hot).select("col", "level", "position"), levels.where(~is_hot).select("col", "level", "position")
+    known = exploded.join(F.broadcast(hot), ["col", "level"])
+    if not rest.isEmpty():
+        left = exploded.join(F.broadcast(hot.select("col", "level")), ["col", "level"], "left_anti")
+        known = known.unionByName(left.join(rest, ["col", "level"]))
+    return known.select(*key_cols, F.concat_ws("_", "col", "level").alias("feature"),
+                        (F.col("position") + F.lit(num_offset)).alias("position"),
+                        F.lit(1.0).alias("value"))
 
 
 def text_vector(df: DataFrame, emb_col: str = "embedding") -> DataFrame:

@@ -145,17 +145,15 @@ def q_split_two_step(spark, sf_dir):
 
 
 @register("split_by_row", """
-WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer),
-keys AS (SELECT DISTINCT k, md5('42:' || k) AS h FROM (SELECT concat_ws('~', coalesce(CAST(c_custkey AS VARCHAR), '∅'),
-    coalesce(c_name, '∅'), coalesce(CAST(c_nationkey AS VARCHAR), '∅'), coalesce(c_mktsegment, '∅')) AS k FROM c)),
-ranked AS (SELECT k, row_number() OVER (ORDER BY h, k) - 1 AS rn, count(*) OVER () AS n FROM keys)
-SELECT c_custkey, CASE WHEN rn < round_even(0.64e0 * n, 0) THEN 'train'
-  WHEN rn < round_even(0.64e0 * n, 0) + round_even(0.16e0 * n, 0) THEN 'test' ELSE 'holdout' END AS split
-FROM c JOIN ranked r ON r.k = concat_ws('~', coalesce(CAST(c_custkey AS VARCHAR), '∅'),
-    coalesce(c_name, '∅'), coalesce(CAST(c_nationkey AS VARCHAR), '∅'), coalesce(c_mktsegment, '∅'))""")
+WITH c AS (SELECT c_nationkey, c_mktsegment FROM customer),
+r AS (SELECT *, md5('42:' || k) AS h FROM (SELECT *, concat_ws('~', coalesce(CAST(c_nationkey AS VARCHAR), '∅'), coalesce(c_mktsegment, '∅')) AS k FROM c)),
+ranked AS (SELECT c_nationkey, c_mktsegment, row_number() OVER (ORDER BY h, k) - 1 AS rn, count(*) OVER () AS n FROM r)
+SELECT c_nationkey, c_mktsegment, CASE WHEN rn < round_even(0.64e0 * n, 0) THEN 'train'
+  WHEN rn < round_even(0.64e0 * n, 0) + round_even(0.16e0 * n, 0) THEN 'test' ELSE 'holdout' END AS split FROM ranked""")
 def q_split_by_row(spark, sf_dir):
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    return assign_split(c, key_col=None).select("c_custkey", "split")
+    """Rows without a key, most of them repeated, meet the quotas one by one."""
+    c = read_table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment")
+    return assign_split(c, key_col=None)
 
 
 @register("sample_n", O.cleaned_cte() + """
@@ -430,8 +428,7 @@ lvp AS (SELECT *, CAST(row_number() OVER (ORDER BY col_no, idx) - 1 AS INTEGER)
 
 @register("category_levels", O.cleaned_cte() + _levels_sql() + "SELECT col, level, idx, position FROM lvp")
 def q_category_levels(spark, sf_dir):
-    g = cleaned_trials(spark, sf_dir)
-    return level_table(spark, fit_categorical_encoder(g))
+    return level_table(cleaned_trials(spark, sf_dir)).drop("n")
 
 
 @register("onehot_long", O.cleaned_cte() + _levels_sql() + f"""
@@ -441,8 +438,7 @@ FROM ({" UNION ALL ".join(f"SELECT row_id, copy_no, '{c}' AS col, {c} AS level F
 JOIN lvp p ON p.col = g.col AND p.level = g.level""")
 def q_onehot_long(spark, sf_dir):
     g = cleaned_trials(spark, sf_dir)
-    model = fit_categorical_encoder(g)
-    return onehot_long(g, model, ROW_KEY, num_offset=len(NUMERIC_COLS))
+    return onehot_long(g, level_table(g), ROW_KEY, num_offset=len(NUMERIC_COLS))
 
 
 @register("numeric_block", O.cleaned_cte() + f"""
@@ -657,7 +653,7 @@ def q_attr_top_structured(spark, sf_dir):
 def _trial_feature_list(spark, sf_dir):
     """Feature names of the trial model: numeric, one-hot levels, text slots."""
     g = cleaned_trials(spark, sf_dir)
-    lv = level_table(spark, fit_categorical_encoder(g))
+    lv = level_table(g)
     nums = spark.createDataFrame([(c,) for c in NUMERIC_COLS], "feature string")
     texts = spark.range(TEXT_DIM).select(F.format_string("text_emb_%03d", F.col("id").cast("int")).alias("feature"))
     return nums.unionByName(lv.select(F.concat_ws("_", "col", "level").alias("feature"))).unionByName(texts)
@@ -715,18 +711,17 @@ tk AS (SELECT row_id, copy_no, unnest(regexp_split_to_array(translate(merged_tex
 hb AS (SELECT row_id, copy_no, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 384 AS INTEGER) AS bucket,
         CASE WHEN substr(md5(tok), 9, 1) < '8' THEN 1e0 ELSE -1e0 END AS s FROM tk WHERE tok <> ''),
 lng AS (SELECT row_id, copy_no, bucket, sum(s) AS value FROM hb GROUP BY 1, 2, 3 HAVING sum(s) <> 0)
-SELECT row_id, copy_no, count(*) AS n_nonzero, round(sum(abs(value)), 6) AS l1,
-       round(sum(value * value), 6) AS l2sq, round(sum((bucket + 1) * value), 6) AS weighted
-FROM lng GROUP BY 1, 2""")
+SELECT row_id, copy_no, count(value) AS n_nonzero, round(coalesce(sum(abs(value)), 0e0), 6) AS l1,
+       round(coalesce(sum(value * value), 0e0), 6) AS l2sq, round(coalesce(sum((bucket + 1) * value), 0e0), 6) AS weighted
+FROM mt LEFT JOIN lng USING (row_id, copy_no) GROUP BY 1, 2""")
 def q_text_embedding(spark, sf_dir):
     """Hashed embedding of every trial's merged text (the dense production
     path), reported as an exact per-row fingerprint of the vector
-    (non-zeros, L1, L2², bucket-weighted sum); rows with no tokens omitted."""
+    (non-zeros, L1, L2², bucket-weighted sum); a row without tokens has zeros."""
     from cohortspark.operators.embed import hashed_embedding
     e = hashed_embedding(_merged(spark, sf_dir), ROW_KEY, "merged_text", dim=384)
     fp = _fingerprint_udf()(F.col("embedding"))
-    return (e.select(*ROW_KEY, fp.alias("fp")).where(F.col("fp.n_nonzero") > 0)
-             .select(*ROW_KEY, "fp.*"))
+    return e.select(*ROW_KEY, fp.alias("fp")).select(*ROW_KEY, "fp.*")
 
 
 def _fingerprint_udf():

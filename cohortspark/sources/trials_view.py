@@ -28,8 +28,8 @@ WITH li AS (
     avg(CASE WHEN l_tax>=0.055e0 THEN 1e0 ELSE 0e0 END) AS age65_pct,
     sum(l_quantity) AS enrollment_count
   FROM lineitem GROUP BY l_orderkey),
-keyed AS (SELECT o.*, o_orderkey % (SELECT count(*) FROM documents) AS doc_key, o_orderkey % (SELECT count(*) FROM part) AS part_key,
-    o_orderkey % (SELECT count(*) FROM benchmark) AS item_key, (o_orderkey * 7 + 3) % (SELECT count(*) FROM benchmark) AS other_key FROM orders o),
+keyed AS (SELECT o.*, o_orderkey % (SELECT nullif(count(*), 0) FROM documents) AS doc_key, o_orderkey % (SELECT nullif(count(*), 0) FROM part) AS part_key,
+    o_orderkey % (SELECT nullif(count(*), 0) FROM benchmark) AS item_key, (o_orderkey * 7 + 3) % (SELECT nullif(count(*), 0) FROM benchmark) AS other_key FROM orders o),
 base AS (SELECT o.*, 0 AS copy_no FROM keyed o
   UNION ALL SELECT o.*, 1 AS copy_no FROM keyed o WHERE o.o_orderkey % 50 = 0)
 SELECT o.o_orderkey AS row_id, o.copy_no,

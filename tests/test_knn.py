@@ -25,12 +25,32 @@ def test_blocked_equals_bruteforce(spark):
     train = spark.createDataFrame([(int(i), t[i].tolist()) for i in range(300)], "id long, vec array<double>")
     query = spark.createDataFrame([(i, q[i].tolist()) for i in range(40)], "id long, vec array<double>")
     want = brute(q, t, tid, 7)
-    for block in (1000, 37):  # one chunk, and many chunks (written to the checkpoint folder)
+    for block in (1000, 37):  # one block, and many blocks and parts
         nb = knn_neighbors(query, train, k=7, block_rows=block).collect()
         got = {}
         for r in sorted(nb, key=lambda r: (r["q_id"], r["rank"])):
             got.setdefault(r["q_id"], []).append(r["n_id"])
         assert got == want
+    same = train.where("id = 6").unionByName(train.limit(0))
+    for _ in range(5):
+        same = same.unionByName(same)  # 32 equal rows spread over the blocks
+    assert same.count() == 32 and knn_neighbors(query, same, k=7, block_rows=5).count() == 7 * 40
+
+
+def test_levels_stay_on_executors(spark):
+    from cohortspark.operators import features
+    df = spark.createDataFrame([(i, "abc"[i % 3] if i % 5 else None, f"v{i % 40:02d}") for i in range(400)], "id long, p string, q string")
+    levels = features.level_table(df, ["p", "q", "absent"])
+    rows = sorted(map(tuple, levels.collect()), key=lambda r: r[3])
+    want = [("p", x, i) for i, x in enumerate("abc")] + [("q", f"v{i:02d}", i) for i in range(40)] + [("absent", "Unknown", 0)]
+    assert [r[:3] for r in rows] == want and [r[3] for r in rows] == list(range(44)) and rows[-1][4] == 400
+    for share in (features.HOT_SHARE, 0.05, 1.0):  # all levels by broadcast, some, none
+        features.HOT_SHARE, old = share, features.HOT_SHARE
+        try:
+            out = features.onehot_long(df, levels, ["id"], ["p", "q", "absent"], num_offset=2).collect()
+        finally:
+            features.HOT_SHARE = old
+        assert len(out) == 400 * 2 + 320 and {r["position"] for r in out if r["feature"] == "p_b"} == {3}
 
 
 def test_dense_hashing_equals_long_form(spark):
