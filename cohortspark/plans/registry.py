@@ -1000,12 +1000,16 @@ def q_feature_group_counts(spark, sf_dir):
     return f.groupBy(A.feature_group(F.col("feature")).alias("group")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("attr_ranked_json")
+@register("attr_ranked_json", _ATTR_BASE + """
+SELECT target, rank, feature, round(mean_abs, 6) AS mean_abs_shap FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY mean_abs DESC, feature) AS INTEGER) AS rank FROM bt)
+WHERE rank <= 25""")
 def q_attr_ranked_json(spark, sf_dir):
-    """IO13: per-target top-25 lists written as JSON to the shared folder and read back."""
+    """IO13: per-target top-25 lists written as JSON to the shared folder, read back and unfolded in their order."""
     path = TJ.scratch_dir(spark, "ranked-json")
     A.write_ranked_json(_by_target(spark, sf_dir), path, 25)
-    return spark.read.json(path).select("target", F.to_json("features").alias("features_json"))
+    rows = spark.read.json(path).select("target", F.posexplode("features").alias("at", "f"))
+    return rows.select("target", (F.col("at") + 1).alias("rank"), "f.feature", "f.mean_abs_shap")
 
 
 @register("display_percent", _BASE + _pred_cte("pm", []) + f"""
@@ -1272,3 +1276,52 @@ def q_hurdle_branches(spark, sf_dir):
         one = a.crossJoin(b).withColumn("branch", F.lit(branch))  # one row each
         out = one if out is None else out.unionByName(one)
     return out.select("branch", "n_rows", "n_outside", "n_soft_off", "n_hard_off")
+
+
+@register("evaluation_file_job", _BASE + _pred_cte("pm", []) + f", lm AS ({_long_sql('pm')})\n" + _wide_sql("lm"))
+def q_evaluation_file_job(spark, sf_dir):
+    """M21/IO8: truth and prediction files in, the table of errors out, read back."""
+    from cohortspark.plans.file_jobs import evaluate_files
+    from cohortspark.sources.trials_view import trials_path
+    truth, pred, out = (TJ.scratch_dir(spark, x) for x in ("truth.parquet", "pred.parquet", "errors"))
+    truth, pred = truth + ".parquet", pred + ".parquet"
+    spark.read.parquet(trials_path(spark, sf_dir)).write.parquet(truth)
+    p = _mean_predictions(spark, sf_dir)
+    p.select(*ROW_KEY, *[F.col(f"pred_{t}").alias(f"{t}_pred") for t in TARGET_COLS]).write.parquet(pred)
+    _, audit = evaluate_files(spark, truth, pred, out, key_cols=ROW_KEY, strict=True)
+    return spark.read.option("header", True).option("inferSchema", True).csv(out)
+
+
+TUNED_CHECK = {"iterations": 40, "depth": 4, "learning_rate": 0.3, "l2_leaf_reg": 5.0, "early_stopping_rounds": 5}
+
+
+@register("tuned_checked", "SELECT true AS best_is_least, true AS kept_up_to_best, true AS stopped_in_time, CAST(0 AS BIGINT) AS n_errors_off")
+def q_tuned_checked(spark, sf_dir):
+    """The tuned fit stops by rounds; its staged errors against those of its trees, rescored row by row."""
+    f = _numeric_features(spark, sf_dir)
+    member = MB.member_of("main", TARGET_COLS, TUNED_CHECK)
+    model = MB.fit_members(f.where("split <> 'holdout'").withColumn("_v", F.col("split") == "test"), [member], valid_col="_v", key_cols=ROW_KEY)["main"]
+    again = MB.staged_errors(f.where("split = 'test'"), model)
+    kept = spark.createDataFrame(list(enumerate(model.staged[:len(model.trees) + 1])), "round int, kept double")
+    both = again.join(F.broadcast(kept), "round", "full")  # one row per tree
+    least = min(model.staged)
+    waited = len(model.staged) - 1 - model.best_round
+    return both.agg(
+        (F.min("rmse") <= least + 1e-9).alias("best_is_least"), F.lit(len(model.trees) == model.best_round).alias("kept_up_to_best"),
+        F.lit(len(model.staged) - 1 == TUNED_CHECK["iterations"] or TUNED_CHECK["early_stopping_rounds"] <= waited < TUNED_CHECK["early_stopping_rounds"] + MB.REFRESH).alias("stopped_in_time"),
+        F.count_if(~F.coalesce(F.abs(F.col("rmse") - F.col("kept")) <= 1e-9, F.lit(False))).alias("n_errors_off"))
+
+
+@register("stream_equals_batch", O.cleaned_cte() + "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differ FROM geo")
+def q_stream_equals_batch(spark, sf_dir):
+    """Rows scored by the stream that differ from the batch's scores: there are none."""
+    from cohortspark.sources.trials_view import trials_path
+    from cohortspark.streaming.score_stream import read_parquet_stream, start_stream_scoring
+    art_dir, out_dir = TJ.scratch_dir(spark, "artifacts"), TJ.scratch_dir(spark, "stream-out")
+    raw = trials_view(spark, sf_dir)
+    _train(spark, sf_dir, out_dir=art_dir, sparse_targets=(), params={"iterations": 3, "depth": 3, "learning_rate": 0.3})
+    start_stream_scoring(spark, read_parquet_stream(spark, trials_path(spark, sf_dir), raw.schema), art_dir, out_dir, select_cols=[*ROW_KEY, *_PRED_COLS]).awaitTermination()
+    stream = spark.read.parquet(out_dir).select(*ROW_KEY, F.array(*_PRED_COLS).alias("a"))
+    batch = TJ.score_with_artifacts(spark, raw, art_dir).select(*ROW_KEY, F.array(*_PRED_COLS).alias("b"))
+    near = F.forall(F.zip_with("a", "b", lambda x, y: F.coalesce(F.abs(x - y) <= 1e-9, F.lit(False))), lambda ok: ok)
+    return stream.join(batch, ROW_KEY, "full").agg(F.count("a").alias("n_rows"), F.count_if(~F.coalesce(near, F.lit(False))).alias("n_differ"))
