@@ -8,8 +8,8 @@ candidate pair is linked if its weighted Jaccard similarity, or that of its plai
 Equal texts are one node from the start. Every member of a band's group is compared with the group's least node. Then the
 members are grouped anew by NARROW bands of NARROW_ROWS samples; where a member and the group's head (another one in each group) are still in
 different components and their samples agree often enough for a similarity of ``threshold``, the two are compared as well. These rounds
-settle most groups with few comparisons. Last, in every band group that still holds several components, all members are compared with all
-others, in blocks against blocks: a pair is verified unless its samples agree too seldom or links found before already join its components. So every
+settle most groups with few comparisons. Last, in every band group that still holds several components, members are compared with all of
+other components, in blocks against blocks (those of the group's largest component only meet the others' blocks): a pair is verified unless its samples agree too seldom or links found before already join its components. So every
 pair that shares a band is either in one class or known not to be linked (or under AGREE), whatever the shape of the group.
 
 Edge cases: null texts count as empty; equal texts (empty ones too) are copies; a text of one to four words has one shingle of all its
@@ -209,9 +209,16 @@ def _settle(state: DataFrame, members: DataFrame, feats: DataFrame, threshold: f
     the links it finds, so it verifies no pair whose link would change nothing, and emits a forest.
     """
     group = members.select("at", "band", "key").join(state.select("key", "root"), "key")
-    open_ = group.groupBy("at").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks")).where("low <> high").select("at", "blocks")
-    group = (group.join(open_, "at").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    sizes = group.groupBy("at", "root").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("at").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    # members of the group's largest component need no comparison among themselves: their blocks only meet those of the others
+    one = F.col("n") <= BLOCK_ROWS
+    open_ = open_.select("at", F.when(~one, F.col("top.root")).alias("main"), F.when(one, 1).otherwise(F.ceil((F.col("n") - F.col("top.n")) / BLOCK_ROWS)).cast("long").alias("small"),
+                         F.when(one, 0).otherwise(F.ceil(F.col("top.n") / BLOCK_ROWS)).cast("long").alias("large"))
+    in_main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
+    group = (group.join(open_, "at")
+             .withColumn("own", F.when(in_main, F.col("small") + F.pmod(F.xxhash64("key"), F.greatest("large", F.lit(1)))).otherwise(F.pmod(F.xxhash64("key"), F.col("small"))))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(in_main, F.col("small")).otherwise(F.col("small") + F.col("large")) - 1))))
     group = group.select("at", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "band",
                          F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "key", "root")
 

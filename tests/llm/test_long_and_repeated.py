@@ -168,3 +168,24 @@ def test_near_dedup_marks_repeats_of_the_kept_row(spark, make_docs, words):
     docs = make_docs([words(80, 1), words(80, 1), words(80, 1), words(80, 2), words(90, 3)], [5, 5, 6, 5, None])
     rows = near_dedup.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "class_id", "kept").collect()
     assert sorted((r["doc_id"] or -1, r["class_id"] or -1, r["kept"]) for r in rows) == [(-1, -1, True), (5, 5, True), (5, 5, True), (5, 5, True), (6, 5, False)]
+
+
+def test_large_group_with_few_outsiders(spark, make_docs, words, monkeypatch):
+    """Blocks of the main component do not meet each other, and every link to it is still found."""
+    import random
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 8)
+    original, texts = words(400, 77).split(), []
+    for c in range(60):
+        w, rng = list(original), random.Random(c)
+        for i in rng.sample(range(400), 3 if c < 48 else 12):
+            w[i] = f"edit{c}x{i}"
+        texts.append(" ".join(w))
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    sets = [grams(t) for t in texts]
+    near = {(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.82}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(make_docs(texts)).collect()}
+    assert all(got[i] == got[j] for i, j in near if i < 48 and j < 48)
+    assert len({got[i] for i in range(60)}) <= 1 + sum(not any(i in p for p in near) for i in range(60))
