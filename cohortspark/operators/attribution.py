@@ -97,11 +97,6 @@ def global_importance(by_target: DataFrame, n_targets: int | None = None, featur
     return features.select("feature").join(out, "feature", "left").withColumn("mean_abs_shap", F.coalesce("mean_abs_shap", F.lit(0.0)))
 
 
-def sorted_features(glob: DataFrame) -> DataFrame:
-    """L1: features by falling importance, ties by name."""
-    return glob.orderBy(F.desc("mean_abs_shap"), "feature")
-
-
 def sorted_groups(mass: DataFrame) -> DataFrame:
     """L2: groups by falling mass, ties by name."""
     return mass.orderBy(F.desc("mean_abs_shap_sum"), "group")
@@ -117,18 +112,38 @@ def group_mass(glob: DataFrame, group: Column, *, with_median: bool = False) ->
     return glob.withColumn("group", group).groupBy("group").agg(*aggs)
 
 
-def group_by_target(by_target: DataFrame, group: Column) -> DataFrame:
-    """``(group, target, sum_mean_abs_shap)``."""
-    return (by_target.withColumn("group", group).groupBy("group", "target")
-            .agg(F.sum("mean_abs").alias("sum_mean_abs_shap")))
+def group_by_target(by_target: DataFrame, group: Column, features: DataFrame | None = None,
+                    targets: Sequence[str] | None = None) -> DataFrame:
+    """``(group, target, sum_mean_abs_shap)``.
+
+    For a sparse table give the model's ``features`` and ``targets``: cells without any value get 0.
+    """
+    out = (by_target.withColumn("group", group).groupBy("group", "target")
+           .agg(F.sum("mean_abs").alias("sum_mean_abs_shap")))
+    if features is None:
+        return out
+    cells = features.select(group.alias("group")).distinct().select("group", F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
+    return cells.join(out, ["group", "target"], "left").withColumn("sum_mean_abs_shap", F.coalesce("sum_mean_abs_shap", F.lit(0.0)))
+
+
+def groups_by_mass(by_target: DataFrame, group: Column) -> list[str]:
+    """Groups by falling mass, ties by name (a handful: the groups are fixed by the rule that makes them)."""
+    mass = by_target.groupBy(group.alias("group")).agg(F.sum("mean_abs").alias("mass"))
+    return [r["group"] for r in mass.orderBy(F.desc("mass"), "group").collect()]
 
 
 def group_pivot(by_target: DataFrame, group: Column, *, how: str = "sum",
-                groups: Sequence[str] = GROUP_ORDER) -> DataFrame:
-    """Target × group table, missing cells 0 (pivot values always given)."""
-    agg = F.sum("mean_abs") if how == "sum" else F.avg("mean_abs")
+                groups: Sequence[str] = GROUP_ORDER, features: DataFrame | None = None) -> DataFrame:
+    """Target × group table, missing cells 0, columns in the order of ``groups`` (always given to the pivot).
+
+    The mean divides by the features present, or, for a sparse table, by all of the group's ``features``.
+    """
+    agg = F.sum("mean_abs") if how == "sum" or features is not None else F.avg("mean_abs")
     wide = by_target.withColumn("group", group).groupBy("target").pivot("group", list(groups)).agg(agg)
-    return wide.select("target", *[F.coalesce(F.col(f"`{g}`"), F.lit(0.0)).alias(g) for g in groups])
+    size = {}
+    if how == "mean" and features is not None:
+        size = {r["group"]: r["n"] for r in features.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return wide.select("target", *[(F.coalesce(F.col(f"`{g}`"), F.lit(0.0)) / F.lit(float(size.get(g, 1)))).alias(g) for g in groups])
 
 
 def top_k_per_target(by_target: DataFrame, k: int = 25) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.geo import STATE_TO_REGION, extract_us_states, n_us_regions
+from cohortspark.schema import NUMERIC_COLS, REQUIRED_GEO_NUMERIC_COLS
 
 
 def derive_geography(df: DataFrame, *, locations_col: str = "Locations",
@@ -52,3 +55,14 @@ def geo_guardrails(df: DataFrame) -> dict:
     if r["min_any"] < 0:
         raise ValueError("a geography count is below zero")
     return r
+
+
+def numeric_guardrails(df_num: DataFrame, num_cols: Sequence[str] = NUMERIC_COLS) -> dict:
+    """The numeric block has the required geography columns, exactly the columns of the schema, and sane counts."""
+    lacking = [c for c in REQUIRED_GEO_NUMERIC_COLS if c not in df_num.columns]
+    if lacking:
+        raise ValueError(f"numeric block lacks geography columns: {lacking}")
+    extra, absent = sorted(set(df_num.columns) - set(num_cols)), sorted(set(num_cols) - set(df_num.columns))
+    if extra or absent:
+        raise ValueError(f"numeric block differs from the schema: not expected {extra}, absent {absent}")
+    return geo_guardrails(df_num)

@@ -58,13 +58,16 @@ def presence_probability(df: DataFrame, offered: dict[str, str]) -> Column:
     return (F.col(offered["prediction"]) > 0).cast("double")
 
 
-def hurdle_combine(p: Column, y_cond: Column, *, hard_gate: bool = False, clip: bool = True,
+def hurdle_combine(p: Column, y_cond: Column, *, hard_gate: bool = False, clip: bool = True, clip_amount: bool = True,
                    threshold: float = HURDLE_THRESHOLD) -> dict[str, Column]:
     """``y_pred = p·y_cond`` (soft) or ``y_cond if p >= t else 0`` (hard).
 
+    ``clip`` clips the result, ``clip_amount`` (with ``clip``) the amount before it is multiplied as well (M20: one
+    variant clips the amount first, the other only the product).
+
     Returns the four output columns: y_pred, p_present, y_cond, present.
     """
-    yc = clip01(y_cond) if clip else y_cond
+    yc = clip01(y_cond) if clip and clip_amount else y_cond
     present = p >= F.lit(threshold)
     y = F.when(present, yc).otherwise(F.lit(HURDLE_ZERO_VALUE)) if hard_gate else p * yc
     if clip:

@@ -29,9 +29,7 @@ def attribution_tables(long: DataFrame, features: DataFrame, targets: Sequence[s
     glob = A.global_importance(by_target, len(targets), features)
     ranked = global_rank(glob, F.desc("mean_abs_shap"), "feature")
     mass = A.group_mass(glob, group).select("group", F.col("mean_abs_shap_sum").alias("aggregated_shap_mass"), "n_features", F.col("mean_abs_shap_per_feature").alias("mean_per_feature"))
-    cells = features.select(group.alias("group")).distinct().crossJoin(F.broadcast(spark.createDataFrame([(t,) for t in targets], "target string")))
-    found = A.group_by_target(by_target.join(features, "feature", "left_semi"), group)
-    by_group = cells.join(found, ["group", "target"], "left").select("group", "target", F.coalesce("sum_mean_abs_shap", F.lit(0.0)).alias("sum_mean_abs_shap"))
+    by_group = A.group_by_target(by_target, group, features, targets)
     return {
         "mean_abs_per_feature": ranked.select("rank", "feature", "mean_abs_shap"),
         "group_mass": global_rank(mass, F.desc("aggregated_shap_mass"), "group").select("rank", "group", "aggregated_shap_mass", "n_features", "mean_per_feature"),

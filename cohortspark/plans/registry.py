@@ -1325,3 +1325,46 @@ def q_stream_equals_batch(spark, sf_dir):
     batch = TJ.score_with_artifacts(spark, raw, art_dir).select(*ROW_KEY, F.array(*_PRED_COLS).alias("b"))
     near = F.forall(F.zip_with("a", "b", lambda x, y: F.coalesce(F.abs(x - y) <= 1e-9, F.lit(False))), lambda ok: ok)
     return stream.join(batch, ROW_KEY, "full").agg(F.count("a").alias("n_rows"), F.count_if(~F.coalesce(near, F.lit(False))).alias("n_differ"))
+
+
+@register("geo_guards", O.cleaned_cte() + """SELECT max(n_sites) AS max_sites, max(n_us_states) AS max_states, max(n_us_regions) AS max_regions,
+  least(min(n_sites), min(n_us_states), min(n_us_regions)) AS min_any FROM geo""")
+def q_geo_guards(spark, sf_dir):
+    """The numeric block passes its guards; the numbers they look at."""
+    from cohortspark.operators.geo import numeric_guardrails
+    r = numeric_guardrails(numeric_block(cleaned_trials(spark, sf_dir), NUMERIC_COLS).select(*NUMERIC_COLS))
+    return spark.createDataFrame([tuple(int(r[k]) for k in ("max_sites", "max_states", "max_regions", "min_any"))], "max_sites int, max_states int, max_regions int, min_any int")
+
+
+@register("hurdle_clip_after", _HURDLE_BASE + """
+SELECT row_id, copy_no, round(least(greatest(p * y_cond, 0e0), 1e0), 6) AS y_pred, round(y_cond, 6) AS y_cond FROM hin""")
+def q_hurdle_clip_after(spark, sf_dir):
+    """The variant that clips the product only."""
+    h = _hurdle_inputs(spark, sf_dir)
+    out = hurdle_combine(F.col("p"), F.col("y_cond"), clip_amount=False)
+    return h.select(*ROW_KEY, out["y_pred"].alias("y_pred"), out["y_cond"].alias("y_cond"))
+
+
+@register("attr_sparse_pivot", _ATTR_BASE.replace("gl AS (", "gx AS (") + f""", bs AS (SELECT target, {_sql_group('feature')} AS g, sum(abs(value)) / (SELECT count(*) FROM embeddings) AS s
+  FROM lng WHERE abs(value) >= {_SPARSE} AND feature NOT LIKE '%7' GROUP BY 1, 2),
+fs AS (SELECT {_sql_group('feature')} AS g, count(*) AS n FROM (SELECT unnest({_sql_list(ATTR_NAMES)}) AS feature) GROUP BY 1)
+SELECT target, {", ".join(f"round(coalesce(sum(s / n) FILTER (WHERE g = {O.q(g)}), 0e0), 6) AS {chr(34) + g + chr(34)}" for g in A.GROUP_ORDER)}
+FROM bs JOIN fs USING (g) GROUP BY target""")
+def q_attr_sparse_pivot(spark, sf_dir):
+    """A16 on a sparse table: the mean over all features of a group, columns by falling mass."""
+    long = _attr_long(spark, sf_dir)
+    kept = long.where((F.abs("value") >= _SPARSE) & ~F.col("feature").endswith("7"))
+    by_target = A.mean_abs_by_target(kept, read_table(spark, sf_dir, "embeddings").count())
+    group = A.feature_group(F.col("feature"))
+    order = A.groups_by_mass(by_target, group)
+    order += [g for g in A.GROUP_ORDER if g not in order]
+    return A.group_pivot(by_target, group, how="mean", groups=order, features=spark.createDataFrame([(x,) for x in ATTR_NAMES], "feature string"))
+
+
+@register("array_round_trip", "SELECT vec_id, embedding[1] AS first, embedding[len(embedding)] AS last, len(embedding) AS n FROM embeddings")
+def q_array_round_trip(spark, sf_dir):
+    """IO12: arrays written and read back."""
+    path = TJ.scratch_dir(spark, "arrays") + ".parquet"
+    save_dataframe(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), path)
+    back = load_dataframe(spark, path)
+    return back.select("vec_id", F.col("embedding")[0].alias("first"), F.element_at("embedding", -1).alias("last"), F.size("embedding").cast("long").alias("n"))

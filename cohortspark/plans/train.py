@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators.baselines import mean_baseline, union_baselines
 from cohortspark.operators.clean import CleanStats, apply_clean, fit_clean
 from cohortspark.operators.features import cat_feature_names, fit_categorical_encoder
-from cohortspark.operators.geo import derive_geography, geo_guardrails
+from cohortspark.operators.geo import derive_geography, numeric_guardrails
 from cohortspark.operators.metrics import extract_targets, metrics_long, metrics_table
 from cohortspark.operators.models import (
     HURDLE_PRESET, MAIN_PRESET, STRUCTURED_PRESET, fit_all, fit_vector, predict_multitarget,
@@ -70,7 +70,7 @@ def train_pipeline(spark: SparkSession, df_raw: DataFrame, *, target_cols: Seque
     row_key = list(row_key or [key_col])
     params, hurdle_params = params or MAIN_PRESET, hurdle_params or HURDLE_PRESET
     clean, stats = prepare(df_raw)
-    geo_guardrails(clean)
+    numeric_guardrails(clean.select(*[c for c in NUMERIC_COLS if c in clean.columns]))
     split = assign_split(clean, key_col=key_col)
     split = extract_targets(split, target_cols)
     enc_rows = split if fit_scope == "all" else split.where(F.col("split") == "train")

@@ -87,12 +87,6 @@ def trials_view(spark: SparkSession, sf_dir: str, *, materialize: bool = True) -
     return spark.read.parquet(path)
 
 
-def trials_oracle_cte() -> str:
-    """The same view as a DuckDB CTE prefix: ``WITH trials AS (...)``."""
-    return "WITH trials AS (" + TRIALS_SQL.replace("CAST(o.o_orderkey AS STRING)",
-                                                   "CAST(o.o_orderkey AS VARCHAR)") + ")\n"
-
-
 def trials_path(spark: SparkSession, sf_dir: str) -> str:
     """Parquet folder of the materialized trial table (written on first use)."""
     trials_view(spark, sf_dir)

@@ -180,3 +180,27 @@ def test_parzen_search_finds_the_basin():
     rng = random.Random(3)
     assert suggest(SEARCH_SPACE, [], 3, rng) != suggest(SEARCH_SPACE, [], 3, rng)
     assert suggest(SEARCH_SPACE, [], 3, random.Random(1)) == suggest(SEARCH_SPACE, [], 3, random.Random(1))
+
+
+def test_too_few_positives(frame):
+    """The robust variant skips the amount half below five positive rows; one class needs no presence half."""
+    from cohortspark.operators.models import ROBUST_MIN_POSITIVES, fit_vector
+    df, _, _ = frame
+    rows = df.withColumn("rare", (F.col("id") < 3).cast("double") * 0.4).withColumn("never", F.lit(0.0))
+    small = {"iterations": 2, "depth": 2, "learning_rate": 0.5}
+    _, hurdles = fit_vector(rows, ["y0", "rare", "never", "z"], ["rare", "never", "z", "not a target"], params=small, hurdle_params=small, min_positives=ROBUST_MIN_POSITIVES, key_cols=["id"])
+    assert set(hurdles) == {"rare", "never", "z"}
+    assert hurdles["rare"].regressor is None and hurdles["rare"].presence is not None and hurdles["z"].regressor is not None
+    assert hurdles["never"].presence is None and hurdles["never"].constant_presence == 0.0
+    assert {r["rare__y_pred"] for r in hurdles["rare"].transform(rows).select("rare__y_pred").collect()} == {0.0}
+
+
+def test_numeric_guards(spark):
+    from cohortspark.operators.geo import numeric_guardrails
+    from cohortspark.schema import NUMERIC_COLS
+    df = spark.createDataFrame([tuple(range(len(NUMERIC_COLS)))], ", ".join(f"{c} int" for c in NUMERIC_COLS)).withColumns({"n_us_regions": F.lit(2)})
+    assert numeric_guardrails(df)["max_sites"] == NUMERIC_COLS.index("n_sites")
+    for wrong, word in ((df.drop("n_sites"), "lacks"), (df.withColumn("more", F.lit(1)), "not expected"), (df.drop("min_age_missing"), "absent"), (df.withColumn("n_sites", F.lit(0)), "no row"),
+                        (df.withColumn("n_us_states", F.lit(-1)), "below zero")):
+        with pytest.raises(ValueError, match=word):
+            numeric_guardrails(wrong)
