@@ -1,9 +1,9 @@
 """Text → vector.
 
-Default encoder (E4): signed feature hashing computed entirely by Spark —
-tokens are exploded, each token's bucket and sign come from its md5, and
-counts are summed per (row, bucket) with map-side partial aggregation. The
-result has the reference's output type (``array<float>``, one fixed
+Default encoder (E4): signed feature hashing. Each token's bucket and sign come
+from its md5; ``hashed_long`` states it in SQL expressions (tokens exploded,
+counts summed per row and bucket), ``hashed_embedding`` gives the dense
+vectors in the row. The result has the reference's output type (``array<float>``, one fixed
 dimension, unnormalised by default) but is not numerically a transformer
 embedding. A user with a model describes it as a :class:`TextEncoder`, which
 training, artifacts, scoring and streams then use in Arrow batches inside the
@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,7 @@ from cohortspark.schema import TEXT_EMBEDDING_BATCH_SIZE, TEXT_EMBEDDING_MAX_LEN
 DEFAULT_DIM = 384
 HASHING = "signed-hashing"
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+_TOKEN = re.compile(r"[^\W_]+")  # the same runs of letters and digits
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -55,27 +58,31 @@ def hashed_long(df: DataFrame, key_cols: Sequence[str], text_col: str, *,
               .where(F.col("value") != 0))
 
 
-def _batch_vectors(token_lists: pd.Series, dim: int, normalize: bool) -> np.ndarray:
-    """Dense signed-hash counts for a batch of token lists (one numpy pass)."""
-    n = len(token_lists)
-    rows, toks = [], []
-    for r, tl in enumerate(token_lists):
-        if tl is None:
-            continue
-        kept = [t for t in tl if t]
-        toks.extend(kept)
-        rows.append(np.full(len(kept), r, dtype=np.int64))
-    mat = np.zeros((n, dim))
-    if toks:
-        # each distinct token of the batch is hashed once
-        code = {t: i for i, t in enumerate(dict.fromkeys(toks))}
-        dig = np.frombuffer(b"".join([hashlib.md5(t.encode("utf-8")).digest() for t in code]),
-                            dtype=np.uint8).reshape(-1, 16).astype(np.int64)[[code[t] for t in toks]]
-        word = (dig[:, 0] << 24) | (dig[:, 1] << 16) | (dig[:, 2] << 8) | dig[:, 3]
-        bucket = word % dim                                  # first 8 hex digits of the md5
-        sign = np.where((dig[:, 4] >> 4) < 8, 1.0, -1.0)     # 9th hex digit
-        mat = np.bincount(np.concatenate(rows) * dim + bucket, weights=sign,
-                          minlength=n * dim).reshape(n, dim)
+#: Codes of tokens that this Python worker has hashed: 2 * first 32 bits of the md5 + (1 if the sign is negative).
+_CODES: dict[str, int] = {}
+MAX_CODES = 500_000
+
+
+class _Hash(dict):
+    """A dictionary that hashes a token when it is first asked for."""
+
+    def __missing__(self, token: str) -> int:
+        d = hashlib.md5(token.encode("utf-8")).digest()
+        self[token] = code = int.from_bytes(d[:4], "big") << 1 | d[4] >> 7
+        return code
+
+
+def _batch_vectors(texts: Sequence[str | None], dim: int, normalize: bool) -> np.ndarray:
+    """Dense signed-hash counts for a batch of texts: each distinct token is hashed once, one ``bincount`` adds all up."""
+    global _CODES
+    if not isinstance(_CODES, _Hash) or len(_CODES) > MAX_CODES:
+        _CODES = _Hash()
+    code_of, n = _CODES.__getitem__, len(texts)
+    codes = [list(map(code_of, _TOKEN.findall(t.encode().lower().decode()))) if t else [] for t in texts]  # bytes.lower(): A-Z only
+    sizes = np.fromiter(map(len, codes), np.int64, n)
+    flat = np.fromiter(chain.from_iterable(codes), np.int64, int(sizes.sum()))
+    at = np.repeat(np.arange(n), sizes) * dim + (flat >> 1) % dim
+    mat = np.bincount(at, weights=1.0 - 2.0 * (flat & 1), minlength=n * dim).reshape(n, dim)
     if normalize:
         mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-12)
     return mat
@@ -83,8 +90,11 @@ def _batch_vectors(token_lists: pd.Series, dim: int, normalize: bool) -> np.ndar
 
 def _hash_vectors_udf(dim: int, normalize: bool):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def dense(token_lists: pd.Series) -> pd.Series:
-        return pd.Series(list(_batch_vectors(token_lists, dim, normalize).astype(np.float32)))
+    def dense(texts: pd.Series) -> pd.Series:
+        out = []
+        for lo in range(0, len(texts), 1000):  # codes of 1000 texts at a time
+            out.extend(_batch_vectors([t if isinstance(t, str) else None for t in texts.iloc[lo:lo + 1000]], dim, normalize).astype(np.float32))
+        return pd.Series(out, dtype=object)
     return dense
 
 
@@ -93,13 +103,11 @@ def hashed_embedding(df: DataFrame, key_cols: Sequence[str] | None, text_col: st
                      out_col: str = "embedding") -> DataFrame:
     """Dense ``array<float>`` per row, computed inside the row: no shuffle, no join.
 
-    The JVM lower-cases and splits the text (codegen); per Arrow batch the
-    tokens are md5-hashed in one pass and a single ``np.bincount`` builds the
-    vectors. Same values as summing :func:`hashed_long` per row.
-    ``key_cols`` is accepted for API symmetry.
+    Texts travel once, as they are; a worker splits them into runs of letters
+    and digits and keeps the hashes of the tokens it has met. Same values as
+    summing :func:`hashed_long` per row. ``key_cols`` is accepted for API symmetry.
     """
-    split = F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), TOKEN_SPLIT)
-    return df.withColumn(out_col, _hash_vectors_udf(dim, normalize)(split))
+    return df.withColumn(out_col, _hash_vectors_udf(dim, normalize)(F.col(text_col)))
 
 
 @dataclass(frozen=True)
