@@ -195,7 +195,7 @@ def mean_pool(token_vectors: Column, mask: Column, floor: float = 1e-9) -> Colum
     """masked mean of token vectors (``array<array<double>>`` + ``array<int>``)."""
     dim = F.size(F.element_at(token_vectors, 1))
     count = F.greatest(F.aggregate(mask, F.lit(0.0), lambda acc, m: acc + m.cast("double")), F.lit(floor))
-    summed = F.transform(F.sequence(F.lit(0), dim - 1), lambda j: F.aggregate(
-        F.arrays_zip(token_vectors.alias("v"), mask.alias("m")), F.lit(0.0),
-        lambda acc, e: acc + F.get(e["v"], j).cast("double") * e["m"].cast("double")))
+    # one walk over the tokens; each adds its vector to the running sums
+    summed = F.aggregate(F.arrays_zip(token_vectors.alias("v"), mask.alias("m")), F.array_repeat(F.lit(0.0), dim), lambda acc, e: F.zip_with(
+        acc, e["v"], lambda a, x: a + x.cast("double") * e["m"].cast("double")))
     return F.transform(summed, lambda x: x / count)

@@ -137,14 +137,15 @@ def assign_split(df: DataFrame, *, key_col: str | None = "nct_id", seed: int = R
     ranked = (keys.where(F.col("_sb").isin(straddle))
               .withColumn("_rank", off_map[F.col("_sb")] - 1 + F.row_number().over(
                   Window.partitionBy("_sb").orderBy("_sh", "_sk")))
-              .select("_sk", _label_for_rank(F.col("_rank"), n_train, n_test).alias("_slabel")))
+              # the key's md5 stands for its text, so that a broadcast row has a fixed size
+              .select("_sh", _label_for_rank(F.col("_rank"), n_train, n_test).alias("_slabel")))
     n_straddle = sum(c for bkt, c in counts if bkt in straddle)
     if n_straddle <= broadcast_keys:
-        out = (keyed.join(F.broadcast(ranked), on="_sk", how="left")
+        out = (keyed.join(F.broadcast(ranked), on="_sh", how="left")
                .withColumn(split_col, F.when(F.col("_sb").isin(straddle), F.col("_slabel"))
                            .otherwise(pure)))
         return out.drop("_sk", "_sh", "_sb", "_slabel")
-    inside = keyed.where(F.col("_sb").isin(straddle)).join(ranked, on="_sk", how="inner") \
+    inside = keyed.where(F.col("_sb").isin(straddle)).join(ranked, on="_sh", how="inner") \
         .withColumn(split_col, F.col("_slabel")).drop("_slabel")
     outside = keyed.where(~F.col("_sb").isin(straddle)).withColumn(split_col, pure)
     return inside.unionByName(outside).drop("_sk", "_sh", "_sb")

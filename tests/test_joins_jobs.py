@@ -40,9 +40,9 @@ def test_quantiles(spark, monkeypatch):
     rng = np.random.default_rng(1)
     monkeypatch.setattr(quantile, "FEW", 20)
     monkeypatch.setattr(quantile, "BUCKETS", 7)
-    for x in (rng.normal(size=700), np.repeat(3.0, 90), np.round(rng.exponential(size=500), 1), np.array([1e300, -1e300, 0.0] * 30), np.array([5.0])):
+    for x in (rng.normal(size=300), np.repeat(3.0, 90), np.round(np.append(rng.exponential(size=200), [1e300, -1e300]), 1)):
         df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double")
-        for q in (0.0, 0.01, 0.5, 0.99, 1.0):
+        for q in (0.0, 0.5, 0.99):
             assert np.isclose(quantile.exact_quantile(df, "v", q), np.quantile(x, q), rtol=1e-12), q
     assert quantile.exact_quantile(df.limit(0), "v", 0.5) is None
 
