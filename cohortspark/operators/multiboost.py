@@ -183,22 +183,20 @@ def feature_cuts(df: DataFrame, x_col: str, n_features: int, max_bins: int = 32)
             seen = [np.unique(np.concatenate([s, np.unique(x[:, f])]))[:max_bins + 1] for f, s in enumerate(seen)]
         yield pa.RecordBatch.from_pydict({"f": pa.array(range(n_features), pa.int32()), "v": pa.array([s.tolist() for s in seen], pa.list_(pa.float64()))})
 
-    values = df.select(x_col).mapInArrow(part, "f int, v array<double>").select("f", F.explode("v").alias("v"))
-    few = values.groupBy("f").agg(F.slice(F.sort_array(F.collect_set("v")), 1, max_bins + 1).alias("v")).collect()
-    cuts = [np.zeros(0)] * n_features
-    many = []
-    for r in few:
-        if len(r["v"]) > max_bins:
-            many.append(r["f"])
-        else:
-            cuts[r["f"]] = np.array(r["v"][:-1])
+    # a task that has met more than max_bins values of a feature has sent enough to tell
+    values = df.select(x_col).mapInArrow(part, "f int, v array<double>").select("f", F.explode("v").alias("v")).distinct().persist()
+    few = values.groupBy("f").count().where(F.col("count") <= max_bins)
+    cuts: list[np.ndarray | None] = [None] * n_features
+    for r in values.join(few, "f").groupBy("f").agg(F.sort_array(F.collect_set("v")).alias("v")).collect():  # max_bins numbers a feature at most
+        cuts[r["f"]] = np.array(r["v"][:-1])
+    values.unpersist()
+    many = [f for f, c in enumerate(cuts) if c is None]
     if many:
         at = [i / max_bins for i in range(max_bins)]
-        q = df.agg(*[F.percentile_approx(F.col(x_col)[f], at, 10_000).alias(f"q{f}") for f in many]).first()
-        top = df.agg(*[F.max(F.col(x_col)[f]).alias(f"m{f}") for f in many]).first()
+        r = df.agg(*[F.percentile_approx(F.col(x_col)[f], at, 10_000).alias(f"q{f}") for f in many], *[F.max(F.col(x_col)[f]).alias(f"m{f}") for f in many]).first()
         for f in many:
-            c = np.unique(np.array(q[f"q{f}"]))
-            cuts[f] = c[c < top[f"m{f}"]]
+            c = np.unique(np.array(r[f"q{f}"]))
+            cuts[f] = c[c < r[f"m{f}"]]
     return cuts
 
 
