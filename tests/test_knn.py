@@ -37,6 +37,19 @@ def test_blocked_equals_bruteforce(spark):
     assert same.count() == 32 and knn_neighbors(query, same, k=7, block_rows=5).count() == 7 * 40
 
 
+def test_a_task_holds_a_bounded_number_of_distances(monkeypatch):
+    import pandas as pd
+    from cohortspark.operators import neighbors as N
+    rng = np.random.default_rng(1)
+    q, t = rng.normal(size=(600, 4)), rng.normal(size=(3000, 4))
+    seen, topk = [], N._topk_block
+    monkeypatch.setattr(N, "_topk_block", lambda dist, ids, k: seen.append(dist.size) or topk(dist, ids, k))
+    out = N._best_of_block(3)(*(pd.DataFrame({"id": np.arange(len(x)), "vec": list(x)}) for x in (q, t)))
+    assert max(seen) <= 1 << 20 and sum(seen) == 600 * 3000
+    got = out.groupby("q_id", sort=True)["n_id"].agg(list).to_dict()
+    assert got == {i: list(map(int, ids)) for i, ids in brute(q, t, np.arange(3000), 3).items()}
+
+
 def test_levels_stay_on_executors(spark):
     from cohortspark.operators import features
     df = spark.createDataFrame([(i, "abc"[i % 3] if i % 5 else None, f"v{i % 40:02d}") for i in range(400)], "id long, p string, q string")
