@@ -10,6 +10,7 @@ ordered by a hash of their ids; null ids come first. An empty table gives an emp
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import rans
-from cohortspark.llm.common import materialize, pack_counts, plain, release, scratch, sum_counts, unpack_counts
+from cohortspark.llm.common import forget_caches, materialize, pack_counts, plain, release, scratch, sum_counts, unpack_counts
 from cohortspark.llm.tokens import default_path, encoder
 
 BLOCK_TOKENS = 1 << 20
@@ -59,13 +60,17 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
         enc = encoder(tokenizer, 1_500_000)
         tail = np.asarray([end_id], enc.dtype).tobytes()
         total, schema = np.zeros(size, np.int64), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("salt", pa.int64()), ("counts", pa.binary())])
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                step = batch.slice(lo, 256)
-                blobs = [b + tail for b in enc.encode(step.column(1).to_pylist())]
-                total += np.bincount(np.frombuffer(b"".join(blobs), enc.dtype), minlength=size)
-                none = pa.nulls(len(blobs))
-                yield pa.RecordBatch.from_arrays([step.column(0), pa.array(blobs, pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())], schema=schema)
+        gc.disable()  # nothing here is cyclic, and the collector would walk the lists of words again and again
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    step = batch.slice(lo, 256)
+                    blobs = [b + tail for b in enc.encode(step.column(1).to_pylist())]
+                    total += np.bincount(np.frombuffer(b"".join(blobs), enc.dtype), minlength=size)
+                    none = pa.nulls(len(blobs))
+                    yield pa.RecordBatch.from_arrays([step.column(0), pa.array(blobs, pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())], schema=schema)
+        finally:
+            gc.enable()
         yield pa.RecordBatch.from_pydict({"doc_id": [None], "ids": [None], "salt": [TaskContext.get().partitionId()], "counts": [pack_counts(total)]}, schema=schema)
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -92,6 +97,7 @@ def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        forget_caches()  # the words of the pass before are not needed any more
         table, shard = rans.Table(shared.value), TaskContext.get().partitionId()
         number = done = ordinal = 0
         held: list[tuple[int | None, int, int, np.ndarray]] = []  # id, ordinal in the shard, start in the shard, ids
@@ -140,6 +146,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     base = pd.DataFrame({"shard": totals["shard"].astype("int64"), "base": totals["n"].cumsum().shift(fill_value=0).astype("int64")})
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_caches()
         table = rans.Table(shared.value)
         for batch in batches:
             for r in batch.to_pylist():

@@ -23,6 +23,19 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(blob, enc.dtype).tolist() == enc.tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_before_signs_are_learnt_from_the_word(monkeypatch):
+    enc, signs = Encoder(default_path()), [",", ".", "***", ",%%%", "$$$."]
+    pieces = [lead + w + x for lead in ("", "\n") for w in ("alpha", "Über", "鳳") for x in signs]
+    want = {p: enc.raw(p if p[0] == "\n" else " " + p) for p in pieces}
+    calls, raw = [], enc.raw
+    monkeypatch.setattr(enc, "raw", lambda p: calls.append(p) or raw(p))
+    enc.learn(pieces)
+    assert {p: enc.known[p] for p in pieces} == want
+    assert sorted(calls) == sorted(signs)  # once each, not once a piece
+    enc.learn(["alpha" + ".;" * 9])  # a longer run is not taken off, so the kept runs stay few
+    assert enc.known["alpha" + ".;" * 9] == raw(" alpha" + ".;" * 9) and len(enc.ends) == len(signs)
+
+
 def test_coder_round_trip_and_checkpoints():
     rng = np.random.default_rng(0)
     table = rans.Table(rans.scale(np.bincount(rng.geometric(0.01, 5000) % 3000, minlength=3000)))
