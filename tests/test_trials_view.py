@@ -36,6 +36,31 @@ def _bytes(path):
     return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(path) for f in files)
 
 
+def _shuffle_bytes(spark):
+    files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+
+def test_writing_the_view_leaves_no_shuffle_files(spark, tables, monkeypatch, tmp_path):
+    sf_dir, _ = tables
+    monkeypatch.setattr(TV, "drop_dead_shuffles", lambda spark: None)  # no garbage collection to wait for
+    TV.drop_dead_shuffles(spark)
+    before = _shuffle_bytes(spark)
+    TV._write_view(spark, sf_dir, f"{tmp_path}/view.parquet")
+    assert _shuffle_bytes(spark) - before < 10_000
+
+
+def test_no_shuffle_carries_columns_that_follow_from_others(spark, tables):
+    sf_dir, _ = tables
+    try:
+        rows = TV._rows_by_text(spark, TV.register_tables(spark, sf_dir, TV.TRIAL_TABLES))
+        below = rows._jdf.queryExecution().optimizedPlan().toString().split("Join ", 1)[1]
+    finally:
+        TV.register_tables(spark, sf_dir, TV.TRIAL_TABLES)
+    for column in ("nct_id", "eligibility_min_age", "eligibility_max_age", "eligibility_sex", "masking", "Locations", "interventions_text"):
+        assert f" AS {column}#" not in below
+
+
 def test_written_view_has_the_rows_of_its_sql_and_each_text_once(spark, tables, monkeypatch, tmp_path):
     sf_dir, text_bytes = tables
     monkeypatch.setattr(TV, "SLICE_ORDERS", 700, raising=False)  # three steps
