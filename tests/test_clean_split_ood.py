@@ -101,3 +101,22 @@ def test_ranked_importance_structure(spark):
     out = {r["target"]: [(x["feature"], x["mean_abs_shap"]) for x in r["features"]]
            for r in ranked_importance(mean_abs_by_target(long), k=2).collect()}
     assert out == {"t1": [("f1", 3.0), ("f3", 2.0)], "t2": [("f1", 0.5)]}
+
+
+def test_split_shuffles_keys_without_their_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from cohortspark.operators.split import assign_split
+    from cohortspark.session import drop_dead_shuffles
+
+    def shuffled():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    n = 50_000
+    df = spark.range(n).select(F.format_string("NCT%08d", "id").alias("nct_id"))
+    drop_dead_shuffles(spark)
+    before = shuffled()
+    out = assign_split(df)
+    assert sum(size for name, size in shuffled().items() if name not in before) < 25 * n  # an md5 alone is 32 bytes
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 32_000, "test": 8_000, "holdout": 10_000}
