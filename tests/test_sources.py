@@ -48,3 +48,14 @@ def test_keyed_sink_and_report_table(spark):
     save_table(df, os.path.join(d, "report"))
     files = glob.glob(os.path.join(d, "report", "part-*.csv"))
     assert len(files) == 1 and open(files[0]).readline().strip() == "nct_id,ood_score,ood_warn"
+
+
+def test_feather_files_are_compressed_and_take_a_file_uri(spark, tmp_path):
+    import os
+
+    rows = spark.range(20_000).selectExpr("id", "'Boston, MA, US; Austin, TX; Worcester, MA' AS place")
+    save_dataframe(rows.coalesce(1), f"file://{tmp_path}/t.feather")
+    files = [os.path.join(at, f) for at, _, names in os.walk(f"{tmp_path}/t.feather") for f in names]
+    assert 0 < sum(map(os.path.getsize, files)) < 20_000 * 20  # the place alone is 41 bytes
+    back = load_dataframe(spark, f"file://{tmp_path}/t.feather")
+    assert back.count() == 20_000 and rows.exceptAll(back).isEmpty()
