@@ -72,3 +72,32 @@ def test_written_view_has_the_rows_of_its_sql_and_each_text_once(spark, tables,
     copy = f"{tmp_path}/copy.parquet"
     TV.write_trials(view, copy)
     assert _bytes(copy) < 4 * text_bytes
+
+
+def test_rows_lines_and_documents_are_dealt_out_once(spark, tables):
+    sf_dir, _ = tables
+    with TV.joins_keep_dealt_rows(spark):
+        rows = TV._rows_by_text(spark, TV.register_tables(spark, sf_dir, TV.TRIAL_TABLES))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # the other tables are small here
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_a_step_reads_its_own_documents(spark, tables, monkeypatch, tmp_path):
+    sf_dir, _ = tables
+    monkeypatch.setattr(TV, "SLICE_ORDERS", 700)  # three steps
+    read, whole = [], TV._rows_by_text
+    monkeypatch.setattr(TV, "_rows_by_text", lambda spark, part, *a: (read.append(part["documents"].count()), whole(spark, part, *a))[1])
+    TV._write_view(spark, sf_dir, f"{tmp_path}/view.parquet")
+    assert len(read) == 3 and sum(read) <= N_DOCS
+
+
+@pytest.mark.parametrize("empty", ["documents", "benchmark", "part"])
+def test_written_view_has_the_rows_of_its_sql_without_one_table(spark, tables, monkeypatch, empty):
+    sf_dir, _ = tables
+    monkeypatch.setattr(TV, "SLICE_ORDERS", 700)
+    spark.read.parquet(f"{sf_dir}/{empty}.parquet").limit(0).write.parquet(f"{sf_dir}/none")
+    spark.read.parquet(f"{sf_dir}/none").write.mode("overwrite").parquet(f"{sf_dir}/{empty}.parquet")
+    view, plain = TV.trials_view(spark, sf_dir), TV.trials_view(spark, sf_dir, materialize=False)
+    assert view.dtypes == plain.dtypes and plain.isEmpty() == (empty == "part")
+    assert view.exceptAll(plain).isEmpty() and plain.exceptAll(view).isEmpty()
