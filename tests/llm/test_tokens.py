@@ -93,3 +93,20 @@ def test_crossover_keeps_every_piece():
     best = packing.evolve(pop, sizes, 1024, 10, rng)[0]
     assert len(best) == 300 and np.bincount(best, sizes).max() <= 1024
     assert packing.fitness(sizes, best, 1024) <= min(packing.fitness(sizes, p, 1024) for p in pop)
+
+
+def test_every_generation_runs(monkeypatch):
+    """A start with as few bins as can be is bred as well, and single pieces pass."""
+    calls, real = [], packing.crossover
+
+    def spy(*args):
+        calls.append(1)
+        return real(*args)
+    monkeypatch.setattr(packing, "crossover", spy)
+    for sizes in (np.array([600, 424] * 50), np.array([7])):
+        calls.clear()
+        start = packing.settle(sizes, 1024, 4, np.random.default_rng(1), True)
+        assert start[0].max() + 1 == -(-int(sizes.sum()) // 1024)
+        best = packing.evolve(start, sizes, 1024, 5, np.random.default_rng(2))[0]
+        assert len(calls) == 5 and np.bincount(best, sizes).max() <= 1024
+        assert packing.fitness(sizes, best, 1024) <= packing.fitness(sizes, start[0], 1024)
