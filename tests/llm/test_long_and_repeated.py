@@ -189,3 +189,37 @@ def test_large_group_with_few_outsiders(spark, make_docs, words, monkeypatch):
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(make_docs(texts)).collect()}
     assert all(got[i] == got[j] for i, j in near if i < 48 and j < 48)
     assert len({got[i] for i in range(60)}) <= 1 + sum(not any(i in p for p in near) for i in range(60))
+
+
+def test_space_is_fitted_on_every_passage(spark, make_docs, words, monkeypatch):
+    """The rows that the space is fitted on hold all words of all texts, once each; its directions are those of the dense matrix."""
+    monkeypatch.setattr(decontaminate, "FIT_DOCS", 50)
+    seen = []
+    real = decontaminate.randomised_svd
+
+    def spy(rows, idf, *args, **kwargs):
+        space = real(rows, idf, *args, **kwargs)
+        seen.append(([(np.frombuffer(r["features"], "<u2"), r["weight"]) for r in rows.collect()], idf, space.copy()))
+        return space
+    monkeypatch.setattr(decontaminate, "randomised_svd", spy)
+    texts = [words(20 + 37 * (i % 9), i) for i in range(120)]
+    item = words(60, 7777)
+    docs = make_docs([*texts, texts[3], None, "", f"{words(40, 3000)} {item}"]).select("doc_id", "text")
+    found = decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == {123}
+    rows, idf, space = seen[0]
+    corpus = [f for f, weight in rows if weight < 4]
+    assert sorted(map(len, corpus)) == sorted([len(t.split()) for t in texts] + [100])
+    lines = []
+    for f, weight in rows:
+        for lo in range(0, max(len(f) - 32, 1), 32):
+            line = np.zeros(decontaminate.FEATURES)
+            np.add.at(line, f[lo:lo + 64], idf[f[lo:lo + 64]])
+            lines.append(line * weight / np.linalg.norm(line))
+    matrix = np.array(lines)
+    passages = len(lines) - 1
+    assert passages > 400 and abs((matrix[:-1] ** 2).sum() + (matrix[-1] ** 2).sum() - 50 - 16) < 1e-3
+    exact = np.linalg.svd(matrix, full_matrices=False)[1]
+    held = np.linalg.norm(matrix @ space)
+    assert 0.9 < held / np.linalg.norm(exact[:decontaminate.RANK]) < 1.0001
+    assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-3)
