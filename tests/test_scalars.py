@@ -75,3 +75,17 @@ def test_parse_age_notebook_variant(spark):
     df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(cases)], "i int, s string")
     got = {r["i"]: r["y"] for r in with_parsed_ages(df, {"y": "s"}, variant="notebook").collect()}
     assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+
+
+def test_runs_of_any_whitespace_collapse(spark):
+    """Merged text equals Python's split and join, whatever the runs, and single spaces are no match of the pattern."""
+    import random
+    import re
+    from cohortspark.functions import text as X
+    rng = random.Random(1)
+    signs = [*X.WHITESPACE_CHARS, *" " * 20, *"abé​’_0~!\x7f\x01"]
+    rows = [tuple("".join(rng.choice(signs) for _ in range(rng.randint(0, 9))) if rng.random() < 0.8 else None for _ in range(3)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    for r in df.select("*", X.merge_text(["a", "b", "c"], ["a", "x", "b", "c"]).alias("m")).collect():
+        assert r["m"] == " ".join(" ".join(r[c] or "" for c in "abc").split())
+    assert re.findall(X._ASCII_RUNS, "one two  three\nfour") == ["  ", "\n"]
