@@ -1,6 +1,7 @@
 """Exact kNN: blocked Spark result equals a brute-force numpy result."""
 
 import numpy as np
+import pytest
 
 from cohortspark.operators.neighbors import knn_neighbors
 
@@ -77,3 +78,34 @@ def test_dense_hashing_equals_long_form(spark):
     for r in lng:
         want[r["id"]][r["bucket"]] = r["value"]
     assert dense == want
+
+
+@pytest.mark.parametrize("width", [6, 1500])
+def test_few_pairs_are_measured(monkeypatch, width):
+    """Of all pairs only those that can be among the nearest are measured in double precision; equal vectors go by id."""
+    import pandas as pd
+    from cohortspark.operators import neighbors as N
+    rng = np.random.default_rng(4)
+    q, t = rng.normal(size=(40, width)), rng.normal(size=(6000, width))
+    t[100:140] = t[5000:5040] = q  # two equal nearest ones each
+    t[7] = np.nan
+    t[8] = 0
+    ids = rng.permutation(6000) + 10
+    measured, topk = [], N._topk_block
+
+    def spy(near, exact, k):
+        return topk(near, lambda r, cand: measured.append(len(cand)) or exact(r, cand), k)
+    monkeypatch.setattr(N, "_topk_block", spy)
+    out = N._best_of_block(5)(pd.DataFrame({"id": np.arange(40), "vec": list(q)}), pd.DataFrame({"id": ids, "vec": list(t)}))
+    assert len(measured) == 40 and max(measured) < 600
+    unit = t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-300)
+    for i, got in out.groupby("q_id", sort=True)["n_id"].agg(list).items():
+        dist = 1 - unit @ (q[i] / np.linalg.norm(q[i]))
+        dist = np.where(np.isnan(dist), np.inf, dist.round(12))
+        assert got == list(ids[np.lexsort((ids, dist))[:5]])
+
+
+def test_ascii_words_equal_the_pattern():
+    from cohortspark.operators import embed as E
+    for text in ("".join(map(chr, range(128))), "A_b-C9 x\x1fy\tZ", "naïve CAFÉ_x 42", ""):
+        assert E._words(text) == E._TOKEN.findall(text.encode().lower().decode())
