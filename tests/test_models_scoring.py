@@ -102,3 +102,17 @@ def test_positional_target_names_and_target_slice(spark):
     long = spark.createDataFrame([("k", "t1", "f", 1.0), ("k", "t2", "f", 2.0)],
                                  "key string, target string, feature string, value double")
     assert [r["value"] for r in attributions_for_target(long, "t2").collect()] == [2.0]
+
+
+def test_features_are_read_by_column(spark):
+    """The assembled frame lies in the shared folder as Parquet, so that a step reads the columns it needs; vectors keep their attributes."""
+    from cohortspark.plans import train as TJ
+    from cohortspark.schema import TARGET_COLS
+    from cohortspark.sources.trials_view import trials_view
+    small = {"iterations": 1, "depth": 1, "learning_rate": 0.3}
+    out = TJ.train_pipeline(spark, trials_view(spark, SMALL), target_cols=TARGET_COLS, text_dim=8, params=small, sparse_targets=(),
+                            index_cols=("sponsor",), row_key=["row_id", "copy_no"])
+    files = out.split_frame.inputFiles()
+    assert files and all(f.endswith(".parquet") for f in files)
+    assert "ml_attr" in out.split_frame.schema["features"].metadata
+    assert out.split_frame.count() == trials_view(spark, SMALL).count()
